@@ -108,6 +108,8 @@ def ranked(
     """
     sums = dict(sums or {})
     columns, order = df.columns, list(order)
+    if {"rn", "n"} & set(columns):
+        raise ValueError("columns rn and n are made here; rename the input's own")
     names = list(keys)
     if not names:
         # One group over the whole table; the key is derived from the row so that
@@ -182,10 +184,11 @@ def quantiles(
     group in one task; here the values are cumulated in buckets and only the one or two
     rows around each wanted position remain.
     """
-    run = tied(df.filter(F.col(value).isNotNull()), keys, value, **sizing)
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_value"))
+    run = tied(known, keys, "_value", **sizing)
     run = run.withColumn("_first", F.col("before_rows")).withColumn("_last", F.col("before_rows") + F.col("rows") - 1)
     spots = F.array(*[F.lit(float(q)) for q in points])
-    hit = run.select(*keys, F.col(value).cast("double").alias("_v"), "_first", "_last", "total_rows", F.explode(spots).alias("q"))
+    hit = run.select(*keys, F.col("_value").cast("double").alias("_v"), "_first", "_last", "total_rows", F.explode(spots).alias("q"))
     at = F.col("q") * (F.col("total_rows") - 1)
     hit = hit.withColumn("_lo", F.floor(at)).withColumn("_hi", F.ceil(at)).withColumn("_frac", at - F.floor(at))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -50,3 +51,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that several actions read; lost blocks are recomputed from lineage."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder in the shared checkpoint folder, or in /tmp on a local master."""
+    shared = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/evalloom-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
