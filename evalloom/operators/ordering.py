@@ -1,12 +1,13 @@
 """Global order without a single-task window, and joins that survive hot keys.
 
-``ranked`` numbers rows inside groups of any size. Keys are counted first. A key that
-fits one task is ordered by a plain window. A hot key, one above ``max(min_rows,
+``ranked`` numbers rows inside groups of any size. A sizing pass counts the rows. A key
+that fits one task is ordered by a plain window. A hot key, one above ``max(min_rows,
 total / buckets)`` rows, is cut by boundaries drawn from a hash sample of its order
 values; a row's bucket is the number of boundaries at or below it, a pure function of
 the row, so equal values meet and the result does not depend on which boundaries were
 drawn. At most ``buckets`` keys can be hot and they own at most ``2 * buckets``
-boundaries together, whatever the size of the data, so that side may be broadcast.
+boundaries together, whatever the size of the data. Only those boundaries visit the
+driver, as in a range-partitioned sort, and that side may be broadcast.
 """
 
 from __future__ import annotations
@@ -42,38 +43,35 @@ def _evenly(items: Column, pieces: Column) -> Column:
     ))
 
 
-def _boundaries(df: DataFrame, names: Sequence[str], place: Column, buckets: int, min_rows: int) -> DataFrame:
-    """Per hot key a two-level sorted boundary list; at most ``buckets`` rows in all."""
-    counts = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
-    limit = counts.agg(
-        F.greatest(F.lit(min_rows), F.ceil(F.sum("_c") / F.lit(buckets))).cast("bigint").alias("limit")
-    ).scalar()
-    hot = counts.withColumn("_limit", limit).filter(F.col("_c") > F.col("_limit"))
-    hot = hot.select(
-        *[F.col(k).alias(f"_h{i}") for i, k in enumerate(names)],
-        F.ceil(F.col("_c") / F.col("_limit")).cast("int").alias("_pieces"),
-        (F.lit(float(SAMPLE_PER_BUCKET) * HASH_RANGE) / F.col("_limit")).alias("_rate"),
-    )
-    # ``hot`` has at most ``buckets`` rows: every row in it holds more than total/buckets.
-    rows = df.select(*names, place.alias("_p")).join(
-        F.broadcast(hot), _same([(F.col(k), F.col(f"_h{i}")) for i, k in enumerate(names)])
-    )
-    drawn = rows.filter(F.pmod(F.xxhash64("_p"), F.lit(HASH_RANGE)) < F.col("_rate"))
-    drawn = drawn.groupBy(*[f"_h{i}" for i in range(len(names))]).agg(
-        F.sort_array(F.collect_list("_p")).alias("_s"), F.max("_pieces").alias("_pieces")
-    )
-    cuts = drawn.withColumn("_cuts", _evenly(F.col("_s"), F.col("_pieces")))
-    cuts = cuts.filter(F.size("_cuts") > 0)
+def _boundaries(df: DataFrame, names: Sequence[str], place: Column, buckets: int, min_rows: int) -> DataFrame | None:
+    """Per hot key a two-level sorted boundary list as a local table; None if no key is hot."""
+    total = df.count()
+    limit = max(min_rows, -(-total // buckets))
+    if total <= limit:
+        return None
+    spark = df.sparkSession
+    heads = [f"_h{i}" for i in range(len(names))]
+    counts = df.groupBy(*[F.col(k).alias(h) for k, h in zip(names, heads)]).agg(F.count(F.lit(1)).alias("_c"))
+    over = counts.filter(F.col("_c") > limit).withColumn("_pieces", F.ceil(F.col("_c") / F.lit(limit)).cast("int")).drop("_c")
+    found = over.collect()  # at most ``buckets`` rows: each holds more than total / buckets
+    if not found:
+        return None
+    hot = spark.createDataFrame(found, over.schema)
+    rows = df.select(*names, place.alias("_p")).join(F.broadcast(hot), _same([(F.col(k), F.col(h)) for k, h in zip(names, heads)]))
+    rate = int(SAMPLE_PER_BUCKET * HASH_RANGE / limit)
+    drawn = rows.filter(F.pmod(F.xxhash64("_p"), F.lit(HASH_RANGE)) < rate)
+    drawn = drawn.groupBy(*heads).agg(F.sort_array(F.collect_list("_p")).alias("_s"), F.max("_pieces").alias("_pieces"))
+    cuts = drawn.select(*heads, _evenly(F.col("_s"), F.col("_pieces")).alias("_cuts")).filter(F.size("_cuts") > 0)
     width = F.greatest(F.lit(1), F.sqrt(F.size("_cuts")).cast("int"))
     blocks = F.transform(
         F.sequence(F.lit(0), F.ceil(F.size("_cuts") / width).cast("int") - 1),
         lambda i: F.slice(F.col("_cuts"), i * width + 1, width),
     )
-    cuts = cuts.withColumn("_blocks", blocks)
-    return cuts.select(
-        *[f"_h{i}" for i in range(len(names))],
-        F.transform("_blocks", lambda x: F.get(x, F.lit(0))).alias("_heads"), "_blocks", width.alias("_width"),
+    cuts = cuts.withColumn("_blocks", blocks).select(
+        *heads, F.transform("_blocks", lambda x: F.get(x, F.lit(0))).alias("_heads"), "_blocks", width.alias("_width")
     )
+    kept = cuts.collect()  # at most 2 * buckets boundary values
+    return spark.createDataFrame(kept, cuts.schema) if kept else None
 
 
 def _with_bucket(df: DataFrame, names: Sequence[str], bounds: DataFrame, place: Column, how: str) -> DataFrame:
@@ -118,6 +116,15 @@ def ranked(
         names = ["_whole"]
     place = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
     bounds = _boundaries(df, names, place, _bucket_count(df, buckets), min_rows)
+    if bounds is None:
+        whole = Window.partitionBy(*names)
+        running = whole.orderBy(*order)
+        before = running.rowsBetween(Window.unboundedPreceding, -1)
+        out = [F.row_number().over(running).cast("bigint").alias("rn"), F.count(F.lit(1)).over(whole).alias("n")]
+        for name, column in sums.items():
+            out.append(F.coalesce(F.sum(column).over(before), F.lit(0)).alias(f"before_{name}"))
+            out.append(F.sum(column).over(whole).alias(f"total_{name}"))
+        return df.select(*columns, *out)
     parts = {"rows": F.count(F.lit(1)), **{f"s_{n}": F.sum(c) for n, c in sums.items()}}
 
     counts = _with_bucket(df, names, bounds, place, "inner").groupBy(
@@ -221,28 +228,33 @@ def top_k(
 
 def join_lookup(
     df: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", *,
-    hot_share: int = HOT_SHARE, salts: int = SALTS,
+    hot_share: int = HOT_SHARE, salts: int = SALTS, adaptive: bool | None = None,
 ) -> DataFrame:
     """Join many rows to a lookup that is unique on ``on``, splitting hot keys.
 
-    Keys above ``1/hot_share`` of the rows are found by counting, at most ``hot_share``
-    of them. Their rows spread over ``salts`` by a hash of ``spread`` and their lookup row
-    is repeated once per salt; every other key joins plainly. Exact for any distribution.
+    With adaptive execution on, the skew-join rule splits an oversized partition of the row
+    side and repeats the lookup's part of it, and small lookups turn into broadcasts by
+    their measured size. Without it, keys above ``1/hot_share`` of the rows are counted, at
+    most ``hot_share`` of them, their rows spread over ``salts`` by a hash of ``spread``
+    and their lookup row is repeated per salt. Exact for any distribution either way.
     """
     on = list(on)
+    spark = df.sparkSession
+    if adaptive is None:
+        adaptive = all(spark.conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
+    if adaptive:
+        return df.join(lookup, on, how)
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
-    counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
-    hot = counts.filter(F.col("c") * hot_share > total).agg(
-        F.map_from_arrays(F.collect_list("k"), F.collect_list(F.lit(True))).alias("hot")
-    ).scalar()
-
-    def is_hot() -> Column:
-        return F.element_at(F.col("_hot"), key).isNotNull()
-
-    left = df.withColumn("_hot", hot).withColumn(
-        "_salt", F.when(is_hot(), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    ).drop("_hot")
-    copies = F.when(is_hot(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.withColumn("_hot", hot).withColumn("_salt", F.explode(copies)).drop("_hot")
+    total = df.count()
+    counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * hot_share > total).select("k.*")
+    names = [f"k{i}" for i in range(len(on))]
+    hot = F.broadcast(spark.createDataFrame(counts.collect(), counts.schema).withColumn("_hot", F.lit(True)))
+
+    def marked(side: DataFrame) -> DataFrame:
+        return side.join(hot, _same([(F.col(c), F.col(n)) for c, n in zip(on, names)]), "left").drop(*names)
+
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    left = marked(df).withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.join(right, [*on, "_salt"], how).drop("_salt")
