@@ -40,6 +40,8 @@ def union(checks: Sequence[DataFrame]) -> DataFrame:
 
 def enforce(*checks: DataFrame) -> None:
     """Raise with the broken checks; the driver sees one row per check, never data rows."""
+    if not checks:
+        return
     broken = union(checks).filter("violations > 0").collect()
     if broken:
         raise ContractError("; ".join(f"{r['check']} on {r['subject']}: {r['violations']}" for r in broken))

@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from ..functions.vectors import not_finite, sigmoid
 from ..session import reuse
 from .checks import ContractError, check_key, check_subset, enforce, row_checks
+from .joint import Slot, fit_joint, label_arrays
 from .features import CATEGORIES, as_array, count_features, count_names
 from .labels import supervision
 
 # Inverse penalty strength and the supervision recipes.
 INVERSE_PENALTY = 0.1
 RECIPES = {"observed_only": 0.0, "silver_1.0": 1.0, "silver_0.25": 0.25}
+CELLS_PER_TASK = 4_000_000
+JOINT_WIDTH = 32  # up to this width all heads share their passes, see ``joint``
 NATIVE_WIDTH = 128  # wider features are scored by one matrix product per Arrow batch
 MODEL_SCHEMA = (
     "recipe string, fold int, target string, intercept double, coef array<double>, mean array<double>, "
@@ -75,6 +78,50 @@ def _check_training(features: DataFrame, supervised: DataFrame, names: Sequence[
     return facts
 
 
+def _width(features: DataFrame) -> int:
+    first = features.select(F.size("x").alias("d")).first()
+    if first is None:
+        raise ContractError("no features")
+    return first["d"]
+
+
+def _cell_counts(supervised: DataFrame) -> dict[str, tuple[int, int]]:
+    """Observed and derived cells in use per target; one row per target."""
+    rows = supervised.filter("weight > 0").groupBy("target").agg(
+        F.count("observed").alias("o"), F.count_if(F.col("observed").isNull()).alias("d")
+    )
+    return {r["target"]: (r["o"], r["d"]) for r in rows.collect()}
+
+
+def _joint_heads(
+    rows: DataFrame, recipes: Mapping[str, int], folds: Sequence[int], names: Sequence[str], c: float, *, held_out: bool,
+    counts: Mapping[tuple[str, int], Mapping[str, tuple[int, int]]],
+) -> list[Head]:
+    """All (recipe, fold, target) heads over ``rows(id, x, fold, y, w)`` in shared passes."""
+    width = _width(rows)
+    rows = reuse(rows.select("x", "fold", "y", "w"))
+    try:
+        broken = (F.size("x") != width) | F.exists("x", lambda v: v.isNull() | not_finite(v))
+        enforce(row_checks(rows, "features", {"finite": broken}))
+        cells, held = rows.count() * width, rows.rdd.getNumPartitions()
+        passes = rows.coalesce(max(1, cells // CELLS_PER_TASK)) if cells // CELLS_PER_TASK < held else rows
+        slots, scalers, tags = [], [], []
+        for recipe, r in recipes.items():
+            for fold in folds:
+                scalers.append(([r * len(names) + t for t in range(len(names))], fold if held_out else None))
+                for t, name in enumerate(names):
+                    slots.append(Slot(f"target {name}", r * len(names) + t, len(scalers) - 1, fold if held_out else None))
+                    tags.append((recipe, fold, name))
+        fitted = fit_joint(passes, slots, scalers, c)
+    finally:
+        rows.unpersist()
+    out = []
+    for (recipe, fold, name), (intercept, coef, mean, scale) in zip(tags, fitted):
+        observed, derived = counts[(recipe, fold)].get(name, (0, 0))
+        out.append(Head(recipe, fold, name, intercept, coef.tolist(), mean.tolist(), scale.tolist(), observed, derived, []))
+    return out
+
+
 def fit_heads(
     features: DataFrame, supervised: DataFrame, names: Sequence[str], *, recipe: str = "observed_only", fold: int = -1,
     pca: int | None = None, c: float = INVERSE_PENALTY, parallelism: int = 4, tol: float = 1e-10,
@@ -86,6 +133,10 @@ def fit_heads(
     features. With ``pca`` the heads are fitted on that many components and returned
     as the equivalent input-space line.
     """
+    width = _width(features)
+    if pca is None and width <= JOINT_WIDTH:
+        rows = features.join(label_arrays([supervised], names), "id")
+        return _joint_heads(rows, {recipe: 0}, [fold], names, c, held_out=False, counts={(recipe, fold): _cell_counts(supervised)})
     facts = _check_training(features, supervised, names)
     n, mean, scale, scaler = fit_scaler(features, supervised)
     wide = supervised.filter("weight > 0").groupBy("id").agg(*[
@@ -102,7 +153,9 @@ def fit_heads(
         reducer = PCA(k=pca, inputCol="scaled", outputCol="reduced").fit(table)
         explained, back = list(reducer.explainedVariance), reducer.pc.toArray()
         table = reducer.transform(table).drop("scaled").withColumnRenamed("reduced", "scaled")
-    table = reuse(table)
+    # A small table needs few tasks per optimizer step; a large one keeps its partitions.
+    tasks = max(1, n * len(mean) // CELLS_PER_TASK)
+    table = reuse(table.coalesce(tasks) if tasks < table.rdd.getNumPartitions() else table)
     # The ML scaler divides by the sample deviation; the penalty is restated for the population one.
     ratio = (n - 1) / n
 
@@ -116,7 +169,7 @@ def fit_heads(
         if back is not None:
             w = back @ w
         return Head(
-            recipe, fold, target, float(model.intercept), [float(v) for v in w / ratio**0.5], [float(v) for v in mean],
+            recipe, fold, target, float(model.intercept), [float(v) for v in w * ratio**0.5], [float(v) for v in mean],
             [float(v) for v in scale], facts[target]["observed"], facts[target]["derived"], [float(v) for v in explained],
         )
 
@@ -179,6 +232,23 @@ def cross_validate(
     resolved. The fits are independent and run side by side.
     """
     features, labels = reuse(features), reuse(labels)
+    if pca is None and _width(features) <= JOINT_WIDTH:
+        # One weight cell per recipe; the fold a head must not see is masked inside its pass,
+        # before scaling or fitting, so held-out labels never reach it.
+        sups = [supervision(labels, weight) for weight in recipes.values()]
+        tallies = {}
+        for name, sup in zip(recipes, sups):
+            used = sup.filter("weight > 0").groupBy("fold", "target").agg(F.count("observed").alias("o"), F.count_if(F.col("observed").isNull()).alias("d")).collect()
+            for fold in folds:
+                cells: dict[str, tuple[int, int]] = {}
+                for r in used:
+                    if r["fold"] != fold:
+                        o, d = cells.get(r["target"], (0, 0))
+                        cells[r["target"]] = (o + r["o"], d + r["d"])
+                tallies[(name, fold)] = cells
+        rows = features.join(label_arrays(sups, names), "id")
+        heads = _joint_heads(rows, {n: i for i, n in enumerate(recipes)}, folds, names, c, held_out=True, counts=tallies)
+        return _out_of_fold(features, labels, heads, folds, names), heads
     jobs = [(name, weight, fold) for name, weight in recipes.items() for fold in folds]
 
     def one(job: tuple[str, float, int]) -> list[Head]:
@@ -188,6 +258,11 @@ def cross_validate(
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
         heads = [h for found in pool.map(one, jobs) for h in found]
+    return _out_of_fold(features, labels, heads, folds, names), heads
+
+
+def _out_of_fold(features: DataFrame, labels: DataFrame, heads: Sequence[Head], folds: Sequence[int], names: Sequence[str]) -> DataFrame:
+    """Gold rows of each fold scored by the heads that did not see it."""
     gold = labels.filter("observed is not null").select("id", "fold", "target", F.col("observed").cast("double").alias("y"))
     oof = None
     for fold in folds:
@@ -196,7 +271,7 @@ def cross_validate(
         part = part.withColumn("fold", F.lit(fold).cast("int"))
         oof = part if oof is None else oof.unionByName(part)
     oof = oof.withColumnRenamed("recipe", "model").join(gold.select("id", "target", "y"), ["id", "target"])
-    return oof.select("model", "fold", "id", "target", "y", "p"), heads
+    return oof.select("model", "fold", "id", "target", "y", "p")
 
 
 def select_recipe(summary: DataFrame, order: Sequence[str]) -> str:
