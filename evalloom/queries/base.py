@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.labels import fuse_labels
 from ..operators.linkage import text_group_key
 from ..operators.splits import grouped_stratified_folds
+from ..session import reuse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,12 +58,12 @@ def targets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def groups(spark: SparkSession, sf: str) -> DataFrame:
-    return text_group_key(documents(spark, sf)).select("id", "group_id")
+    return reuse(text_group_key(documents(spark, sf)).select("id", "group_id"))
 
 
 def folds(spark: SparkSession, sf: str) -> DataFrame:
     strata = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("value"))
-    return grouped_stratified_folds(groups(spark, sf), strata, len(FOLDS), SPLIT_SEED)
+    return reuse(grouped_stratified_folds(groups(spark, sf), strata, len(FOLDS), SPLIT_SEED))
 
 
 def fold_targets(spark: SparkSession, sf: str) -> DataFrame:
