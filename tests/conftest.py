@@ -10,4 +10,4 @@ from evalloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "tests")
+    return local_session(8, "tests", spark__sql__shuffle__partitions="4")
