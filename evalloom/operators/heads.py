@@ -31,7 +31,7 @@ INVERSE_PENALTY = 0.1
 RECIPES = {"observed_only": 0.0, "silver_1.0": 1.0, "silver_0.25": 0.25}
 CELLS_PER_TASK = 4_000_000
 JOINT_WIDTH = 32  # up to this width all heads share their passes, see ``joint``
-NATIVE_WIDTH = 128  # wider features are scored by one matrix product per Arrow batch
+NATIVE_CELLS = 512  # more coefficients than this are applied by one matrix product per Arrow batch
 MODEL_SCHEMA = (
     "recipe string, fold int, target string, intercept double, coef array<double>, mean array<double>, "
     "scale array<double>, observed bigint, derived bigint, explained array<double>"
@@ -154,8 +154,9 @@ def fit_heads(
         explained, back = list(reducer.explainedVariance), reducer.pc.toArray()
         table = reducer.transform(table).drop("scaled").withColumnRenamed("reduced", "scaled")
     # A small table needs few tasks per optimizer step; a large one keeps its partitions.
-    tasks = max(1, n * len(mean) // CELLS_PER_TASK)
-    table = reuse(table.coalesce(tasks) if tasks < table.rdd.getNumPartitions() else table)
+    table = reuse(table)
+    tasks = max(1, table.count() * len(mean) // CELLS_PER_TASK)
+    passes = table.coalesce(tasks) if tasks < table.rdd.getNumPartitions() else table
     # The ML scaler divides by the sample deviation; the penalty is restated for the population one.
     ratio = (n - 1) / n
 
@@ -164,7 +165,7 @@ def fit_heads(
         model = LogisticRegression(
             featuresCol="scaled", labelCol=f"y{i}", weightCol=f"w{i}", maxIter=500, tol=tol, elasticNetParam=0.0,
             standardization=False, regParam=ratio / (c * facts[target]["w"]),
-        ).fit(table.filter(F.col(f"w{i}").isNotNull()).select("scaled", f"y{i}", f"w{i}"))
+        ).fit(passes.filter(F.col(f"w{i}").isNotNull()).select("scaled", f"y{i}", f"w{i}"))
         w = model.coefficients.toArray()
         if back is not None:
             w = back @ w
@@ -194,7 +195,7 @@ def _lines(heads: Sequence[Head]) -> tuple[np.ndarray, np.ndarray]:
 def _probabilities(heads: Sequence[Head], x: str) -> Column:
     """Array of probabilities, one per head, in order."""
     weights, offset = _lines(heads)
-    if weights.shape[1] <= NATIVE_WIDTH:
+    if weights.size <= NATIVE_CELLS:
         cells = []
         for w, b in zip(weights, offset):
             logit = F.lit(float(b))

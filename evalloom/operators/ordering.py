@@ -1,12 +1,12 @@
 """Global order without a single-task window, and joins that survive hot keys.
 
 ``ranked`` numbers rows inside groups of any size. A sizing pass counts the rows. A key
-that fits one task is ordered by a plain window. A hot key, one above ``max(min_rows,
-total / buckets)`` rows, is cut by boundaries drawn from a hash sample of its order
+that fits one task is ordered by a plain window. A hot key, one above a row limit that follows
+from ``min_rows``, ``buckets`` and the constants below, is cut by boundaries drawn from a hash sample of its order
 values; a row's bucket is the number of boundaries at or below it, a pure function of
 the row, so equal values meet and the result does not depend on which boundaries were
-drawn. At most ``buckets`` keys can be hot and they own at most ``2 * buckets``
-boundaries together, whatever the size of the data. Only those boundaries visit the
+drawn. The limit is at least ``total / max(buckets, MAX_BOUNDS)``, so hot keys and their
+boundaries together stay below a fixed number whatever the size of the data. Only those boundaries visit the
 driver, as in a range-partitioned sort, and that side may be broadcast.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE_PER_BUCKET = 16
 HASH_RANGE = 1 << 30
 MIN_ROWS = 100_000  # fewer rows of one key than this are ordered in one task
+MAX_TASK_ROWS = 20_000_000  # more than this are not, as long as the boundaries stay few
+MAX_BOUNDS = 20_000
 HOT_SHARE = 1000  # a join key is hot when it holds more than 1/HOT_SHARE of all rows
 SALTS = 64
 
@@ -46,14 +48,14 @@ def _evenly(items: Column, pieces: Column) -> Column:
 def _boundaries(df: DataFrame, names: Sequence[str], place: Column, buckets: int, min_rows: int) -> DataFrame | None:
     """Per hot key a two-level sorted boundary list as a local table; None if no key is hot."""
     total = df.count()
-    limit = max(min_rows, -(-total // buckets))
+    limit = max(min_rows, min(-(-total // buckets), MAX_TASK_ROWS), -(-total // MAX_BOUNDS))
     if total <= limit:
         return None
     spark = df.sparkSession
     heads = [f"_h{i}" for i in range(len(names))]
     counts = df.groupBy(*[F.col(k).alias(h) for k, h in zip(names, heads)]).agg(F.count(F.lit(1)).alias("_c"))
     over = counts.filter(F.col("_c") > limit).withColumn("_pieces", F.ceil(F.col("_c") / F.lit(limit)).cast("int")).drop("_c")
-    found = over.collect()  # at most ``buckets`` rows: each holds more than total / buckets
+    found = over.collect()  # at most max(buckets, MAX_BOUNDS) rows: each holds more than ``limit`` rows
     if not found:
         return None
     hot = spark.createDataFrame(found, over.schema)
@@ -70,7 +72,7 @@ def _boundaries(df: DataFrame, names: Sequence[str], place: Column, buckets: int
     cuts = cuts.withColumn("_blocks", blocks).select(
         *heads, F.transform("_blocks", lambda x: F.get(x, F.lit(0))).alias("_heads"), "_blocks", width.alias("_width")
     )
-    kept = cuts.collect()  # at most 2 * buckets boundary values
+    kept = cuts.collect()  # at most twice as many boundary values
     return spark.createDataFrame(kept, cuts.schema) if kept else None
 
 
@@ -136,7 +138,7 @@ def ranked(
         *[f"_k{i}" for i in range(len(names))], "_b",
         *[F.coalesce(F.sum(f"_{n}").over(below), F.lit(0)).alias(f"_off_{n}") for n in parts],
         *[F.sum(f"_{n}").over(whole).alias(f"_all_{n}") for n in parts],
-    )  # at most 2 * buckets rows: only hot keys, one row per bucket
+    )  # only hot keys, one row per bucket: at most twice max(buckets, MAX_BOUNDS)
 
     local = Window.partitionBy(*names, "_bucket")
     running = local.orderBy(*order)

@@ -186,7 +186,7 @@ def test_gold_only_ignores_silver_and_wide_scoring_agrees(spark, monkeypatch):
     b = H.fit_heads(features, W.supervision(flipped, 0.0), ["t0", "t1"])
     assert a == b
     native = sorted(map(tuple, H.predict_heads(features, a).collect()))
-    monkeypatch.setattr(H, "NATIVE_WIDTH", 0)
+    monkeypatch.setattr(H, "NATIVE_CELLS", 0)
     wide = sorted(map(tuple, H.predict_heads(features, a).collect()))
     assert np.allclose([r[3] for r in native], [r[3] for r in wide])
 
