@@ -83,7 +83,7 @@ _PROJECTED = "[list_sum([vec[j + 1]::DOUBLE * (((i * 7 + j * 3) % 11 - 5) / 10)
 
 
 @query("""
-    SELECT id, plane, "window", k.i::INT AS i, round(list_sum([vec[j + 1]::DOUBLE * (((k.i * 7 + j * 3) % 11 - 5) / 10) FOR j IN range(64)]), 3) AS x
+    SELECT id, plane, "window", k.i::INT AS i, round(list_sum([vec[j + 1]::DOUBLE * (((k.i * 7 + j * 3) % 11 - 5) / 10) FOR j IN range(64)]), 3) + 0.0 AS x
     FROM window_vectors CROSS JOIN range(8) k(i)""", uses="window_vectors")
 def encoded_windows(spark, sf):
     weights = projection()
@@ -92,7 +92,7 @@ def encoded_windows(spark, sf):
         return block.astype(float) @ weights.T
 
     out = G.encode_batches(window_vectors(spark, sf), encoder, 8, col="vec")
-    return out.select("id", "plane", "window", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 3))
+    return out.select("id", "plane", "window", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 3) + F.lit(0.0))
 
 
 @query()
