@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 #: Bytes of text that a Python task holds as Python objects at once.
 CHUNK_BYTES = 1 << 20
 
@@ -52,3 +54,10 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
