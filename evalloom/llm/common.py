@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,14 @@ def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(run, schema)
 
 
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices ``values[start : start + length]``, one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends):
+        return values[:0]
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back."""
     path = scratch_dir(df.sparkSession)
