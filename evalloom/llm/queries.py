@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 from .byte_bpe import bpe_digests
-from .common import table
+from .common import saved, table
+from .quality import measured, quality_verdicts
 from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
 
@@ -41,3 +43,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_dir(spark) + "/tokens"
     write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return token_checksums(read_tokens(spark, folder))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    marked = saved(rows.withColumn("row", F.struct("row.doc_id")))
+    out = quality_verdicts(marked, table(spark, sf_dir, "labels"), alpha=0.01, delta=0.05)
+    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
