@@ -11,6 +11,7 @@ from ..session import scratch_dir
 from .byte_bpe import bpe_digests
 from .common import saved, table
 from .quality import measured, quality_verdicts
+from .secret_ledger import secret_digests
 from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
 
@@ -36,6 +37,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(table(spark, sf_dir, "documents"), scratch_dir(spark) + "/ledger")
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
