@@ -70,3 +70,20 @@ def saved(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.char_length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
+
+
+def fits(df: DataFrame, limit: int = 64 << 20) -> bool:
+    """Whether the values of a saved table take at most ``limit`` bytes, so that it may be broadcast."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    return df.agg(F.coalesce(size, F.lit(0)).alias("n")).first()["n"] <= limit
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A saved table for a join: broadcast if it fits, else left to a shuffle join."""
+    return F.broadcast(df) if fits(df) else df.hint("shuffle_merge")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 from .byte_bpe import bpe_digests
 from .common import saved, table
+from .decontaminate import contamination
 from .quality import measured, quality_verdicts
 from .secret_ledger import secret_digests
 from .simhash import near_duplicates
@@ -57,3 +58,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = saved(rows.withColumn("row", F.struct("row.doc_id")))
     out = quality_verdicts(marked, table(spark, sf_dir, "labels"), alpha=0.01, delta=0.05)
     return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
