@@ -13,6 +13,7 @@ from .chat_trees import packs, read_back
 from .common import saved, table
 from .decontaminate import contamination
 from .quality import measured, quality_verdicts
+from .repeats import repeat_digests
 from .secret_ledger import secret_digests
 from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
@@ -44,6 +45,11 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"), scratch_dir(spark) + "/ledger")
 
 
+@query
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=200)
+
+
 @query
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
