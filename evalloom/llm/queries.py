@@ -12,6 +12,7 @@ from .byte_bpe import bpe_digests
 from .chat_trees import packs, read_back
 from .common import saved, table
 from .decontaminate import contamination
+from .pii import pii_digests
 from .quality import measured, quality_verdicts
 from .repeats import repeat_digests
 from .secret_ledger import secret_digests
@@ -70,6 +71,11 @@ def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(saved(packs(rows.union(more), path, pattern)), path, pattern)
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
