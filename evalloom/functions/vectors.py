@@ -19,7 +19,17 @@ def total(a: Column) -> Column:
 
 def sigmoid(logit: Column) -> Column:
     bounded = F.greatest(F.lit(-LOGIT_LIMIT), F.least(F.lit(LOGIT_LIMIT), logit))
-    return 1.0 / (1.0 + F.exp(-bounded))
+    return F.when(~F.isnan(logit), 1.0 / (1.0 + F.exp(-bounded)))  # NULL and NaN give NULL: greatest and least would skip them
+
+
+def guarded(value: Column, broken: Column, message: str) -> Column:
+    """``value``, or an error where ``broken`` holds or is unknown."""
+    return F.when(F.coalesce(~broken, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
+
+
+def broken_vector(x: Column, dim: int | Column) -> Column:
+    """Not an array of ``dim`` finite numbers."""
+    return x.isNull() | (F.size(x) != dim) | F.exists(x, lambda v: v.isNull() | not_finite(v))
 
 
 def not_finite(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .checks import (
-    bad_probability, check_key, check_same_order, check_schema, check_set_equal, enforce, row_checks, union,
+    ContractError, bad_probability, check_key, check_same_order, check_schema, check_set_equal, enforce, row_checks, union,
 )
 from .ordering import join_lookup, ranked, tied
 
@@ -42,7 +42,7 @@ def percentile_rank(preds: DataFrame, by: Sequence[str] = ("target",), **sizing:
 
 
 def rank_blend(components: Mapping[str, DataFrame], weights: Mapping[str, float], **sizing: int) -> DataFrame:
-    """``(id, target, p)``: weighted sum of the components' percentile ranks, in one job."""
+    """``(id, target, p)``: weighted sum of the components' percentile ranks, in one job; NULL where a component lacks the cell."""
     if set(components) != set(weights):
         raise ValueError("every component needs a weight")
     rows = None
@@ -50,7 +50,7 @@ def rank_blend(components: Mapping[str, DataFrame], weights: Mapping[str, float]
         part = preds.select(F.lit(name).alias("component"), "id", "target", "p")
         rows = part if rows is None else rows.unionByName(part)
     placed = percentile_rank(rows, ["component", "target"], **sizing)
-    shares = [F.coalesce(F.max(F.when(F.col("component") == n, F.col("pct_rank"))) * F.lit(float(w)), F.lit(0.0)) for n, w in weights.items()]
+    shares = [F.max(F.when(F.col("component") == n, F.col("pct_rank"))) * F.lit(float(w)) for n, w in weights.items()]
     blended = shares[0]
     for share in shares[1:]:
         blended = blended + share
@@ -91,11 +91,14 @@ def check_component(manifest: DataFrame, members: DataFrame, expected: DataFrame
         }),
         row_checks(per, "members", {"member_count": (F.col("n") != n_members) | (F.col("d") != n_members)}),
         check_set_equal(members, expected, ["component", "id", "sha256", "windows"], "members = expected"),
+        check_set_equal(manifest, expected, ["component"], "manifest = expected"), check_key(manifest, ["component"], "manifest"),
     ])
 
 
 def blend_gate(checks: Sequence[DataFrame], ids: DataFrame, components: Mapping[str, DataFrame], weights: Mapping[str, float]) -> DataFrame:
-    """Blend only after every component check passes; nothing is computed otherwise."""
+    """Blend only after every component check passes; nothing is computed otherwise, nor without any check."""
+    if not checks:
+        raise ContractError("the gate needs a check")
     enforce(*checks)
     aligned = {name: align_component(ids, preds) for name, preds in components.items()}
     return rank_blend(aligned, weights)

@@ -48,15 +48,15 @@ def enforce(*checks: DataFrame) -> None:
 
 
 def row_checks(df: DataFrame, subject: str, rules: Mapping[str, Column]) -> DataFrame:
-    """Count the rows that meet each broken-rule condition, all in one pass."""
-    return _rows(df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()]), subject, list(rules))
+    """Count the rows that meet each broken-rule condition, all in one pass; a condition that is NULL counts as met."""
+    return _rows(df.agg(*[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in rules.items()]), subject, list(rules))
 
 
 # Conditions that name a broken cell, to be fused by ``row_checks``.
 
 def bad_binary(value: Column, nullable: bool = True) -> Column:
     bad = ~value.isin(0, 1)
-    return F.coalesce(bad, F.lit(not nullable))
+    return F.coalesce(bad, F.lit(not nullable))  # NULL is a value of its own here
 
 
 def bad_probability(value: Column) -> Column:
@@ -171,9 +171,9 @@ def check_complete_categories(
 def check_cross_values(
     a: DataFrame, b: DataFrame, key: Sequence[str], cols: Sequence[str], subject: str = "a, b"
 ) -> DataFrame:
-    """Attributes agree, NULL with NULL, wherever the key is on both sides."""
-    right = b.select(*key, *[F.col(c).alias(f"_b_{c}") for c in cols])
-    both = a.select(*key, *cols).join(right, list(key))
+    """Attributes agree, NULL with NULL, wherever the key is on both sides; equal rows of a side count once."""
+    right = b.select(*key, *[F.col(c).alias(f"_b_{c}") for c in cols]).distinct()
+    both = a.select(*key, *cols).distinct().join(right, list(key))
     return row_checks(both, subject, {f"differs:{c}": ~F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in cols})
 
 

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import guarded
 from .checks import check_key, check_set_equal, union
 from .ordering import join_lookup, ranked, tied, top_k
 from .profile import count
@@ -37,8 +38,9 @@ def auc(rows: DataFrame, by: Sequence[str], score: str = "p", truth: str = "y",
 
 
 def fold_macro(scores: DataFrame) -> DataFrame:
-    """Mean over targets per (model, fold): the macro AUC of a fold."""
-    return scores.groupBy("model", "fold").agg(F.avg("auc").alias("macro_auc"))
+    """Mean over targets per (model, fold): the macro AUC of a fold. A target with one class is an error, never left out."""
+    lacks = F.count_if(F.col("auc").isNull()) > 0
+    return scores.groupBy("model", "fold").agg(guarded(F.avg("auc"), lacks, "an AUC needs both classes in every fold and target").alias("macro_auc"))
 
 
 def fold_summary(scores: DataFrame) -> DataFrame:
@@ -187,9 +189,10 @@ def prevalence_reference(labels: DataFrame) -> DataFrame:
     """Training-fold prevalence per (fold, target): all observed minus the fold's own, in one pass."""
     own = labels.groupBy("fold", "target").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
     whole = own.groupBy("target").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    return own.join(whole, "target").select(
-        "fold", "target", ((F.col("ts") - F.coalesce("s", F.lit(0))) / (F.col("tn") - F.col("n"))).alias("p")
-    )
+    rest = F.col("tn") - F.col("n")
+    share = F.try_divide(F.col("ts") - F.coalesce("s", F.lit(0)), rest)
+    no_rest = F.concat(F.lit("no labels outside the fold for target "), F.col("target"))
+    return own.join(whole, "target").select("fold", "target", F.when(rest > 0, share).otherwise(F.raise_error(no_rest)).alias("p"))
 
 
 def reference_predictors(labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import broken_vector, guarded, not_finite
 from .ordering import join_lookup, quantiles
 from .splits import PLANES, WINDOWS
 
@@ -39,9 +40,26 @@ def as_array(df: DataFrame, cols: Sequence[str], name: str = "x") -> DataFrame:
     return df.withColumn(name, F.array(*[F.col(c).cast("double") for c in cols]))
 
 
+def _checked(vectors: DataFrame, place: str, allowed: Sequence, dim: int | None = None) -> Column:
+    """``vec``, or an error where its place is unknown or it is not a vector of finite numbers."""
+    vec = F.col("vec")
+    broken = vec.isNull() | ~F.col(place).isin(*allowed) | broken_vector(vec, dim if dim is not None else F.size(vec))
+    return guarded(vec, broken, f"a vector has an unknown {place} or is not finite numbers of the expected width")
+
+
+def _single(place: str, value, allowed: Sequence) -> Column:
+    """The vector at a place of a group, where there is at most one and no place is unknown."""
+    here, unknown = F.col(place) == value, F.count_if(F.coalesce(~F.col(place).isin(*allowed), F.lit(True)))
+    return guarded(F.max(F.when(here, F.col("vec"))), (F.count_if(here) > 1) | (unknown > 0), f"{place} {value} is repeated, or another {place} is unknown")
+
+
 def assemble_slots(ids: DataFrame, vectors: DataFrame, dim: int, planes: Sequence[str] = PLANES) -> DataFrame:
-    """``(id, x)``: one fixed slot per plane, zeros where absent, then the presence flags."""
-    slots = [F.max(F.when(F.col("plane") == p, F.col("vec"))).alias(f"v{i}") for i, p in enumerate(planes)]
+    """``(id, x)``: one fixed slot per plane, zeros where absent, then the presence flags.
+
+    A repeated slot, a plane outside the list and a vector that isn't ``dim`` finite numbers are errors.
+    """
+    vectors = vectors.withColumn("vec", _checked(vectors, "plane", planes, dim))
+    slots = [_single("plane", p, planes).alias(f"v{i}") for i, p in enumerate(planes)]
     packed = ids.select("id").join(vectors.groupBy("id").agg(*slots), "id", "left")
     empty = F.array_repeat(F.lit(0.0), dim)
     parts = [F.coalesce(F.col(f"v{i}").cast("array<double>"), empty) for i in range(len(planes))]
@@ -54,12 +72,18 @@ def presence_of(vectors: DataFrame) -> DataFrame:
 
 
 def mean_pool_windows(vectors: DataFrame, windows: int = WINDOWS) -> DataFrame:
-    """Mean vector over the windows of each (id, plane), summed in window order."""
-    slots = [F.max(F.when(F.col("window") == w, F.col("vec"))).alias(f"w{w}") for w in range(windows)]
+    """Mean vector over the windows of each (id, plane), summed in window order.
+
+    A repeated window, one outside the range, and vectors of unequal width or with holes are errors.
+    """
+    vectors = vectors.withColumn("vec", _checked(vectors, "window", list(range(windows))))
+    slots = [_single("window", w, list(range(windows))).alias(f"w{w}") for w in range(windows)]
     packed = vectors.groupBy("id", "plane").agg(*slots)
     present = F.filter(F.array(*[f"w{w}" for w in range(windows)]), lambda v: v.isNotNull())
     packed = packed.select("id", "plane", present.alias("vs"))
     first = F.transform(F.element_at("vs", 1), lambda x: x.cast("double"))
+    uneven = F.array_max(F.transform("vs", F.size)) != F.array_min(F.transform("vs", F.size))
+    packed = packed.withColumn("vs", guarded(F.col("vs"), uneven, "vectors of one slot differ in width"))
     summed = F.aggregate(F.slice("vs", 2, windows), first, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
     return packed.select("id", "plane", F.transform(summed, lambda s: s / F.size("vs")).alias("vec"))
 
@@ -70,7 +94,7 @@ def clip_scale(pixels: DataFrame, *, invert: bool = False, low: float = 0.01, hi
     ``pixels(image, pixel, value)`` holds one row per pixel, so an image of any size
     spreads over tasks; percentiles are exact. ``invert`` first maps x to min + max - x.
     """
-    rows = pixels
+    rows = pixels.withColumn("value", guarded(F.col("value"), F.col("value").isNull() | not_finite(F.col("value")), "a pixel is not a finite number"))
     if invert:
         ends = rows.groupBy("image").agg((F.min("value") + F.max("value")).alias("_ends"))
         rows = join_lookup(rows, ends, ["image"], ["pixel"]).withColumn("value", F.col("_ends") - F.col("value")).drop("_ends")
@@ -138,10 +162,16 @@ def attention_pool(vectors: DataFrame, params: Mapping[str, np.ndarray], planes:
                 "score": list(hidden @ query.T / width), "part": list(hidden @ out.T),
             })
 
-    rows = vectors.select("id", (F.col("plane") * windows + F.col("window")).cast("int").alias("slot"), "vec")
+    slot = (F.col("plane") * windows + F.col("window")).cast("int")
+    place = F.col("plane").between(0, planes - 1) & F.col("window").between(0, windows - 1)
+    vec = guarded(F.col("vec"), ~place | broken_vector(F.col("vec"), proj.shape[1]), "a window has an unknown slot or is not finite numbers of the expected width")
+    rows = vectors.select("id", slot.alias("slot"), vec.alias("vec"))
     kind = dict(vectors.dtypes)["id"]
     rows = rows.mapInPandas(project, f"id {kind}, slot int, score array<double>, part array<double>")
-    slots = [F.max(F.when(F.col("slot") == s, F.struct("score", "part"))) for s in range(planes * windows)]
+    slots = [
+        guarded(F.max(F.when(F.col("slot") == s, F.struct("score", "part"))), F.count_if(F.col("slot") == s) > 1, f"slot {s} is repeated")
+        for s in range(planes * windows)
+    ]
     packed = rows.groupBy("id").agg(F.filter(F.array(*slots), lambda s: s.isNotNull()).alias("s"))
     targets = F.sequence(F.lit(0), F.lit(len(out_bias) - 1))
     each = packed.select("id", "s", F.explode(targets).alias("target")).withColumn(

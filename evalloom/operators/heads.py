@@ -19,7 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import not_finite, sigmoid
+from ..functions.vectors import broken_vector, guarded
 from ..session import reuse
 from .checks import ContractError, check_key, check_subset, enforce, row_checks
 from .joint import Slot, fit_joint, label_arrays
@@ -29,9 +29,8 @@ from .labels import supervision
 # Inverse penalty strength and the supervision recipes.
 INVERSE_PENALTY = 0.1
 RECIPES = {"observed_only": 0.0, "silver_1.0": 1.0, "silver_0.25": 0.25}
-CELLS_PER_TASK = 4_000_000
-JOINT_WIDTH = 32  # up to this width all heads share their passes, see ``joint``
-NATIVE_CELLS = 512  # more coefficients than this are applied by one matrix product per Arrow batch
+JOINT_WIDTH = 32  # up to this width curvatures fit and all heads share their Newton passes, see ``joint``; same checks and optimum beyond
+MAX_ITERATIONS = 500
 MODEL_SCHEMA = (
     "recipe string, fold int, target string, intercept double, coef array<double>, mean array<double>, "
     "scale array<double>, observed bigint, derived bigint, explained array<double>"
@@ -64,9 +63,13 @@ def fit_scaler(features: DataFrame, supervised: DataFrame):
     return n, np.asarray(model.mean), np.where(std == 0, 1.0, std), model
 
 
-def _check_training(features: DataFrame, supervised: DataFrame, names: Sequence[str]) -> dict[str, dict]:
-    bad = F.exists("x", lambda v: v.isNull() | not_finite(v))
-    enforce(row_checks(features, "features", {"finite": bad}), check_subset(supervised.filter("weight > 0"), features, ["id"], "supervised ids"))
+def _check_features(features: DataFrame, used: DataFrame, width: int) -> None:
+    """Every vector is finite and of one width; every id of ``used`` has one."""
+    enforce(row_checks(features, "features", {"finite": broken_vector(F.col("x"), width)}), check_subset(used, features, ["id"], "supervised ids"))
+
+
+def _check_training(features: DataFrame, supervised: DataFrame, names: Sequence[str], width: int) -> dict[str, dict]:
+    _check_features(features, supervised.filter("weight > 0"), width)
     active = supervised.filter("weight > 0").groupBy("target").agg(
         F.sum("weight").alias("w"), F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
         F.count("observed").alias("observed"), F.count_if(F.col("observed").isNull()).alias("derived"),
@@ -79,10 +82,11 @@ def _check_training(features: DataFrame, supervised: DataFrame, names: Sequence[
 
 
 def _width(features: DataFrame) -> int:
-    first = features.select(F.size("x").alias("d")).first()
-    if first is None:
+    """The largest width of a vector; ``_check_features`` holds the others against it."""
+    widest = features.filter("x is not null").agg(F.max(F.size("x")).alias("d")).first()["d"]
+    if widest is None:
         raise ContractError("no features")
-    return first["d"]
+    return widest
 
 
 def _cell_counts(supervised: DataFrame) -> dict[str, tuple[int, int]]:
@@ -98,13 +102,8 @@ def _joint_heads(
     counts: Mapping[tuple[str, int], Mapping[str, tuple[int, int]]],
 ) -> list[Head]:
     """All (recipe, fold, target) heads over ``rows(id, x, fold, y, w)`` in shared passes."""
-    width = _width(rows)
     rows = reuse(rows.select("x", "fold", "y", "w"))
     try:
-        broken = (F.size("x") != width) | F.exists("x", lambda v: v.isNull() | not_finite(v))
-        enforce(row_checks(rows, "features", {"finite": broken}))
-        cells, held = rows.count() * width, rows.rdd.getNumPartitions()
-        passes = rows.coalesce(max(1, cells // CELLS_PER_TASK)) if cells // CELLS_PER_TASK < held else rows
         slots, scalers, tags = [], [], []
         for recipe, r in recipes.items():
             for fold in folds:
@@ -112,7 +111,7 @@ def _joint_heads(
                 for t, name in enumerate(names):
                     slots.append(Slot(f"target {name}", r * len(names) + t, len(scalers) - 1, fold if held_out else None))
                     tags.append((recipe, fold, name))
-        fitted = fit_joint(passes, slots, scalers, c)
+        fitted = fit_joint(rows, slots, scalers, c)
     finally:
         rows.unpersist()
     out = []
@@ -134,10 +133,10 @@ def fit_heads(
     as the equivalent input-space line.
     """
     width = _width(features)
+    facts = _check_training(features, supervised, names, width)
     if pca is None and width <= JOINT_WIDTH:
         rows = features.join(label_arrays([supervised], names), "id")
         return _joint_heads(rows, {recipe: 0}, [fold], names, c, held_out=False, counts={(recipe, fold): _cell_counts(supervised)})
-    facts = _check_training(features, supervised, names)
     n, mean, scale, scaler = fit_scaler(features, supervised)
     wide = supervised.filter("weight > 0").groupBy("id").agg(*[
         x for i, t in enumerate(names) for x in (
@@ -153,19 +152,18 @@ def fit_heads(
         reducer = PCA(k=pca, inputCol="scaled", outputCol="reduced").fit(table)
         explained, back = list(reducer.explainedVariance), reducer.pc.toArray()
         table = reducer.transform(table).drop("scaled").withColumnRenamed("reduced", "scaled")
-    # A small table needs few tasks per optimizer step; a large one keeps its partitions.
     table = reuse(table)
-    tasks = max(1, table.count() * len(mean) // CELLS_PER_TASK)
-    passes = table.coalesce(tasks) if tasks < table.rdd.getNumPartitions() else table
     # The ML scaler divides by the sample deviation; the penalty is restated for the population one.
     ratio = (n - 1) / n
 
     def one(i: int) -> Head:
         target = names[i]
         model = LogisticRegression(
-            featuresCol="scaled", labelCol=f"y{i}", weightCol=f"w{i}", maxIter=500, tol=tol, elasticNetParam=0.0,
+            featuresCol="scaled", labelCol=f"y{i}", weightCol=f"w{i}", maxIter=MAX_ITERATIONS, tol=tol, elasticNetParam=0.0,
             standardization=False, regParam=ratio / (c * facts[target]["w"]),
-        ).fit(passes.filter(F.col(f"w{i}").isNotNull()).select("scaled", f"y{i}", f"w{i}"))
+        ).fit(table.filter(F.col(f"w{i}").isNotNull()).select("scaled", f"y{i}", f"w{i}"))
+        if model.summary.totalIterations >= MAX_ITERATIONS:
+            raise ContractError(f"target {target} did not converge")
         w = model.coefficients.toArray()
         if back is not None:
             w = back @ w
@@ -193,22 +191,16 @@ def _lines(heads: Sequence[Head]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probabilities(heads: Sequence[Head], x: str) -> Column:
-    """Array of probabilities, one per head, in order."""
+    """Array of probabilities, one per head, in order, by one matrix product per Arrow batch; a broken vector is an error."""
     weights, offset = _lines(heads)
-    if weights.size <= NATIVE_CELLS:
-        cells = []
-        for w, b in zip(weights, offset):
-            logit = F.lit(float(b))
-            for i, v in enumerate(w):
-                logit = logit + F.get(F.col(x), F.lit(i)) * float(v)
-            cells.append(sigmoid(logit))
-        return F.array(*cells)
 
     def product(batch: pd.Series) -> pd.Series:
         logits = np.clip(np.stack(batch.to_numpy()) @ weights.T + offset, -700, 700)
         return pd.Series(list(1 / (1 + np.exp(-logits))))
 
-    return F.pandas_udf(product, "array<double>")(F.col(x))
+    width = weights.shape[1]
+    checked = guarded(F.col(x).cast("array<double>"), broken_vector(F.col(x), width), f"a feature vector is not {width} finite numbers")
+    return F.pandas_udf(product, "array<double>")(checked)
 
 
 def predict_heads(features: DataFrame, heads: Sequence[Head], names: Sequence[str] | None = None) -> DataFrame:
@@ -233,10 +225,13 @@ def cross_validate(
     resolved. The fits are independent and run side by side.
     """
     features, labels = reuse(features), reuse(labels)
-    if pca is None and _width(features) <= JOINT_WIDTH:
+    width = _width(features)
+    if pca is None and width <= JOINT_WIDTH:
         # One weight cell per recipe; the fold a head must not see is masked inside its pass,
         # before scaling or fitting, so held-out labels never reach it.
         sups = [supervision(labels, weight) for weight in recipes.values()]
+        for sup in sups:
+            _check_features(features, sup.filter("weight > 0"), width)
         tallies = {}
         for name, sup in zip(recipes, sups):
             used = sup.filter("weight > 0").groupBy("fold", "target").agg(F.count("observed").alias("o"), F.count_if(F.col("observed").isNull()).alias("d")).collect()

@@ -130,6 +130,8 @@ def fit_joint(
             theta[i] = theta[i] - np.linalg.solve(curve, gradient)
         if not open_slots.any():
             break
+    else:
+        raise ContractError(f"{slots[int(np.flatnonzero(open_slots)[0])].name} did not converge in {MAX_STEPS} steps")
     return [(float(t[-1]), t[:-1], mean[s.scaler], scale[s.scaler]) for t, s in zip(accepted, slots)]
 
 

@@ -181,13 +181,24 @@ def feature_gram(features: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def wide_gram(features: DataFrame, col: str = "x"):
-    """Gram matrix of an array feature by a tree-aggregated row matrix; d by d, so bounded by the width."""
+    """Gram matrix of an array feature: one product per Arrow batch, summed by task, then on the executors; bounded by the width."""
+    import numpy as np
+    import pyarrow as pa
     from pyspark.ml.functions import array_to_vector
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    vectors = features.select(array_to_vector(F.col(col).cast("array<double>")).alias("v"))
-    return RowMatrix(vectors.rdd.map(lambda r: Vectors.fromML(r["v"]))).computeGramianMatrix().toArray()
+    from pyspark.ml.stat import Summarizer
+
+    def products(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["i", "v"])
+
+    vectors = features.select(F.col(col).cast("array<double>").alias("v"))
+    sums = vectors.mapInArrow(products, "i int, v array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("s"))
+    return np.stack([r["s"].toArray() for r in sums.orderBy("i").collect()])  # one row for each column of the matrix
 
 
 def gram_rank(gram) -> int:

@@ -200,10 +200,35 @@ def gated_blend(spark, sf):
     preds, everything = predictions(spark, sf), ids(spark, sf)
     parts = {m: preds.filter(F.col("model") == m).drop("model") for m in ("wide", "coarse")}
     docs = table(spark, sf, "documents")
-    members = docs.groupBy("source").agg(F.count(F.lit(1)).alias("windows")).select(
-        F.lit("wide").alias("component"), F.col("source").alias("id"), F.sha2("source", 256).alias("sha256"), "windows"
-    )
-    facts = docs.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.sum("n_chars").cast("string"), 256).alias("digest"))
-    manifest = facts.select(F.lit("wide").alias("component"), F.lit("complete").alias("status"), "rows", "digest", F.col("digest").alias("found_digest"))
-    check = B.check_component(manifest, members, members, everything, 20)
+    check = component_record(spark, sf, docs, everything, "wide")
     return B.blend_gate([check], everything, parts, {"wide": 0.9, "coarse": 0.1}).withColumn("p", F.round("p", 8))
+
+
+def component_record(spark, sf, docs, everything, component):
+    """A component's manifest and members as recorded from the rows, against the same found again by way of each source's languages."""
+    named = lambda df: df.select(F.lit(component).alias("component"), F.col("source").alias("id"), F.sha2("source", 256).alias("sha256"), "windows")
+    digest = lambda total: F.sha2(total.cast("string"), 256)
+    members = named(docs.groupBy("source").agg(F.count(F.lit(1)).alias("windows")))
+    parts = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    expected = named(parts.groupBy("source").agg(F.sum("n").alias("windows")))
+    facts = docs.agg(F.count(F.lit(1)).alias("rows"), digest(F.sum("n_chars")).alias("digest"))
+    found = parts.agg(digest(F.sum("chars")).alias("found_digest"))
+    manifest = facts.join(found).select(F.lit(component).alias("component"), F.lit("complete").alias("status"), "rows", "digest", "found_digest")  # one row each
+    return B.check_component(manifest, members, expected, everything, 20)
+
+
+@query("""
+    SELECT 'status' AS "check", 'manifest' AS subject, 1::BIGINT AS violations UNION ALL SELECT 'rows', 'manifest', 1 UNION ALL SELECT 'digest', 'manifest', 1
+    UNION ALL SELECT 'member_count', 'members', 1 UNION ALL SELECT 'missing_right', 'members = expected', 0
+    UNION ALL SELECT 'missing_left', 'members = expected', count(DISTINCT source) FILTER (WHERE source = 'src0') FROM documents
+    UNION ALL SELECT 'missing_right', 'manifest = expected', 0 UNION ALL SELECT 'missing_left', 'manifest = expected', 0
+    UNION ALL SELECT 'empty', 'manifest', 0 UNION ALL SELECT 'null_key', 'manifest', 0 UNION ALL SELECT 'blank_key', 'manifest', 0
+    UNION ALL SELECT 'padded_key', 'manifest', 0 UNION ALL SELECT 'duplicate_key', 'manifest', 0""")
+def broken_gate(spark, sf):
+    """What the gate reports of a component without status and row count, with another digest, and with a member missing."""
+    docs = table(spark, sf, "documents")
+    members = docs.groupBy("source").agg(F.count(F.lit(1)).alias("windows")).select(F.lit("wide").alias("component"), F.col("source").alias("id"), F.sha2("source", 256).alias("sha256"), "windows")
+    manifest = docs.agg(F.sha2(F.sum("n_chars").cast("string"), 256).alias("digest")).select(
+        F.lit("wide").alias("component"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("bigint").alias("rows"), "digest", F.lit("other").alias("found_digest")
+    )
+    return B.check_component(manifest, members.filter("id <> 'src0'"), members, ids(spark, sf), 20)

@@ -10,7 +10,7 @@ from ..session import scratch_dir
 from .base import (
     FOLDS, TARGETS, derived, documents, event_series, folds, gold_scores, groups, headers, label_table, predictions, query, r6, table, targets,
 )
-from .evaluation import PAIRS, REPLICATES, RESAMPLE_SEED, _BLEND, ids
+from .evaluation import PAIRS, REPLICATES, RESAMPLE_SEED, _BLEND, component_record, ids
 from .features import document_features
 from .linkage import audit_ids, link_keys
 from .profiles import LINES
@@ -117,7 +117,8 @@ def published_blend(spark, sf):
     preds, everything = predictions(spark, sf), ids(spark, sf)
     parts = {m: preds.filter(F.col("model") == m).drop("model") for m in ("wide", "coarse")}
     path = f"{scratch_dir(spark)}/blend"
-    J.blend_publish([], everything, parts, {"wide": 0.9, "coarse": 0.1}, path)
+    docs = table(spark, sf, "documents")
+    J.blend_publish([component_record(spark, sf, docs, everything, m) for m in parts], everything, parts, {"wide": 0.9, "coarse": 0.1}, path)
     return spark.read.parquet(f"{path}/data").withColumn("p", F.round("p", 8))
 
 

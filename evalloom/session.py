@@ -11,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def single_machine(master: str) -> bool:
+    """Whether driver and executors are one process; ``local-cluster`` is not."""
+    return master == "local" or master.startswith("local[")
+
+
 def local_session(cores: int | str = 8, name: str = "evalloom", **conf: str) -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -41,7 +46,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
         if shared is None:
-            if not context.master.startswith("local"):
+            if not single_machine(context.master):
                 raise ValueError(f"{CHECKPOINT_KEY} must name a folder all executors share")
             shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(shared)
@@ -58,6 +63,6 @@ def scratch_dir(spark: SparkSession) -> str:
     shared = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if shared is not None:
         return f"{shared.rstrip('/')}/evalloom-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not single_machine(spark.sparkContext.master):
         raise ValueError(f"{CHECKPOINT_KEY} must name a folder all executors share")
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import blend as B
 from evalloom.operators import evaluate as E
 from evalloom.operators import heads as H
+from evalloom.operators import joint
 from evalloom.operators import labels as W
 from evalloom.operators.checks import ContractError, enforce
 from evalloom.plans import jobs as J
@@ -20,14 +21,20 @@ def brute_auc(y, p, w=None):
     return wins / (sum(b for _, b in pos) * sum(b for _, b in neg))
 
 
-def test_auc_reversed_target_and_macro(spark):
-    rows = [("m", 0, t, i, y, (1 - p) if t == "t0" else p) for t in [f"t{k}" for k in range(12)] for i, (y, p) in enumerate(zip([0, 0, 1, 1], [.1, .2, .8, .9]))]
+def test_auc_by_hand_and_strict_macro(spark):
+    """Positives .9 and .3 against negatives .4, .2 and .3: 3 + 1 + a half of 6 pairs."""
+    cells = list(zip([1, 0, 1, 0, 0], [.9, .4, .3, .2, .3]))
+    rows = [("m", 2, t, i, y, p if t == "scored" else .25) for t in ("scored", "level") for i, (y, p) in enumerate(cells)]
     df = spark.createDataFrame(rows, "model string, fold int, target string, id long, y int, p double")
     scores = E.auc(df, ["model", "fold", "target"])
-    assert {r["target"]: r["auc"] for r in scores.collect()}["t0"] == 0
-    assert E.fold_macro(scores).first()["macro_auc"] == pytest.approx(11 / 12)
-    assert E.fold_macro(E.auc(df.withColumn("p", F.lit(.5)), ["model", "fold", "target"])).first()["macro_auc"] == .5
-    assert E.auc(df.withColumn("y", F.lit(1)), ["model", "fold", "target"]).first()["auc"] is None
+    assert {r["target"]: r["auc"] for r in scores.collect()} == {"scored": .75, "level": .5}
+    assert E.fold_macro(scores).first()["macro_auc"] == .625
+    single = E.auc(df.withColumn("y", F.when(F.col("target") == "level", 0).otherwise(F.col("y"))), ["model", "fold", "target"])
+    assert {r["target"]: r["auc"] for r in single.collect()} == {"scored": .75, "level": None}
+    with pytest.raises(Exception, match="both classes"):
+        E.fold_summary(single).collect()
+    with pytest.raises(Exception, match="outside the fold for target level"):
+        E.prevalence_reference(df.filter("target = 'level'")).collect()
 
 
 @pytest.mark.parametrize("sizing", [{}, {"min_rows": 1, "buckets": 16}])
@@ -93,45 +100,55 @@ def test_errors_parity_promotion(spark):
 
 
 def blend_case(spark):
-    own = {"c": (.6, .2), "a": (.1, .9), "b": (.1, .4), "d": (.9, .1)}
+    own = {"k1": (.2, .3), "k2": (.2, .6), "k3": (.7, .6), "k4": (.9, .6), "k5": (.1, .0)}
     ids = B.with_row_idx(spark.createDataFrame([(i,) for i in own], "id string"))
     part = [spark.createDataFrame([(i, "t", float(v[k])) for i, v in own.items()], "id string, target string, p double") for k in (0, 1)]
-    return ids, {"public": part[0], "own": part[1]}
+    return ids, {"first": part[0], "own": part[1]}
+
+
+WEIGHTS = {"first": .75, "own": .25}
 
 
 @pytest.mark.parametrize("sizing", [{}, {"min_rows": 1, "buckets": 16}])
 def test_rank_blend(spark, sizing):
+    """Ranks of first: 1, 2.5, 2.5, 4, 5; of own: 1, 2 and three times 4; all over 5."""
     ids, parts = blend_case(spark)
-    got = {r["id"]: r["p"] for r in B.rank_blend(parts, {"public": .9, "own": .1}, **sizing).collect()}
-    assert got == pytest.approx({"c": .725, "a": .4375, "b": .4125, "d": .925})
-    n = 1300
-    up = spark.range(n).select(F.format_string("%05d", "id").alias("id"), F.lit("t").alias("target"), (F.col("id") / n).alias("p"))
-    down = up.withColumn("p", 1 - F.col("p"))
-    rows = B.rank_blend({"u": up, "d": down}, {"u": .9, "d": .1}, **sizing).collect()
-    assert all(r["p"] == pytest.approx((.9 * (int(r["id"]) + 1) + .1 * (n - int(r["id"]))) / n) for r in rows)
+    got = {r["id"]: r["p"] for r in B.rank_blend(parts, WEIGHTS, **sizing).collect()}
+    assert got == pytest.approx({"k1": .475, "k2": .575, "k3": .8, "k4": .95, "k5": .2})
+    rng = np.random.default_rng(12)
+    values = {name: rng.integers(0, 90, 700) / 90 for name in WEIGHTS}
+    frames = {n: spark.createDataFrame([(i, "t", float(x)) for i, x in enumerate(v)], "id long, target string, p double") for n, v in values.items()}
+    want = sum(w * ((values[n][:, None] > values[n]).sum(1) + ((values[n][:, None] == values[n]).sum(1) + 1) / 2) / 700 for n, w in WEIGHTS.items())
+    rows = B.rank_blend(frames, WEIGHTS, **sizing).collect()
+    assert len(rows) == 700 and all(r["p"] == pytest.approx(want[r["id"]]) for r in rows)
+    lacking = {"first": parts["first"], "own": parts["own"].filter("id <> 'k2'")}
+    assert {r["id"] for r in B.rank_blend(lacking, WEIGHTS, **sizing).collect() if r["p"] is None} == {"k2"}
 
 
 def test_alignment_and_gate_reject(spark):
     ids, parts = blend_case(spark)
     p = parts["own"]
-    bad = [p.filter("id <> 'a'"), p.union(p.limit(1)), p.withColumn("p", F.lit(float("nan"))), p.withColumn("p", F.lit(1.5)), p.withColumn("p", F.lit(-.1)),
-           p.withColumn("target", F.lit("other")), p.union(spark.createDataFrame([("e", "t", .5)], p.schema)), p.withColumn("id", F.when(F.col("id") == "a", "").otherwise(F.col("id")))]
+    bad = [p.filter("id <> 'k1'"), p.union(p.limit(1)), p.withColumn("p", F.lit(float("nan"))), p.withColumn("p", F.lit(1.5)), p.withColumn("p", F.lit(-.1)),
+           p.withColumn("target", F.lit("other")), p.union(spark.createDataFrame([("k9", "t", .5)], p.schema)), p.withColumn("id", F.when(F.col("id") == "k1", "").otherwise(F.col("id")))]
     for frame in bad:
         with pytest.raises(ContractError):
             B.align_component(ids, frame, ["t"])
-    assert B.align_component(ids, p, ["t"]).count() == 4
+    assert B.align_component(ids, p, ["t"]).count() == 5
     members = spark.createDataFrame([("own", f"m{i}", "0" * 64, 10) for i in range(20)], "component string, id string, sha256 string, windows int")
-    manifest = spark.createDataFrame([("own", "complete", 4, "x", "x")], "component string, status string, rows long, digest string, found_digest string")
+    manifest = spark.createDataFrame([("own", "complete", 5, "x", "x")], "component string, status string, rows long, digest string, found_digest string")
     enforce(B.check_component(manifest, members, members, ids, 20))
-    for broken in (manifest.withColumn("status", F.lit("running")), manifest.withColumn("rows", F.lit(5)), manifest.withColumn("found_digest", F.lit("y"))):
+    for broken in (manifest.withColumn("status", F.lit("running")), manifest.withColumn("rows", F.lit(6)), manifest.withColumn("status", F.lit(None).cast("string")), manifest.withColumn("rows", F.lit(None).cast("long")), manifest.filter("false"), manifest.withColumn("component", F.lit("other")), manifest.union(manifest), manifest.withColumn("found_digest", F.lit("y"))):
         with pytest.raises(ContractError):
             enforce(B.check_component(broken, members, members, ids, 20))
     with pytest.raises(ContractError):
         enforce(B.check_component(manifest, members.filter("id <> 'm3'"), members, ids, 20))
     path = f"{scratch_dir(spark)}/blend"
-    J.blend_publish([], ids, parts, {"public": .9, "own": .1}, path)
+    passed = [B.check_component(manifest, members, members, ids, 20)]
+    J.blend_publish(passed, ids, parts, WEIGHTS, path)
     with pytest.raises(Exception):
-        J.blend_publish([], ids, parts, {"public": .9, "own": .1}, path)
+        J.blend_publish(passed, ids, parts, WEIGHTS, path)
+    with pytest.raises(ContractError):
+        J.blend_publish([], ids, parts, WEIGHTS)
 
 
 def test_submission(spark):
@@ -167,12 +184,12 @@ def gradient(head, features, sup, c=H.INVERSE_PENALTY):
 def test_heads_solve_the_penalized_problem(spark, monkeypatch):
     features, table = weak_case(spark)
     sup = W.supervision(table, .25)
-    joint = H.fit_heads(features, sup, ["t0", "t1"])
-    assert max(gradient(h, features, sup) for h in joint) < 1e-8 and joint[0].observed == 12 and joint[0].derived == 12
+    shared = H.fit_heads(features, sup, ["t0", "t1"])
+    assert max(gradient(h, features, sup) for h in shared) < 1e-8 and shared[0].observed == 12 and shared[0].derived == 12
     monkeypatch.setattr(H, "JOINT_WIDTH", 0)
     single = H.fit_heads(features, sup, ["t0", "t1"])
     assert max(gradient(h, features, sup) for h in single) < 1e-5
-    assert np.allclose(joint[0].coef, single[0].coef, atol=1e-5)
+    assert np.allclose(shared[0].coef, single[0].coef, atol=1e-5)
     reduced = H.fit_heads(features, sup, ["t0", "t1"], pca=2)  # all components: the same line
     assert np.allclose(reduced[1].coef, single[1].coef, atol=1e-4) and sum(reduced[0].explained) == pytest.approx(1)
     with pytest.raises(ContractError, match="both classes"):
@@ -186,9 +203,10 @@ def test_gold_only_ignores_silver_and_wide_scoring_agrees(spark, monkeypatch):
     b = H.fit_heads(features, W.supervision(flipped, 0.0), ["t0", "t1"])
     assert a == b
     native = sorted(map(tuple, H.predict_heads(features, a).collect()))
-    monkeypatch.setattr(H, "NATIVE_CELLS", 0)
-    wide = sorted(map(tuple, H.predict_heads(features, a).collect()))
-    assert np.allclose([r[3] for r in native], [r[3] for r in wide])
+    x = {r["id"]: np.array(r["x"]) for r in features.collect()}
+    line = {h.target: h for h in a}
+    want = [1 / (1 + np.exp(-(line[t].intercept + ((x[i] - line[t].mean) / line[t].scale) @ line[t].coef))) for i, _, t, _ in native]
+    assert np.allclose([r[3] for r in native], want)
 
 
 def test_cross_validation_never_sees_the_held_out_fold(spark):
@@ -206,11 +224,50 @@ def test_cross_validation_never_sees_the_held_out_fold(spark):
     assert np.allclose(fold0.mean, x.mean(axis=0)) and np.allclose(fold0.scale, x.std(axis=0))
 
 
+def vectors_like(spark, rows):
+    return spark.createDataFrame(rows, "id long, x array<double>")
+
+
+@pytest.mark.parametrize("joint_width", [32, 0])
+@pytest.mark.parametrize("broken", [None, [1.0, float("nan")], [1.0, None], [1.0, float("inf")], [1.0], [1.0, 2.0, 3.0]])
+def test_broken_vectors_are_errors_at_any_width(spark, monkeypatch, joint_width, broken):
+    """NULL, NaN, holes, short and long vectors, in training and scoring, whichever fitter runs."""
+    monkeypatch.setattr(H, "JOINT_WIDTH", joint_width)
+    features, table = weak_case(spark)
+    rows = [(r["id"], broken if r["id"] == 3 else r["x"]) for r in features.collect()]
+    bad, sup = vectors_like(spark, rows), W.supervision(table, .25)
+    with pytest.raises(ContractError, match="finite"):
+        H.fit_heads(bad, sup, ["t0", "t1"])
+    with pytest.raises(ContractError, match="finite"):
+        H.cross_validate(bad, table, [0, 1, 2], ["t0", "t1"], {"observed_only": 0.0})
+    head = [H.Head("f", -1, "t", 0.0, [1.0, 1.0], [0.0, 0.0], [1.0, 1.0], 0, 0, [])]
+    with pytest.raises(Exception, match="not 2 finite numbers"):
+        H.predict_heads(bad, head).collect()
+
+
+@pytest.mark.parametrize("joint_width", [32, 0])
+def test_orphans_and_open_heads_are_errors(spark, monkeypatch, joint_width):
+    monkeypatch.setattr(H, "JOINT_WIDTH", joint_width)
+    features, table = weak_case(spark)
+    fewer = features.filter("id <> 4")
+    with pytest.raises(ContractError, match="orphan_key"):
+        H.fit_heads(fewer, W.supervision(table, 0.0), ["t0", "t1"])
+    with pytest.raises(ContractError, match="orphan_key"):
+        H.cross_validate(fewer, table, [0, 1, 2], ["t0", "t1"], {"observed_only": 0.0})
+    monkeypatch.setattr(joint, "MAX_STEPS", 1)
+    monkeypatch.setattr(H, "MAX_ITERATIONS", 1)
+    with pytest.raises(ContractError, match="converge"):
+        H.fit_heads(features, W.supervision(table, 0.0), ["t0", "t1"])
+
+
 def test_known_probabilities_and_new_ids(spark):
-    heads = [H.Head("f", -1, f"t{w}", 0.0, [float(w)], [5.0], [2.0], 0, 0, []) for w in range(-6, 6)]
-    rows = H.predict_heads(spark.createDataFrame([(1, [7.0])], "id long, x array<double>"), heads).collect()
-    got = {r["target"]: r["p"] for r in rows}
-    assert got["t-6"] == pytest.approx(0.002472623156634774) and got["t5"] == pytest.approx(0.9933071490757153)
+    rng = np.random.default_rng(31)
+    coef, mean, scale, x = (rng.normal(size=(9, 4)) for _ in range(4))
+    heads = [H.Head("f", -1, f"t{k}", float(k) / 5, coef[k].tolist(), mean[k].tolist(), np.abs(scale[k]).tolist(), 0, 0, []) for k in range(9)]
+    rows = H.predict_heads(vectors_like(spark, [(i, v.tolist()) for i, v in enumerate(x)]), heads).collect()
+    for r in rows:
+        k = int(r["target"][1:])
+        assert r["p"] == pytest.approx(1 / (1 + np.exp(-(k / 5 + ((x[r["id"]] - mean[k]) / np.abs(scale[k])) @ coef[k]))))
     ids, kids = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a", "x")], "id string, c string")
     head = [H.Head("f", -1, "t", 0.0, [1.0, 1.0], [0.0, 0.0], [1.0, 1.0], 0, 0, [])]
     assert {r["id"]: round(r["p"], 4) for r in H.score_new_ids(ids, kids, head, {"c": ["x"]}).collect()} == {"a": 0.8808, "b": 0.5}

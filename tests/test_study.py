@@ -34,15 +34,22 @@ def test_components_with_hub_and_chain(spark):
 
 
 def test_overlap_audit(spark):
-    ids = spark.createDataFrame([("gold-a", "train", 0, True), ("gold-b", "train", 1, True), ("silver-c", "train", 1, False), ("test-d", "test", None, False)], "id string, split string, fold int, gold boolean")
-    patient, other, pixel = "1" * 64, "2" * 64, "3" * 64
-    keys = [("patient", i, patient) for i in ("gold-a", "silver-c", "test-d")] * 3 + [("patient", "gold-b", other)]
-    keys += [("pixel", i, pixel) for i in ("gold-a", "gold-b", "test-d")] + [("pixel", "silver-c", ""), ("pixel", "silver-c", None)]
-    got = {(r["kind"], r["metric"]): r["value"] for r in L.key_overlap_audit(spark.createDataFrame(keys, "kind string, id string, key string"), ids, [0, 1]).collect()}
-    want = {"unique_keys": 2, "multi_study_groups": 1, "cross_fold_groups": 1, "cross_fold_groups_touching_gold": 1, "cross_fold_gold_to_gold_groups": 0, "cross_fold_gold_studies": 1, "train_test_groups": 1, "fold_1_studies_with_key": 2}
-    assert {m: got[("patient", m)] for m in want} == want
-    want = {"unique_keys": 1, "largest_group_studies": 3, "cross_fold_gold_to_gold_groups": 1, "cross_fold_gold_studies": 2, "train_test_groups": 1, "studies_with_key": 3}
-    assert {m: got[("pixel", m)] for m in want} == want
+    """k1 stays in fold 0; k2 joins folds 0 and 2 and two gold units; k3 joins train and test; blank keys are none."""
+    ids = spark.createDataFrame(
+        [("u1", "train", 0, True), ("u2", "train", 2, True), ("u3", "train", 2, False), ("u4", "test", None, False), ("u5", "train", 0, False)],
+        "id string, split string, fold int, gold boolean",
+    )
+    k1, k2, k3 = "a" * 64, "b" * 64, "c" * 64
+    keys = [("scanner", i, k1) for i in ("u1", "u5", "u5")] + [("scanner", i, k2) for i in ("u2", "u3", "u1")] + [("scanner", i, k3) for i in ("u4", "u5")]
+    keys += [("site", i, k1) for i in ("u3", "u5")] + [("site", "u2", ""), ("site", "u1", None)]
+    got = {(r["kind"], r["metric"]): r["value"] for r in L.key_overlap_audit(spark.createDataFrame(keys, "kind string, id string, key string"), ids, [0, 2]).collect()}
+    want = {
+        "unique_keys": 3, "multi_study_groups": 3, "largest_group_studies": 3, "studies_with_key": 5, "cross_fold_groups": 1, "cross_fold_groups_touching_gold": 1,
+        "cross_fold_gold_to_gold_groups": 1, "cross_fold_gold_studies": 2, "train_test_groups": 1, "fold_0_studies_with_key": 2, "fold_2_studies_with_key": 2,
+    }
+    assert {m: got[("scanner", m)] for m in want} == want
+    want = {"unique_keys": 1, "cross_fold_groups": 1, "cross_fold_groups_touching_gold": 0, "cross_fold_gold_studies": 0, "train_test_groups": 0, "studies_with_key": 2}
+    assert {m: got[("site", m)] for m in want} == want
 
 
 def test_pseudonyms_and_revision(spark):
@@ -58,68 +65,69 @@ def test_pseudonyms_and_revision(spark):
 
 
 def split_case(spark):
-    ids = [f"study-{i:02d}" for i in range(30)]
-    texts = spark.createDataFrame([(s, f"Synthetic report {0 if i == 29 else i}") for i, s in enumerate(ids)], "id string, text string")
-    targets = spark.createDataFrame([(s, t, None if i >= 27 else i % 2) for i, s in enumerate(ids) for t in NAMES], "id string, target string, value int")
+    """48 cases; the last four repeat the texts of the first four; every eighth has no target."""
+    ids = [f"case{i}" for i in range(48)]
+    texts = spark.createDataFrame([(s, f"note {i % 44}") for i, s in enumerate(ids)], "id string, text string")
+    targets = spark.createDataFrame([(s, t, None if i % 8 == 7 else (i // 2 + k) % 2) for i, s in enumerate(ids) for k, t in enumerate(NAMES)], "id string, target string, value int")
     return L.text_group_key(texts).select("id", "group_id"), targets
 
 
 def test_grouped_folds(spark):
     members, targets = split_case(spark)
     strata = targets.filter("target = 'MCL'")
-    folds = S.grouped_stratified_folds(members, strata, 3, 42)
-    support = S.validate_folds(members, folds, targets, NAMES, 3).collect()
-    assert len(support) == 6 and all(r["positive"] and r["negative"] for r in support)
+    folds = S.grouped_stratified_folds(members, strata, 4, 11)
+    support = S.validate_folds(members, folds, targets, NAMES, 4).collect()
+    assert len(support) == 8 and all(r["positive"] and r["negative"] for r in support)
     got = {r["id"]: r["fold"] for r in folds.collect()}
-    assert len(got) == 30 and got["study-00"] == got["study-29"]
-    again = S.grouped_stratified_folds(members.repartition(9), strata.repartition(4), 3, 42, min_rows=1, buckets=16)
+    assert len(got) == 48 and all(got[f"case{i}"] == got[f"case{i + 44}"] for i in range(4))
+    again = S.grouped_stratified_folds(members.repartition(9), strata.repartition(4), 4, 11, min_rows=1, buckets=16)
     assert {r["id"]: r["fold"] for r in again.collect()} == got
-    for bad in (folds.filter("id <> 'study-05'"), folds.withColumn("fold", F.when(F.col("id") == "study-29", (F.col("fold") + 1) % 3).otherwise(F.col("fold")).cast("int"))):
+    for bad in (folds.filter("id <> 'case17'"), folds.withColumn("fold", F.when(F.col("id") == "case45", (F.col("fold") + 1) % 4).otherwise(F.col("fold")).cast("int"))):
         with pytest.raises(ContractError):
-            S.validate_folds(members, bad, targets, NAMES, 3)
+            S.validate_folds(members, bad, targets, NAMES, 4)
     with pytest.raises(ContractError, match="class_support"):
-        S.validate_folds(members, folds, targets.withColumn("value", F.when(F.col("target") == "ACL", 1).otherwise(F.col("value"))), NAMES, 3)
+        S.validate_folds(members, folds, targets.withColumn("value", F.when(F.col("target") == "ACL", 0).otherwise(F.col("value"))), NAMES, 4)
 
 
 def label_case(spark):
-    ids = ["gold", "silver", "unknown", "missing"]
-    targets = spark.createDataFrame([(i, t, 0 if i == "gold" else None) for i in ids for t in NAMES], "id string, target string, value int")
-    rows = [("unknown", t, .28, .05, "UNK") for t in NAMES] + [("gold", t, .94, .95, "YES") for t in NAMES] + [("silver", "ACL", .68, .95, "YES"), ("silver", "MCL", .08, .85, "NO")]
+    """k is observed on one target and derived against it; l has an unknown and a zero-confidence verdict; m has nothing."""
+    targets = spark.createDataFrame([("k", "ACL", 1), ("k", "MCL", None), ("l", "ACL", None), ("l", "MCL", None), ("m", "ACL", None), ("m", "MCL", None)], "id string, target string, value int")
+    rows = [("k", "ACL", .1, .9, "NO"), ("k", "MCL", .72, .6, "YES"), ("l", "ACL", .5, .3, "UNK"), ("l", "MCL", .33, 0.0, "NO")]
     derived = spark.createDataFrame(rows, "id string, target string, score double, conf double, verdict string")
-    folds = spark.createDataFrame([("missing", "g4", 2), ("unknown", "g3", 1), ("gold", "g1", 0), ("silver", "g2", 1)], "id string, group_id string, fold int")
+    folds = spark.createDataFrame([("k", "red", 2), ("l", "blue", 0), ("m", "green", 2)], "id string, group_id string, fold int")
     return targets, derived, folds
 
 
 def test_fusion(spark):
     table = W.fuse_labels(*label_case(spark), "v1")
     got = {(r["id"], r["target"]): r for r in table.collect()}
-    assert (got["gold", "ACL"]["value"], got["gold", "ACL"]["source"], got["gold", "ACL"]["verdict"]) == (0, "observed", "YES")
-    assert (got["silver", "ACL"]["value"], got["silver", "MCL"]["value"], got["silver", "ACL"]["source"]) == (1, 0, "v1")
-    assert got["unknown", "ACL"]["value"] is None and got["unknown", "ACL"]["mask"] is False and got["unknown", "ACL"]["derived"] == .28
-    assert got["missing", "ACL"]["source"] == "unknown" and got["missing", "ACL"]["mask"] is False
-    assert {r["id"] for r in S.training_partition(table, 1).collect()} == {"gold"}
+    assert (got["k", "ACL"]["value"], got["k", "ACL"]["source"], got["k", "ACL"]["verdict"]) == (1, "observed", "NO")
+    assert (got["k", "MCL"]["value"], got["k", "MCL"]["source"], got["k", "MCL"]["derived"]) == (1, "v1", .72)
+    assert got["l", "ACL"]["value"] is None and got["l", "ACL"]["mask"] is False and got["l", "ACL"]["derived"] == .5
+    assert got["l", "MCL"]["mask"] is False and got["m", "MCL"]["source"] == "unknown" and got["m", "ACL"]["mask"] is False
+    assert {r["id"] for r in S.training_partition(table, 0).collect()} == {"k"}
     with pytest.raises(ContractError):
-        S.training_partition(table, 9)
-    assert {r["heldout_fold"]: r["training_ids"] for r in S.training_counts(table).collect()} == {0: 1, 1: 1, 2: 2}
-    sup = {(r["id"], r["target"]): (r["y"], r["weight"]) for r in W.supervision(table, .25).collect()}
-    assert sup["gold", "ACL"] == (0, 1) and sup["silver", "ACL"] == (1, .25) and sup["unknown", "ACL"] == (0, 0)
-    soft = {(r["id"], r["target"]): r["y"] for r in W.soft_targets(W.supervision(table, .25)).collect()}
-    assert soft["silver", "ACL"] == .68 and soft["gold", "ACL"] == 0
-    zero = W.supervision(table, 0.0).filter("weight > 0").select("id").distinct().collect()
-    assert [r["id"] for r in zero] == ["gold"]
+        S.training_partition(table, 7)
+    assert {r["heldout_fold"]: r["training_ids"] for r in S.training_counts(table).collect()} == {0: 1, 2: 0}
+    sup = {(r["id"], r["target"]): (r["y"], r["weight"]) for r in W.supervision(table, .5).collect()}
+    assert sup["k", "ACL"] == (1, 1) and sup["k", "MCL"] == (1, .5) and sup["l", "ACL"] == (0, 0) and sup["l", "MCL"] == (0, 0)
+    soft = {(r["id"], r["target"]): r["y"] for r in W.soft_targets(W.supervision(table, .5), .5).collect()}
+    assert soft["k", "MCL"] == .72 and soft["k", "ACL"] == 1
+    gold = W.supervision(table, 0.0).filter("weight > 0").select("id", "target").collect()
+    assert [tuple(r) for r in gold] == [("k", "ACL")]
 
 
-@pytest.mark.parametrize("col,value", [("score", -.1), ("score", 1.1), ("score", float("inf")), ("score", float("nan")), ("conf", -.1), ("conf", 1.1), ("verdict", "MAYBE"), ("verdict", None), ("id", "foreign"), ("id", " gold"), ("id", "")])
+@pytest.mark.parametrize("col,value", [("score", -.1), ("score", 1.1), ("score", float("inf")), ("score", float("nan")), ("conf", -.1), ("conf", 1.1), ("verdict", "MAYBE"), ("verdict", None), ("id", "foreign"), ("id", " k"), ("id", "")])
 def test_fusion_rejects_derived(spark, col, value):
     targets, derived, folds = label_case(spark)
-    hit = (F.col("id") == "gold") & (F.col("target") == "ACL")
+    hit = (F.col("id") == "k") & (F.col("target") == "ACL")
     with pytest.raises(ContractError):
         W.fuse_labels(targets, derived.withColumn(col, F.when(hit, F.lit(value)).otherwise(F.col(col))), folds, "v1")
 
 
 def test_fusion_rejects_folds_and_zero_confidence(spark):
     targets, derived, folds = label_case(spark)
-    for bad in (folds.filter("id <> 'gold'"), folds.withColumn("group_id", F.lit("g")), folds.withColumn("fold", F.lit(None).cast("int")), folds.union(folds)):
+    for bad in (folds.filter("id <> 'k'"), folds.withColumn("group_id", F.lit("red")), folds.withColumn("fold", F.lit(None).cast("int")), folds.union(folds)):
         with pytest.raises(ContractError):
             W.fuse_labels(targets, derived, bad, "v1")
     table = W.fuse_labels(targets, derived.withColumn("conf", F.lit(0.0)), folds, "v1")
@@ -156,21 +164,22 @@ def headers_of(spark, rows):
     return spark.createDataFrame(rows, "series string, slice string, orientation array<double>, position array<double>, instance string")
 
 
-FLAT = [0.0, 1.0, 0.0, 0.0, 0.0, -1.0]
+ACROSS = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]  # slices stack along z
 
 
 def test_slice_order(spark):
-    good = [("g", f"f{i}", FLAT, [x, 0.0, 0.0], str(9 - i)) for i, x in enumerate([1.0, 3.0, 2.0])]
-    missing = [("m", f"f{i}", FLAT, p, str(n)) for i, (p, n) in enumerate([([1.0, 0.0, 0.0], 3), (None, 1), ([2.0, 0.0, 0.0], 2)])]
-    mixed = [("x", "f0", FLAT, [1.0, 0.0, 0.0], "1"), ("x", "f1", [0.0, 0.0, -1.0, 0.0, 1.0, 0.0], [2.0, 0.0, 0.0], "2")]
-    equal = [("e", f"f{i}", FLAT, [1.0 + i * 5e-5, 0.0, 0.0], str(-i)) for i in range(3)]
-    none = [("n", f"f{i}", None, None, "7") for i in range(2)]
-    got = {(r["series"], r["slice"]): r for r in X.order_slices(headers_of(spark, good + missing + mixed + equal + none)).collect()}
-    assert [got["g", f"f{i}"]["pos"] for i in range(3)] == [2, 0, 1] and [got["g", f"f{i}"]["position"] for i in (1, 2, 0)] == [-3, -2, -1]
-    assert [got["m", f"f{i}"]["pos"] for i in range(3)] == [2, 0, 1] and got["m", "f0"]["method"] == "InstanceNumber" and got["m", "f0"]["reason"]
-    assert got["x", "f0"]["method"] == "rejected" and got["x", "f0"]["pos"] is None
-    assert [got["e", f"f{i}"]["pos"] for i in range(3)] == [2, 1, 0] and got["e", "f0"]["reason"] == "duplicate slice positions"
-    assert got["n", "f0"]["method"] == "rejected"
+    """By position along the normal; by instance where a position is missing or repeated; not at all otherwise."""
+    stacked = [("z", f"f{i}", ACROSS, [7.0, -2.0, z], "1") for i, z in enumerate([4.0, -1.5, 2.5, 9.0])]
+    holes = [("h", f"f{i}", ACROSS, p, str(n)) for i, (p, n) in enumerate([(None, 10), ([0.0, 0.0, 5.0], 30), ([0.0, 0.0, 6.0], 20)])]
+    turned = [("t", "f0", ACROSS, [0.0, 0.0, 1.0], "1"), ("t", "f1", [0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 2.0], "2")]
+    same = [("s", f"f{i}", ACROSS, [0.0, 0.0, 2e-5 * i], str(n)) for i, n in enumerate([5, 4, 9])]
+    bare = [("b", f"f{i}", None, None, "3") for i in range(3)]
+    got = {(r["series"], r["slice"]): r for r in X.order_slices(headers_of(spark, stacked + holes + turned + same + bare)).collect()}
+    assert [got["z", f"f{i}"]["pos"] for i in range(4)] == [2, 0, 1, 3] and [got["z", f"f{i}"]["position"] for i in range(4)] == [4.0, -1.5, 2.5, 9.0]
+    assert [got["h", f"f{i}"]["pos"] for i in range(3)] == [0, 2, 1] and got["h", "f0"]["method"] == "InstanceNumber" and got["h", "f0"]["reason"]
+    assert got["t", "f1"]["method"] == "rejected" and got["t", "f1"]["pos"] is None
+    assert [got["s", f"f{i}"]["pos"] for i in range(3)] == [1, 0, 2] and got["s", "f2"]["reason"] == "duplicate slice positions"
+    assert got["b", "f2"]["method"] == "rejected"
 
 
 @pytest.mark.parametrize("n,count,lo,hi,want", [(9, 3, 0, 1, [0, 4, 8]), (9, 1, 0, 1, [4]), (2, 5, 0, 1, [0, 0, 0, 1, 1]), (21, 12, .2, .8, [4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 16])])
@@ -191,14 +200,34 @@ def test_series_choice_windows_fill_quality(spark):
 
 
 def test_count_features_and_profiles(spark):
-    parents = spark.createDataFrame([("b",), ("a",), ("missing",)], "id string")
-    series = spark.createDataFrame([("a", "Axial", 0, 0), ("a", "Sagittal", 1, 1), ("b", "Coronal", 1, 0), ("b", "Oblique", None, 0)], "id string, plane string, fluid int, fat int")
-    got = {r["id"]: [r[c] for c in G.count_names(G.CATEGORIES)] for r in G.count_features(parents, series).collect()}
-    assert got == {"b": [2, 0, 1, 0, 0, 1, 2, 0], "a": [2, 1, 0, 1, 1, 1, 1, 1], "missing": [0] * 8}
-    gram = {(r["a"], r["b"]): r["gram"] for r in P.feature_gram(G.count_features(parents, series), ["total", "plane_Axial"]).collect()}
-    assert gram == {("total", "total"): 8, ("total", "plane_Axial"): 2, ("plane_Axial", "plane_Axial"): 1}
-    wide = P.wide_gram(G.as_array(G.count_features(parents, series), ["total", "plane_Axial"]))
-    assert wide.tolist() == [[8, 2], [2, 1]] and P.gram_rank(wide) == 2
+    parents = spark.createDataFrame([("p1",), ("p2",), ("p3",)], "id string")
+    rows = [("p1", "Coronal", 0, 1), ("p1", "Coronal", 0, 0), ("p1", "Axial", 1, 1), ("p3", "Sagittal", None, 1), ("p3", "Curved", 0, None)]
+    series = spark.createDataFrame(rows, "id string, plane string, fluid int, fat int")
+    counted = G.count_features(parents, series)
+    got = {r["id"]: [r[c] for c in G.count_names(G.CATEGORIES)] for r in counted.collect()}
+    assert got == {"p1": [3, 1, 2, 0, 2, 1, 1, 2], "p2": [0] * 8, "p3": [2, 0, 0, 1, 1, 0, 0, 1]}
+    gram = {(r["a"], r["b"]): r["gram"] for r in P.feature_gram(counted, ["total", "plane_Coronal"]).collect()}
+    assert gram == {("total", "total"): 13, ("total", "plane_Coronal"): 6, ("plane_Coronal", "plane_Coronal"): 4}
+    wide = P.wide_gram(G.as_array(counted, ["total", "plane_Coronal"]))
+    assert wide.tolist() == [[13, 6], [6, 4]] and P.gram_rank(wide) == 2
+
+
+def test_slots_and_pixels_reject(spark):
+    """A repeated or unknown place, another width, a hole: errors wherever vectors are packed."""
+    ids = spark.createDataFrame([("a",)], "id string")
+    rows = [("a", "Axial", 0, [1.0, 2.0]), ("a", "Axial", 1, [3.0, 4.0])]
+    good = spark.createDataFrame(rows, "id string, plane string, window int, vec array<float>")
+    more = lambda *r: good.union(spark.createDataFrame([r], good.schema))
+    assert G.mean_pool_windows(good).first()["vec"] == [2, 3]
+    for bad in (more("a", "Axial", 1, [9.0, 9.0]), more("a", "Axial", 10, [1.0, 1.0]), more("a", "Axial", 2, [1.0]), more("a", "Axial", 2, [1.0, float("nan")]), more("a", "Axial", 2, None)):
+        with pytest.raises(Exception, match="repeated|unknown|differ"):
+            G.mean_pool_windows(bad).collect()
+    for bad in (good, good.limit(1).withColumn("plane", F.lit("Oblique")), good.filter("window = 0").withColumn("vec", F.array(F.lit(1.0)).cast("array<float>"))):
+        with pytest.raises(Exception, match="repeated|unknown"):
+            G.assemble_slots(ids, bad.drop("window"), 2).collect()
+    for value in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="finite"):
+            G.clip_scale(spark.createDataFrame([("i", 0, 1.0), ("i", 1, value)], "image string, pixel long, value double")).collect()
 
 
 def test_slots_pooling_scaling_encoding(spark):
