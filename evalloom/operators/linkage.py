@@ -99,6 +99,7 @@ def key_overlap_audit(keys: DataFrame, ids: DataFrame, folds: Sequence[int]) ->
         F.coalesce(F.col("glo") != F.col("ghi"), F.lit(False)).alias("gold_cross"),
         (F.col("has_train") & F.col("has_test")).alias("both"), "has_gold",
     )
+    # The metric names of the audit, here and in per_study.
     per_kind = groups.groupBy("kind").agg(
         F.count(F.lit(1)).alias("unique_keys"), count(F.col("n") > 1).alias("multi_study_groups"),
         F.max("n").alias("largest_group_studies"), count(F.col("cross")).alias("cross_fold_groups"),

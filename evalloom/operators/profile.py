@@ -110,6 +110,7 @@ def text_length_profile(df: DataFrame, text: str, flag: str) -> DataFrame:
 
 def script_counts(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
+    # The metric names.
     return df.agg(
         F.count_if(t.rlike(CYRILLIC)).alias("containing_cyrillic"), F.count_if(t.rlike(CJK)).alias("containing_cjk"),
         F.count_if(t.rlike(NON_ASCII)).alias("containing_non_ascii"),

@@ -97,6 +97,7 @@ def order_slices(headers: DataFrame, **sizing: int) -> DataFrame:
     )
     facts = rows.groupBy("series").agg(F.min("_valid").alias("all_valid"), F.max("_apart").alias("mixed"))
     facts = facts.join(close, "series", "left").join(repeated, "series", "left")
+    # The names of methods and reasons.
     reason = F.when(~F.col("all_valid"), "missing or invalid geometry").when(F.coalesce(F.col("close"), F.lit(False)), "duplicate slice positions")
     method = (
         F.when(F.coalesce(F.col("mixed"), F.lit(False)), "rejected").when(reason.isNull(), "geometry")
@@ -174,6 +175,7 @@ def fill_nearest(samples: DataFrame, payload: str, count: int) -> DataFrame:
 def series_status(selected: DataFrame) -> DataFrame:
     """Status ladder from ``series_id, n_files, method, good`` and the failure counts."""
     fallback = (F.col("header_failures") + F.col("decode_failures") + F.col("spacing_fallbacks") > 0) | (F.col("method") != "geometry")
+    # The names of the status ladder.
     status = (
         F.when(F.col("series_id").isNull(), "no_matching_series")
         .when(F.coalesce("n_files", F.lit(0)) == 0, "no_dicom_files")

@@ -16,7 +16,7 @@ from ..operators import blend, evaluate, heads, labels as weak, linkage, profile
 from ..operators import features as feats
 from ..operators.checks import (
     bad_binary, bad_count, bad_digest, bad_enum, check_complete_categories, check_cross_values, check_disjoint,
-    check_distinct_groups, check_key, check_set_equal, check_unique, check_class_support, check_fd, enforce, row_checks,
+    check_distinct_groups, check_key, check_set_equal, check_subset, check_unique, check_class_support, check_fd, enforce, row_checks,
 )
 from ..session import reuse
 from ..sources.io import check_json_list, explode_json_list
@@ -32,6 +32,7 @@ def metadata_audit(texts: DataFrame, targets: DataFrame, series: DataFrame, test
     enforce(
         check_key(texts, ["id"], "train"), check_key(test, ["id"], "test"), check_key(series, ["series_id"], "series"),
         check_disjoint(texts, test, ["id"], "train, test"), check_set_equal(texts, targets, ["id"], "targets = train"),
+        check_subset(series, texts, ["id"], "series in train"),
         row_checks(targets, "targets", {"binary": bad_binary(F.col("value"))}),
     )
     return report({

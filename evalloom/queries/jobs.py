@@ -23,13 +23,14 @@ from .profiles import LINES
           FROM (SELECT id, count(value) AS k FROM targets GROUP BY id))
     SELECT 'completeness' AS section, metric, '' AS key, value::DOUBLE AS value FROM c UNPIVOT (value FOR metric IN (fully_labeled, partially_labeled, unlabeled))
     UNION ALL SELECT 'targets', metric, target, value::DOUBLE FROM t UNPIVOT (value FOR metric IN (observed, unknown, positive, negative))
-    UNION ALL SELECT 'series', 'n', 'plane|' || upper(substr(plane, 1, 1)) || substr(plane, 2), count(*)::DOUBLE FROM event_series GROUP BY plane
-    UNION ALL SELECT 'series', 'n', 'fluid|' || fluid, count(*)::DOUBLE FROM event_series GROUP BY fluid
-    UNION ALL SELECT 'series', 'n', 'fat|' || fat, count(*)::DOUBLE FROM event_series GROUP BY fat
+    UNION ALL SELECT 'series', 'n', 'plane|' || upper(substr(plane, 1, 1)) || substr(plane, 2), count(*)::DOUBLE FROM event_series WHERE id IN (SELECT doc_id FROM documents) GROUP BY plane
+    UNION ALL SELECT 'series', 'n', 'fluid|' || fluid, count(*)::DOUBLE FROM event_series WHERE id IN (SELECT doc_id FROM documents) GROUP BY fluid
+    UNION ALL SELECT 'series', 'n', 'fat|' || fat, count(*)::DOUBLE FROM event_series WHERE id IN (SELECT doc_id FROM documents) GROUP BY fat
     UNION ALL SELECT 'texts', 'nonblank', '', count(*)::DOUBLE FROM documents""", uses="targets event_series")
 def metadata_audit(spark, sf):
     test = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("id"))
-    return J.metadata_audit(documents(spark, sf), targets(spark, sf), event_series(spark, sf), test, len(TARGETS))
+    series = event_series(spark, sf).join(documents(spark, sf).select("id"), "id", "left_semi")  # users without a document are no part of the star
+    return J.metadata_audit(documents(spark, sf), targets(spark, sf), series, test, len(TARGETS))
 
 
 @query()
