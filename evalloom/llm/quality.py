@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import saved, small_side, text_of
 
 SPACE, WINDOW = r"[\x20\x09-\x0D]+", 8
 #: A measure for each rule, and the cutoffs that are tested, strictest first.
@@ -112,7 +112,7 @@ def cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: fl
 def judged(marked: DataFrame, chosen: DataFrame) -> DataFrame:
     """``marked`` with ``base_failed``, ``reasons`` (rules that reject the text) and ``kept``."""
     wide = chosen.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-    rows = marked.join(wide, "stratum", "left")
+    rows = marked.join(small_side(saved(wide)), "stratum", "left")  # so that texts don't meet by stratum
     reasons = F.array_compact(F.array(*[F.when(F.expr(m) > F.col(f"cut_{r}"), F.lit(r)) for r, (m, _) in RULES.items()]))
     failed = base_failed()
     return rows.select(*marked.columns, failed.alias("base_failed"), reasons.alias("reasons"), (~failed & (F.size(reasons) == 0)).alias("kept"))
