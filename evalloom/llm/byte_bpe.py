@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import chunks, text_of
 
 #: Entries of each of the two generations of a worker's chunk dictionary, and pieces held at once.
-CACHE_ENTRIES, HELD_PIECES = 500_000, 200_000
+CACHE_ENTRIES, HELD_PIECES = 150_000, 200_000
 #: From this length on a piece gets a tree of its own; bytes of all trees built side by side.
 LONG_PIECE, TREE_BYTES = 256, 1 << 23
 NONE = np.iinfo(np.int64).max
