@@ -7,7 +7,7 @@ text itself never moves. Nothing word-sized reaches the driver: only counts of s
 
 Network. The input of a place is the id before it. One attention layer with relative position biases, a residual path from the
 input (the log-probabilities of the classes after it, from pair counts over all training texts),
-and a softmax over classes of ids; the most frequent ids are classes of their own, the others share classes by
+and a softmax over classes of ids, by families of classes; the most frequent ids are classes of their own, the others share classes by
 shape and frequency, within which the training counts of the whole corpus decide, so that each id has a probability and they add up to one. Texts
 are cut into windows of ``QUERIES`` places that also see the ``CONTEXT`` places before them, so each place is scored once, with at least so
 much context; windows go through masked attention in batches.
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from . import token_files
 from .common import chunks, ragged, saved, text_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 END = "<|endoftext|>"
 #: Network: width, places of a window, places seen before it, ids with a class or an input vector of their own, frequency steps of a shape.
-WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 160, 1024, 4
-ROUNDS, TRAIN_EVERY, RATE, BATCH, TOP = 2, 32, 0.2, 64, 60.0
+WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 192, 1024, 8
+#: Classes come in families of so many: a softmax over families, then one over the classes of a family.
+MEMBERS = 32
+ROUNDS, TRAIN_EVERY, RATE, BATCH, SCORE_BATCH, TOP = 2, 48, 0.2, 64, 64, 60.0
 TOKEN_PRIOR, PAIR_PRIOR = 0.1, 20.0
 
 
@@ -157,7 +159,8 @@ class Network:
     group: np.ndarray
     share: np.ndarray
     end: int
-    last: np.ndarray
+    family: np.ndarray
+    member: np.ndarray
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
 
@@ -182,21 +185,30 @@ def network(counts: np.ndarray, tokens: list[str], end: int, seed: int = 7) -> N
         group[own] = len(single) + s * STEPS + step
     unit[order[:INPUTS]] = np.arange(min(INPUTS, len(order)))
     unit[order[INPUTS:]] = INPUTS + group[order[INPUTS:]]
-    total = np.bincount(group, weights=prior, minlength=SINGLE + 8 * STEPS)
+    total = np.bincount(group, weights=prior, minlength=SINGLE + 8 * STEPS)  # a multiple of MEMBERS
     share = np.log(prior / total[group])
     rng = np.random.default_rng(seed)
     small = lambda *size: rng.normal(0, 0.3, size).astype(np.float32)
     rows, classes = INPUTS + len(total), len(total)
     weights = {name: small(rows, WIDTH) for name in ("query", "key", "value")}
     weights["place"] = np.zeros(QUERIES + CONTEXT, dtype=np.float32)
-    weights["out"] = np.zeros((WIDTH, classes), dtype=np.float32)
-    last = np.tile(np.log(np.maximum(total, 1e-6) / total.sum()), (rows, 1)).astype(np.float32)
-    return Network(unit, group, share, end, last, weights)
+    families = classes // MEMBERS
+    weights["family"] = np.zeros((WIDTH, families), dtype=np.float32)
+    weights["member"] = np.zeros((families, WIDTH, MEMBERS), dtype=np.float32)
+    chance = np.tile(np.maximum(total, 1e-6) / np.maximum(total, 1e-6).sum(), (rows, 1))
+    return Network(unit, group, share, end, *_levels(chance), weights)
+
+
+def _levels(chance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of the chances of the families, and of the classes within them, after each input row."""
+    parts = chance.reshape(len(chance), -1, MEMBERS)
+    family = parts.sum(axis=2)
+    return np.log(family).astype(np.float32), np.log(parts / family[:, :, None]).astype(np.float32).reshape(-1, MEMBERS)
 
 
 def pair_counts(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """How often each class follows each input row in some texts."""
-    rows, classes = net.last.shape
+    rows, classes = len(net.family), net.family.shape[1] * MEMBERS
     before = np.concatenate([np.append(net.end, x) for x in ids])
     after = np.concatenate([np.append(x, net.end) for x in ids])
     return np.bincount(net.unit[before] * classes + net.group[after], minlength=rows * classes)
@@ -204,10 +216,11 @@ def pair_counts(net: Network, ids: list[np.ndarray]) -> np.ndarray:
 
 def with_pairs(net: Network, counts: np.ndarray) -> Network:
     """The residual path from the pair counts: the log-probability of each class after each input row."""
-    seen = counts.reshape(net.last.shape).astype(np.float64)
-    prior = PAIR_PRIOR * np.exp(net.last.astype(np.float64))
-    last = np.log((seen + prior) / (seen.sum(axis=1, keepdims=True) + PAIR_PRIOR)).astype(np.float32)
-    return Network(net.unit, net.group, net.share, net.end, last, net.weights)
+    rows = len(net.family)
+    seen = counts.reshape(rows, -1).astype(np.float64)
+    prior = np.exp(np.repeat(net.family, MEMBERS, axis=1).astype(np.float64) + net.member.reshape(rows, -1))
+    chance = (seen + PAIR_PRIOR * prior) / (seen.sum(axis=1, keepdims=True) + PAIR_PRIOR)
+    return Network(net.unit, net.group, net.share, net.end, *_levels(chance), net.weights)
 
 
 BACK = np.arange(QUERIES)[:, None] + CONTEXT - np.arange(QUERIES + CONTEXT)[None, :]  # how far a key lies before its query
@@ -240,8 +253,18 @@ def targets(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def forward(net: Network, keys: np.ndarray, valid: np.ndarray) -> dict[str, np.ndarray]:
-    """Masked attention over a batch of windows, up to the unnormalized probabilities of the classes."""
+def _softmax(logit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities by row, and the logarithm of that at ``at``."""
+    np.minimum(logit, np.float32(TOP), out=logit)
+    chosen = logit[np.arange(len(at)), at]
+    np.exp(logit, out=logit)
+    total = logit @ np.ones((logit.shape[1], 1), dtype=np.float32)
+    logit /= total
+    return logit, chosen - np.log(total[:, 0])
+
+
+def forward(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> dict:
+    """Masked attention over a batch of windows; the log-probability of the class ``group`` in each place."""
     w, rows = net.weights, np.maximum(keys, 0)
     own = rows[:, CONTEXT:]
     q, k, v = w["query"][own], w["key"][rows], w["value"][rows]
@@ -253,11 +276,18 @@ def forward(net: Network, keys: np.ndarray, valid: np.ndarray) -> dict[str, np.n
     np.exp(np.minimum(score, np.float32(TOP), out=score), out=score)
     score /= (score @ np.ones((score.shape[2], 1), dtype=np.float32)) + np.float32(1e-30)
     h = (score @ v).reshape(-1, WIDTH)
-    logit = h @ w["out"]
-    logit += net.last[own.reshape(-1)]
-    np.minimum(logit, np.float32(TOP), out=logit)
-    p = np.exp(logit)
-    return {"rows": rows, "own": own, "q": q, "k": k, "v": v, "a": score, "h": h, "logit": logit, "p": p, "sum": p @ np.ones((p.shape[1], 1), dtype=np.float32)}
+    before, family, member = own.reshape(-1), group // MEMBERS, group % MEMBERS
+    top, log = _softmax(h @ w["family"] + net.family[before], family)
+    by = np.argsort(family, kind="stable")  # the places of a family together
+    edge = np.searchsorted(family[by], np.arange(len(w["member"]) + 1)).tolist()
+    inner = net.member[before[by] * len(w["member"]) + family[by]]
+    moved = h[by]
+    for f, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+        if b > a:
+            inner[a:b] += moved[a:b] @ w["member"][f]
+    inner, log_inner = _softmax(inner, member[by])
+    log[by] += log_inner
+    return {"rows": rows, "own": own, "q": q, "k": k, "v": v, "a": score, "h": h, "top": top, "by": by, "edge": edge, "inner": inner, "log": log}
 
 
 def log_scores(net: Network, ids: list[np.ndarray]) -> np.ndarray:
@@ -265,13 +295,13 @@ def log_scores(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     keys, valid, owner = windows(net, ids)
     aim = targets(net, ids)
     total = np.zeros(len(ids))
-    for i in range(0, len(keys), BATCH):
-        made = forward(net, keys[i : i + BATCH], valid[i : i + BATCH])
-        t = aim[i : i + BATCH].reshape(-1)
+    for i in range(0, len(keys), SCORE_BATCH):
+        batch = slice(i, i + SCORE_BATCH)
+        t = aim[batch].reshape(-1)
         at = np.maximum(t, 0)
-        p = made["logit"][np.arange(len(t)), net.group[at]] - np.log(made["sum"][:, 0]) + net.share[at]
+        p = forward(net, keys[batch], valid[batch], net.group[at])["log"] + net.share[at]
         p = np.where(t >= 0, p, 0.0).reshape(-1, QUERIES).sum(axis=1)
-        total += np.bincount(owner[i : i + BATCH], weights=p, minlength=len(ids))
+        total += np.bincount(owner[batch], weights=p, minlength=len(ids))
     return total / np.log(10)
 
 
@@ -287,15 +317,21 @@ def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
     """Gradient of the summed loss in the windows' places, that loss and their number; ``group`` is -1 where there is no place."""
-    f, w = forward(net, keys, valid), net.weights
-    known = group.reshape(-1) >= 0
+    known = (group.reshape(-1) >= 0).astype(np.float32)
     at = np.maximum(group.reshape(-1), 0)
-    line = np.arange(len(at))
-    loss = float((np.log(f["sum"][:, 0]) - f["logit"][line, at])[known].sum())
-    p = f["p"] / f["sum"]
-    p[line, at] -= 1
-    p *= known.astype(np.float32)[:, None]
-    dh = (p @ w["out"].T).reshape(*f["own"].shape, WIDTH)
+    f, w = forward(net, keys, valid, at), net.weights
+    by, top, inner, h = f["by"], f["top"], f["inner"], f["h"]
+    top[np.arange(len(at)), at // MEMBERS] -= 1
+    inner[np.arange(len(at)), at[by] % MEMBERS] -= 1
+    top *= known[:, None]
+    inner *= known[by][:, None]
+    dh = top @ w["family"].T
+    moved, dmoved, dmember = h[by], np.zeros_like(h), np.zeros_like(w["member"])
+    for k, (a, b) in enumerate(zip(f["edge"][:-1], f["edge"][1:], strict=True)):
+        dmoved[a:b] = inner[a:b] @ w["member"][k].T
+        dmember[k] = moved[a:b].T @ inner[a:b]
+    dh[by] += dmoved
+    dh = dh.reshape(*f["own"].shape, WIDTH)
     da = dh @ f["v"].transpose(0, 2, 1)
     ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
     scale, size = np.float32(WIDTH**-0.5), len(w["query"])
@@ -304,8 +340,8 @@ def gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarra
         "query": _scatter(f["own"], ds @ f["k"] * scale, size), "key": _scatter(f["rows"], ds.transpose(0, 2, 1) @ f["q"] * scale, size),
         "value": _scatter(f["rows"], f["a"].transpose(0, 2, 1) @ dh, size),
         "place": np.bincount(near.reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=QUERIES + CONTEXT).astype(np.float32),
-        "out": f["h"].T @ p,
-    }, loss, int(known.sum())
+        "family": h.T @ top, "member": dmember,
+    }, float(-(f["log"] * known).sum()), int(known.sum())
 
 
 def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square: dict[str, np.ndarray] | None = None) -> int:
@@ -391,7 +427,7 @@ def trained(texts: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            own = Network(own.unit, own.group, own.share, own.end, own.last, {k: v.copy() for k, v in own.weights.items()})
+            own = Network(own.unit, own.group, own.share, own.end, own.family, own.member, {k: v.copy() for k, v in own.weights.items()})
             part = TaskContext.get().partitionId()
             n = train_on(own, (ids for _, ids in _ids_of(batches)), (turn * TRAIN_EVERY // rounds + part) % TRAIN_EVERY)
             if n:
@@ -404,7 +440,7 @@ def trained(texts: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
         for name, v in net.weights.items():
             weights[name] = mean[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
-        net = Network(net.unit, net.group, net.share, net.end, net.last, weights)
+        net = Network(net.unit, net.group, net.share, net.end, net.family, net.member, weights)
     return net
 
 

@@ -61,32 +61,31 @@ def small(seed=1):
     rng = np.random.default_rng(seed)
     counts = rng.integers(0, 50, 40).astype(float)
     net = lm.network(counts, [chr(97 + i % 26) + ("</w>" if i % 3 else "") for i in range(40)], end=39)
-    net.weights["out"] = rng.normal(0, 0.3, net.weights["out"].shape).astype(np.float32)
+    for name in ("family", "member"):
+        net.weights[name] = rng.normal(0, 0.3, net.weights[name].shape).astype(np.float32)
     return net, rng
 
 
 
 def test_each_place_once_and_causal():
-    """A text's score is the sum of conditional probabilities that add up to one, whatever follows."""
+    """A text's score is the sum over its places of conditional probabilities that add up to one, whatever follows."""
     net, rng = small()
-    keys, valid, _ = lm.windows(net, [np.arange(5)])
+    classes = net.family.shape[1] * lm.MEMBERS
     for n in (0, 1, lm.QUERIES - 1, lm.QUERIES, 3 * lm.QUERIES + 2):
         ids = rng.integers(0, 39, n)
         keys, valid, _ = lm.windows(net, [ids])
-        f = lm.forward(net, keys, valid)
-        p = (f["p"] / f["sum"]).reshape(-1, f["p"].shape[1])
         aim = lm.targets(net, [ids]).reshape(-1)
         assert (aim[: n + 1] == np.append(ids, net.end)).all() and (aim[n + 1 :] == -1).all()
+        log = lambda keys, c: lm.forward(net, keys, valid, np.full(keys.shape[0] * lm.QUERIES, c))["log"]  # noqa: E731, B023
+        p = np.exp([log(keys, c) for c in range(classes)]).T
         every = p[:, net.group] * np.exp(net.share)  # over all ids
-        assert np.allclose(every.sum(axis=1), 1, atol=1e-5)
+        assert np.allclose(every.sum(axis=1), 1, atol=1e-4)
         want = sum(np.log10(every[i, a]) for i, a in enumerate(aim[: n + 1]))
         assert abs(lm.log_scores(net, [ids, ids])[1] - want) < 1e-3
         if n > 2:  # a later id changes no earlier place
             other = ids.copy()
             other[-1] = (other[-1] + 1) % 39
-            keys2, valid2, _ = lm.windows(net, [other])
-            g = lm.forward(net, keys2, valid2)
-            assert np.allclose((g["p"] / g["sum"])[:n], p[:n], atol=1e-6)
+            assert np.allclose(log(lm.windows(net, [other])[0], 1)[:n], log(keys, 1)[:n], atol=1e-6)
 
 
 def test_gradient():
