@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
+from . import oracles
 from .attention_lm import lm_scores
 from .byte_bpe import bpe_digests
 from .chat_trees import packs, read_back
@@ -21,7 +22,7 @@ from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.op5(alpha=0.01, delta=0.05), "op10_decontamination": oracles.OP10}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

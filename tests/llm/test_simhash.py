@@ -103,3 +103,59 @@ def test_trie_against_all_pairs(spark, monkeypatch, rows):
         roots.setdefault(least, set()).add(root(v))
     assert all(len(x) == 1 for x in roots.values())
     assert len({next(iter(x)) for x in roots.values()}) == len(roots)
+
+
+def test_trie_in_small_parts(monkeypatch):
+    """Node pairs walked a few at a time, and longer fingerprints that share a value."""
+    monkeypatch.setattr(simhash, "PAIRS", 40)
+    rng = np.random.default_rng(2)
+    values = np.sort(rng.integers(0, 2**12, 300).astype(np.uint64) * np.uint64(2**30))
+    full = rng.integers(0, 2**63, (300, 2)).astype(np.uint64)
+    groups = np.repeat(np.arange(3), 100)
+    label = simhash.trie_join(np.concatenate([np.sort(values[groups == g]) for g in range(3)]), groups, 2, 48)
+    ordered = np.concatenate([np.sort(values[groups == g]) for g in range(3)])
+    parent = list(range(300))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(300):
+        for j in range(i):
+            if groups[i] == groups[j] and int(ordered[i] ^ ordered[j]).bit_count() <= 2 and ordered[i] != ordered[j]:
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    distinct = np.concatenate(([True], (ordered[1:] != ordered[:-1]) | (groups[1:] != groups[:-1])))
+    first = np.maximum.accumulate(np.where(distinct, np.arange(300), 0))
+    assert all(label[i] == label[j] for i in range(300) for j in range(i) if root(first[i]) == root(first[j]) and distinct[i] and distinct[j])
+    same = np.zeros(6, dtype=np.uint64)
+    near = np.zeros((6, 2), dtype=np.uint64)
+    near[3:] = full[0]
+    assert simhash.trie_join(same, np.zeros(6, dtype=int), 2, 48, near, 4).tolist() == [0, 0, 0, 3, 3, 3]
+
+
+def test_one_of_each(spark):
+    """Copies and texts of similarity 0.9 leave one, the least doc_id; unrelated and merely related texts stay."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs, groups = [], []
+    for g in range(30):
+        base = rng.choice(vocabulary, 400).tolist()
+        group = []
+        for k in range(4):
+            text = list(base)
+            if k:
+                text[int(rng.integers(400 // 4 * (k - 1), 400 // 4 * k))] = "Changed"
+                text[-k] = "ending"
+            docs.append((1000 - 7 * len(docs), " ".join(text), f"s{g}", len(docs)))
+            group.append(docs[-1][0])
+        half = base[:200] + rng.choice(vocabulary, 200).tolist()
+        docs.append((5000 + g, " ".join(half), "half", 0))
+        groups.append(min(group))
+    docs += [(9000, None, "x", 1), (9001, "", "x", 1), (9002, "a b", "y", 2), (9002, "a b", "y", 2), (None, "a b", "y", 2)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, key_a long").repartition(3)
+    kept = simhash.one_of_each(frame)
+    assert kept.columns == frame.columns
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted([*groups, *(5000 + g for g in range(30)), 9000, 9002])
+    assert simhash.one_of_each(frame.limit(0)).count() == 0
