@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import provenance
+from ..operators.checks import ContractError
 from ..operators.labels import fuse_labels
 from ..plans import jobs as J
 from ..session import scratch_dir
@@ -36,7 +38,7 @@ def metadata_audit(spark, sf):
 @query()
 def profiled_split(spark, sf):
     path = f"{scratch_dir(spark)}/folds"
-    _, out = J.profile_and_freeze(documents(spark, sf), targets(spark, sf), TARGETS, "toxic", len(FOLDS), 42, path, {"documents": sf})
+    _, out = J.profile_and_freeze(documents(spark, sf), targets(spark, sf), TARGETS, "toxic", len(FOLDS), 42, path, {"documents": str(provenance.fingerprint_of(documents(spark, sf)))})
     return out.withColumn("value", r6("value"))
 
 
@@ -59,6 +61,25 @@ def label_source_report(spark, sf):
     return out
 
 
+@query("""
+    SELECT 'written' AS step, count(*) AS rows, FALSE AS refused FROM documents UNION ALL SELECT 'reused', count(*), FALSE FROM documents
+    UNION ALL SELECT 'other inputs', 0, TRUE""")
+def freeze_steps(spark, sf):
+    """A frozen table is written once, read again whatever a later call would write, and refused under another input digest."""
+    rows = documents(spark, sf).select("id", F.sha2("text", 256).alias("digest"))
+    path, inputs = f"{scratch_dir(spark)}/frozen", {"documents": str(provenance.fingerprint_of(rows))}
+    written = provenance.freeze_once(rows, path, inputs)
+    reused = provenance.freeze_once(rows.filter("false"), path, inputs)
+    try:
+        provenance.freeze_once(rows, path, {"documents": "other"})
+        refused = False
+    except ContractError:
+        refused = True
+    steps = [(written, "written"), (reused, "reused")]
+    made = [df.agg(F.lit(step).alias("step"), F.count(F.lit(1)).alias("rows"), F.lit(False).alias("refused")) for df, step in steps]
+    return made[0].unionByName(made[1]).unionByName(spark.range(1).select(F.lit("other inputs").alias("step"), F.lit(0).cast("bigint").alias("rows"), F.lit(refused).alias("refused")))
+
+
 @query()
 def overlap_report(spark, sf):
     """Documents as studies: three plane rows each, text and shape keys, text digests as pixels."""
