@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 from .common import chunks, text_of
 
 #: Entries of each of the two generations of a worker's chunk dictionary, and pieces held at once.
-CACHE_ENTRIES, HELD_PIECES = 150_000, 200_000
+CACHE_ENTRIES, HELD_PIECES = 120_000, 100_000
 #: From this length on a piece gets a tree of its own; bytes of all trees built side by side.
-LONG_PIECE, TREE_BYTES = 256, 1 << 23
+LONG_PIECE, TREE_BYTES = 256, 1 << 21
 NONE = np.iinfo(np.int64).max
 ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 
@@ -45,30 +45,38 @@ class ByteBPE:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.find = regex.compile(pattern)
-        size = max(self.ranks.values()) + 1
-        self.size = size
-        self.bytes_of: list[bytes] = [b""] * size
+        self.size = max(self.ranks.values()) + 1
+        self.bytes_of: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.first = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
-        pairs = {}
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The rank of each pair of tokens that make a token; decoding never asks for it."""
+        pairs, get = {}, self.ranks.get
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                a, b = get(token[:i]), get(token[i:])
                 if a is not None and b is not None:
-                    pairs[a * size + b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+                    pairs[a * self.size + b] = rank
+        return pairs
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs as sorted keys, and their ranks."""
+        keys = np.array(sorted(self.pairs), dtype=np.int64)
+        return keys, np.array([self.pairs[k] for k in keys.tolist()], dtype=np.int64)
 
     # --- merging ------------------------------------------------------------------------
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        keys, ranks = self.table
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, ranks[at], NONE)
 
     def _merge_many(self, pieces: tuple[bytes, ...], size: int) -> list[bytes]:
         """Pieces of at most ``size`` bytes, a power of two, each with its tree in one row of ``tree``."""
