@@ -30,7 +30,7 @@ from .common import map_chunks, partitions, ragged, row_key, saved, text_of
 
 BITS, BLOCKS = 64, 4
 #: Fingerprints of a group from which on it is dealt again; rows a task turns into one trie; node pairs walked at once.
-GROUP_ROWS, TRIE_ROWS, PAIRS = 50_000, 200_000, 400_000
+GROUP_ROWS, TRIE_ROWS, PAIRS = 50_000, 50_000, 100_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -54,8 +54,8 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
 def majority(hashes: np.ndarray) -> int:
     """The bits that over half of the hashes set."""
     total = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), 65536):
-        part = hashes[i : i + 65536]
+    for i in range(0, len(hashes), 8192):
+        part = hashes[i : i + 8192]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     bits = np.packbits(2 * total > len(hashes), bitorder="little")
     return int.from_bytes(bits.tobytes(), "little")
@@ -148,7 +148,7 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
             continue
         alo, ahi, blo, bhi, off = (x[keep] for x in (alo, ahi, blo, bhi, off))
         if bit not in ones:
-            ones[bit] = np.concatenate(([0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)))
+            ones[bit] = np.concatenate(([0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int32)))
         count = ones[bit]
         amid, bmid = ahi - (count[ahi] - count[alo]), bhi - (count[bhi] - count[blo])
         own = (alo == blo) & (ahi == bhi)
