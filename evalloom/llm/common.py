@@ -68,7 +68,7 @@ def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
 def saved(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder of ``spark.checkpoint.dir`` and read it back."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
