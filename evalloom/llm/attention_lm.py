@@ -39,10 +39,10 @@ from .common import chunks, ragged, saved, text_of
 BLOCK_BYTES = 16 << 20
 END = "<|endoftext|>"
 #: Network: width, places of a window, places seen before it, ids with a class or an input vector of their own, frequency steps of a shape.
-WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 192, 1024, 8
+WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 8, 16, 16, 192, 1024, 8
 #: Classes come in families of so many: a softmax over families, then one over the classes of a family.
 MEMBERS = 32
-ROUNDS, TRAIN_EVERY, RATE, BATCH, SCORE_BATCH, TOP = 2, 48, 0.2, 64, 64, 60.0
+ROUNDS, TRAIN_EVERY, RATE, BATCH, SCORE_BATCH, TOP = 2, 96, 0.2, 64, 256, 60.0
 TOKEN_PRIOR, PAIR_PRIOR = 0.1, 20.0
 
 
