@@ -33,7 +33,7 @@ from .common import chunks, partitions, ragged, text_of
 
 #: Bytes of a row group and of a page; words that one call of the library encodes; entries of a generation of the
 #: dictionary; bytes of text whose words are looked up at once.
-ROW_GROUP, PAGE, CALL_WORDS, CACHE_ENTRIES, CALL_BYTES = 32 << 20, 1 << 20, 20_000, 700_000, 8 << 20
+ROW_GROUP, PAGE, CALL_WORDS, CACHE_ENTRIES, CALL_BYTES = 32 << 20, 1 << 20, 20_000, 400_000, 8 << 20
 DICTIONARY = {"parquet.enable.dictionary": "true"}
 DELTA = {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}
 
