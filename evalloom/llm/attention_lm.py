@@ -12,9 +12,8 @@ shape and frequency, within which the training counts of the whole corpus decide
 are cut into windows of ``QUERIES`` places that also see the ``CONTEXT`` places before them, so each place is scored once, with at least so
 much context; windows go through masked attention in batches.
 
-Training is data-parallel: in each of ``ROUNDS`` rounds every task runs Adagrad over its own training windows from the
-common weights (each ``TRAIN_EVERY``-th window of every training text, other ones in each round), and the weights are averaged by the
-number of places, by a tree of sums. The windows grow with the corpus; counts use every token.
+Training is data-parallel: in each of ``ROUNDS`` rounds every task runs Adagrad over all windows of its training texts from the
+common weights, and the weights are averaged by the number of places, by a tree of sums. Weights and counts learn from every token.
 
 Defined results: null text counts as empty, and scores its end alone; a null doc_id counts as "" for the split; repeated rows each get their
 score and count as often; without training texts every count is zero and the network is the untrained one; an empty table gives no rows; further
@@ -39,10 +38,10 @@ from .common import chunks, ragged, saved, text_of
 BLOCK_BYTES = 16 << 20
 END = "<|endoftext|>"
 #: Network: width, places of a window, places seen before it, ids with a class or an input vector of their own, frequency steps of a shape.
-WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 8, 16, 16, 192, 1024, 8
+WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 192, 1024, 8
 #: Classes come in families of so many: a softmax over families, then one over the classes of a family.
 MEMBERS = 32
-ROUNDS, TRAIN_EVERY, RATE, BATCH, SCORE_BATCH, TOP = 2, 96, 0.2, 64, 256, 60.0
+ROUNDS, RATE, BATCH, SCORE_BATCH, TOP = 2, 0.2, 128, 256, 60.0
 TOKEN_PRIOR, PAIR_PRIOR = 0.1, 20.0
 
 
@@ -345,14 +344,14 @@ def gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarra
 
 
 def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square: dict[str, np.ndarray] | None = None) -> int:
-    """Adagrad over each ``TRAIN_EVERY``-th window of texts, from ``turn`` on; returns the number of places."""
+    """Adagrad over all windows of texts, in an order that ``turn`` seeds; returns the number of places."""
     square = square if square is not None else {k: np.full_like(v, 1e-2) for k, v in net.weights.items()}
-    seen = count = 0
+    rng = np.random.default_rng(turn)
+    count = 0
     held: list[tuple[np.ndarray, ...]] = []
 
-    def step() -> None:
+    def step(keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> None:
         nonlocal count
-        keys, valid, group = (np.concatenate(x) for x in zip(*held, strict=True))
         grads, _, n = gradient(net, keys, valid, group)
         count += n
         for name, g in grads.items():
@@ -362,16 +361,17 @@ def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square:
     for ids in texts:
         keys, valid, _ = windows(net, ids)
         aim = targets(net, ids)
-        first = (turn - seen) % TRAIN_EVERY
-        seen += len(keys)
-        pick = slice(first, None, TRAIN_EVERY)
-        t = aim[pick]
-        held.append((keys[pick], valid[pick], np.where(t >= 0, net.group[np.maximum(t, 0)], -1)))
+        group = np.where(aim >= 0, net.group[np.maximum(aim, 0)], -1)
+        order = rng.permutation(len(keys))
+        held.append((keys[order], valid[order], group[order]))
         if sum(len(x[0]) for x in held) >= BATCH:
-            step()
-            held = []
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            whole = len(rows[0]) // BATCH * BATCH
+            for i in range(0, whole, BATCH):
+                step(*(x[i : i + BATCH] for x in rows))
+            held = [tuple(x[whole:] for x in rows)]
     if held and sum(len(x[0]) for x in held):
-        step()
+        step(*(np.concatenate(x) for x in zip(*held, strict=True)))
     return count
 
 
@@ -429,7 +429,7 @@ def trained(texts: DataFrame, net: Network, rounds: int = ROUNDS) -> Network:
             own = shared.value
             own = Network(own.unit, own.group, own.share, own.end, own.family, own.member, {k: v.copy() for k, v in own.weights.items()})
             part = TaskContext.get().partitionId()
-            n = train_on(own, (ids for _, ids in _ids_of(batches)), (turn * TRAIN_EVERY // rounds + part) % TRAIN_EVERY)
+            n = train_on(own, (ids for _, ids in _ids_of(batches)), turn)
             if n:
                 yield _sums(part, n, n * np.concatenate([v.reshape(-1) for v in own.weights.values()]).astype(np.float64))
 

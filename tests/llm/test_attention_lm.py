@@ -124,3 +124,14 @@ def test_learns():
     for turn in range(60):
         lm.train_on(pairs, iter([texts[:300]]), turn)
     assert lm.log_scores(pairs, texts[300:]).mean() > 0.75 * before
+
+
+def test_trains_on_every_window():
+    """Texts below and above a batch give all their places in each round, however they are dealt into lists."""
+    net, rng = small()
+    texts = [rng.integers(0, 39, n) for n in [*range(40), 5 * lm.BATCH * lm.QUERIES, 1]]
+    places = sum(len(x) + 1 for x in texts)
+    for turn in range(lm.ROUNDS):
+        assert lm.train_on(net, iter([[x] for x in texts]), turn) == places
+        assert lm.train_on(net, iter([texts]), turn) == places
+        assert lm.train_on(net, iter([texts[3:4]]), turn) == 4
