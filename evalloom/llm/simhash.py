@@ -29,8 +29,8 @@ from ..operators.linkage import link_components
 from .common import map_chunks, partitions, ragged, row_key, saved, text_of
 
 BITS, BLOCKS = 64, 4
-#: Fingerprints of a group from which on it is dealt again; rows a task turns into one trie; node pairs walked at once.
-GROUP_ROWS, TRIE_ROWS, PAIRS = 50_000, 50_000, 100_000
+#: Fingerprints of a group from which on it is dealt again; rows a task turns into one trie; node pairs walked at once; row pairs of equal values tested at once.
+GROUP_ROWS, TRIE_ROWS, PAIRS, LEAF = 50_000, 50_000, 100_000, 64
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -102,9 +102,12 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
     """For each row the least row it is linked to within its group, directly or by way of others.
 
     ``values`` are sorted within ``groups``, and equal above bit ``top`` there. With ``full`` (words of longer
-    fingerprints) a pair is linked only if these differ in at most ``limit`` bits; of rows with equal values, each then meets
-    the first one and the one before it.
+    fingerprints) a pair is linked only if these differ in at most ``limit`` bits; rows with equal values are then ordered by
+    ``full``, each meets the first one and the one before it, and then all other rows that no links join to it yet, by halves.
     """
+    if full is not None:
+        order = np.lexsort((*full.T[::-1], values, groups))
+        values, full = values[order], full[order]
 
     def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if full is None:
@@ -121,7 +124,7 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
     stack = [(top - 1, lo, hi, lo, hi, np.zeros(len(lo), dtype=np.int64))]
     while stack:
         bit, alo, ahi, blo, bhi, off = stack.pop()
-        if len(alo) > PAIRS:
+        if len(alo) > (PAIRS if bit >= -1 else max(1, PAIRS // LEAF)):
             half = len(alo) // 2
             stack.append((bit, *(x[:half] for x in (alo, ahi, blo, bhi, off))))
             stack.append((bit, *(x[half:] for x in (alo, ahi, blo, bhi, off))))
@@ -138,13 +141,34 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
         if not keep.any():
             continue
         if bit < 0:  # below the last bit a node holds one value, which several longer fingerprints may share
-            own = keep & (alo == blo)
-            size = (ahi - alo)[own] - 1
-            b = ragged(np.arange(n), alo[own] + 1, size)
-            a = np.concatenate((np.repeat(alo[own], size), b - 1, alo[keep & ~own]))
-            b = np.concatenate((b, b, blo[keep & ~own]))
-            near = close(a, b)
-            forest.link(a[near], b[near])
+            if bit == -1:
+                own = keep & (alo == blo)
+                size = (ahi - alo)[own] - 1
+                b = ragged(np.arange(n), alo[own] + 1, size)
+                a = np.concatenate((np.repeat(alo[own], size), b - 1, alo[keep & ~own]))
+                b = np.concatenate((b, b, blo[keep & ~own]))
+                near = close(a, b)
+                forest.link(a[near], b[near])
+            if full is not None:
+                alo, ahi, blo, bhi = (x[keep] for x in (alo, ahi, blo, bhi))
+                if bit < -1:
+                    small = (ahi - alo) * (bhi - blo) <= LEAF
+                    size = (ahi - alo)[small] * (bhi - blo)[small]
+                    at = ragged(np.arange(LEAF), np.zeros(len(size), dtype=np.int64), size)
+                    wide = np.repeat((bhi - blo)[small], size)
+                    a, b = np.repeat(alo[small], size) + at // wide, np.repeat(blo[small], size) + at % wide
+                    open_ = forest.label[a] != forest.label[b]
+                    a, b = a[open_], b[open_]
+                    near = close(a, b)
+                    forest.link(a[near], b[near])
+                    alo, ahi, blo, bhi = (x[~small] for x in (alo, ahi, blo, bhi))
+                    amid, bmid, own = (alo + ahi) // 2, (blo + bhi) // 2, alo == blo
+                    parts = [(alo, amid, blo, bmid), (amid, ahi, bmid, bhi), (alo, amid, bmid, bhi), tuple(x[~own] for x in (amid, ahi, blo, bmid))]
+                    alo, ahi, blo, bhi = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    some = (ahi > alo) & (bhi > blo)
+                    alo, ahi, blo, bhi = (x[some] for x in (alo, ahi, blo, bhi))
+                if len(alo):
+                    stack.append((bit - 1, alo, ahi, blo, bhi, np.zeros(len(alo), dtype=np.int64)))
             continue
         alo, ahi, blo, bhi, off = (x[keep] for x in (alo, ahi, blo, bhi, off))
         if bit not in ones:
@@ -162,7 +186,12 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
         own = (alo == blo) & (ahi == bhi)
         keep = (ahi > alo) & (bhi > blo) & (off <= budget) & ~(own & (ahi - alo == 1))
         stack.append((bit - 1, *(x[keep] for x in (alo, ahi, blo, bhi, off))))
-    return forest.label
+    if full is None:
+        return forest.label
+    least, label = np.full(n, n), np.empty(n, dtype=np.int64)
+    np.minimum.at(least, forest.label, order)
+    label[order] = least[forest.label]
+    return label
 
 
 def _dealt(rows: DataFrame, bits: int, others: list[str]) -> DataFrame:

@@ -134,6 +134,29 @@ def test_trie_in_small_parts(monkeypatch):
     assert simhash.trie_join(same, np.zeros(6, dtype=int), 2, 48, near, 4).tolist() == [0, 0, 0, 3, 3, 3]
 
 
+@pytest.mark.parametrize("pairs", [40, 100_000])
+def test_all_rows_of_equal_values(monkeypatch, pairs):
+    """Interleaved groups of near copies on one value, and on two values within the budget: components of all pairs."""
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    rng = np.random.default_rng(6)
+    n, limit = 240, 20
+    centre = rng.integers(0, 2**63, (24, 4)).astype(np.uint64)
+    full = centre[np.arange(n) % 24]
+    for i in range(n):
+        for _ in range(9):  # pairs of a group differ in 18 bits at most
+            full[i, rng.integers(4)] ^= np.uint64(1 << int(rng.integers(64)))
+    groups = np.repeat([0, 1], n // 2)
+    values = np.tile(np.repeat(np.array([5, 6], dtype=np.uint64), n // 4), 2)
+    label = simhash.trie_join(values, groups, 2, 8, full, limit)
+    want = np.arange(n)
+    for i in range(n):
+        for j in range(i):
+            if groups[i] == groups[j] and np.bitwise_count(full[i] ^ full[j]).sum() <= limit:
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert len(set(want)) == 48
+    assert label.tolist() == want.tolist()
+
+
 def test_one_of_each(spark):
     """Copies and texts of similarity 0.9 leave one, the least doc_id; unrelated and merely related texts stay."""
     rng = np.random.default_rng(8)
