@@ -46,3 +46,28 @@ def op5(alpha: float, delta: float) -> str:
     rejected AS (SELECT DISTINCT rid FROM judged JOIN safe USING (stratum) WHERE ({measure}) > cutoff)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.rid IS NULL AS kept
       FROM judged LEFT JOIN rejected USING (rid)"""
+
+# crc32 of the decimal doc_id, bit by bit: each character, then eight shifts; runs from pairs of equal 16-word windows, whose
+# places at one distance form stretches
+OP11 = r"""
+    WITH given AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                          xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                              lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                              lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) AS h FROM documents),
+    shaped AS (SELECT *, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a, h // 10 AS g FROM given),
+    texts AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, len(ws)),
+                     lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(ws) - a) // (3 + g % 8)) END]) END AS w FROM shaped),
+    windows AS (SELECT rid, i, hash(array_to_string(w[i + 1:i + 16], ' ')) AS v, len(w) AS n FROM (SELECT rid, w, unnest(range(0, len(w) - 15)) AS i FROM texts WHERE len(w) >= 24)),
+    again AS (SELECT * FROM windows SEMI JOIN (SELECT rid, v FROM windows GROUP BY rid, v HAVING count(*) > 1) USING (rid, v)),
+    pairs AS (SELECT x.rid, x.i, y.i - x.i AS q FROM again x JOIN again y ON x.rid = y.rid AND x.v = y.v AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+    stretches AS (SELECT rid, q, min(i) AS start, max(i) - min(i) + 16 + q AS length FROM
+                   (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM pairs) GROUP BY rid, q, island),
+    runs AS (SELECT rid, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY rid, start, length),
+    told AS (SELECT rid, count(*) AS n_runs, sha256(string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period)) AS digest,
+                    first(struct_pack(s := start, l := length, p := period) ORDER BY length / period DESC, start, period) AS top FROM runs GROUP BY rid),
+    gone AS (SELECT rid, list(DISTINCT i) AS dropped FROM (SELECT rid, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY rid)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, top.s::BIGINT AS start, top.l::BIGINT AS length, top.p::BIGINT AS period, (1000 * top.l // top.p)::BIGINT AS exponent_milli,
+           coalesce(digest, sha256('')) AS runs_sha256,
+           sha256(CASE WHEN dropped IS NULL THEN array_to_string(w, ' ')
+                       ELSE array_to_string(list_transform(list_filter(range(0, len(w)), lambda i: NOT list_contains(dropped, i)), lambda i: w[i + 1]), ' ') END) AS collapsed_sha256
+      FROM texts LEFT JOIN told USING (rid) LEFT JOIN gone USING (rid)"""

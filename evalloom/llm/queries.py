@@ -14,6 +14,7 @@ from .byte_bpe import bpe_digests
 from .chat_trees import packs, read_back
 from .common import saved, table
 from .decontaminate import contamination
+from .periodic_runs import run_digests
 from .pii import pii_digests
 from .quality import measured, quality_verdicts
 from .repeats import repeat_digests
@@ -22,7 +23,7 @@ from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.op5(alpha=0.01, delta=0.05), "op10_decontamination": oracles.OP10}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.op5(alpha=0.01, delta=0.05), "op10_decontamination": oracles.OP10, "op11_periodic_runs": oracles.OP11}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -96,3 +97,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(table(spark, sf_dir, "documents"))
