@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import CONFIDENCE, REACH, signatures
 from .quality import RULES
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -71,3 +72,47 @@ OP11 = r"""
            sha256(CASE WHEN dropped IS NULL THEN array_to_string(w, ' ')
                        ELSE array_to_string(list_transform(list_filter(range(0, len(w)), lambda i: NOT list_contains(dropped, i)), lambda i: w[i + 1]), ' ') END) AS collapsed_sha256
       FROM texts LEFT JOIN told USING (rid) LEFT JOIN gone USING (rid)"""
+
+
+OP13 = r"""
+    WITH docs AS (SELECT doc_id, coalesce(source::VARCHAR, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    failed AS (SELECT doc_id, part, (len(w) < 50) AS fa, (100 * len(list_distinct(w)) < 65 * len(w)) AS fb,
+                      (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t)) AS fc, regexp_matches(t, '[#$%&*|]') AS fd,
+                      coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false) AS fe FROM docs),
+    told AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    counted AS (SELECT part, fa::INT + 2 * fb::INT + 4 * fc::INT + 8 * fd::INT + 16 * fe::INT AS bits, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+                  FROM failed LEFT JOIN told USING (doc_id) GROUP BY ALL),
+    letters(name, own) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.own, b.own, c.own, d.own, e.own] AS bits
+                 FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.own, b.own, c.own, d.own, e.own])) = 5),
+    steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step, bits AS of_order FROM orders),
+    placed AS (SELECT filter_order, step, of_order[step] AS own, coalesce(list_sum(of_order[1:step - 1]), 0)::INT AS before FROM steps),
+    summed AS (SELECT part, filter_order, step, own, sum(CASE WHEN bits & (before | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                      sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                      sum(CASE WHEN bits & before <> 0 AND bits & own <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                      sum(CASE WHEN bits = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                      sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+                      sum(CASE WHEN bits & before = 0 AND bits & own <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+                 FROM counted CROSS JOIN placed GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM summed"""
+
+
+def op12() -> str:
+    values = ", ".join(f"({i}, '{label}', {level}, {base}, '{word}', '{needs}', '{pattern}')" for i, label, level, base, word, needs, pattern in signatures())
+    confidence = ", ".join(repr(c) for c in CONFIDENCE)
+    return rf"""
+    WITH rules(rule, label, level, base, keyword, needs, pattern) AS (VALUES {values}),
+    docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    words AS (SELECT rid, i, w[i + 1] AS keyword, w FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM docs WHERE len(w) > 0)),
+    near AS (SELECT rid, i, keyword, concat(' ', array_to_string(list_concat(w[greatest(i - {REACH}, 0) + 1:i], ['<' || keyword || '>'], w[i + 2:i + 1 + {REACH}]), ' '), ' ') AS line
+               FROM words SEMI JOIN rules USING (keyword)),
+    met AS (SELECT rid, i, rule, label, level, base, regexp_extract(line, pattern, 1) AS m FROM near JOIN rules USING (keyword) WHERE contains(line, needs)),
+    spans AS (SELECT DISTINCT rid, i - (len(string_split(string_split(m, '<')[1], ' ')) - 1) AS a, i - (len(string_split(string_split(m, '<')[1], ' ')) - 1) + len(string_split(m, ' ')) AS b,
+                     rule, label, level, base FROM met WHERE m <> ''),
+    kept AS (SELECT * FROM spans s WHERE base OR NOT EXISTS (SELECT 1 FROM spans t WHERE t.rid = s.rid AND t.a <= s.a AND t.b >= s.b AND
+               (t.level < s.level OR (t.level = s.level AND (t.b - t.a > s.b - s.a OR (t.b - t.a = s.b - s.a AND t.rule < s.rule)))))),
+    told AS (SELECT rid, count(*) FILTER (WHERE base) AS n, min(a) FILTER (WHERE base) AS first, max(a) FILTER (WHERE base) AS last,
+                    array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE base)), ',') AS bases, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+                    max(list_extract([{confidence}]::DOUBLE[], level + 1)) AS score FROM kept GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word, coalesce(bases, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM docs LEFT JOIN told USING (rid)"""

@@ -14,6 +14,8 @@ from .byte_bpe import bpe_digests
 from .chat_trees import packs, read_back
 from .common import saved, table
 from .decontaminate import contamination
+from .filter_audit import filter_audit
+from .license_scan import license_digests
 from .periodic_runs import run_digests
 from .pii import pii_digests
 from .quality import measured, quality_verdicts
@@ -23,7 +25,8 @@ from .simhash import near_duplicates
 from .token_files import read_tokens, token_checksums, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_quality_rules": oracles.op5(alpha=0.01, delta=0.05), "op10_decontamination": oracles.OP10, "op11_periodic_runs": oracles.OP11}
+ORACLES: dict[str, str] = {"op5_quality_rules": oracles.op5(alpha=0.01, delta=0.05), "op10_decontamination": oracles.OP10, "op11_periodic_runs": oracles.OP11,
+                            "op12_license_scan": oracles.op12(), "op13_filter_audit": oracles.OP13}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -102,3 +105,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
