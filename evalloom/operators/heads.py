@@ -1,20 +1,18 @@
 """Regularized per-target linear heads, out-of-fold prediction and recipe choice.
 
-Fits are Spark ML jobs over cached, scaled rows. Only coefficients come back to the
-driver; independent heads are submitted from a small thread pool, as a cross-validator
-does, so their stages share the cluster.
+All heads of all recipes, folds and targets share their passes over the rows: by Newton steps up to
+``JOINT_WIDTH`` features (``joint``), by gradients alone beyond that and behind principal components (``stacked``).
+Only coefficients come back to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, StandardScaler
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +21,14 @@ from ..functions.vectors import broken_vector, guarded
 from ..session import reuse
 from .checks import ContractError, check_key, check_subset, enforce, row_checks
 from .joint import Slot, fit_joint, label_arrays
+from .stacked import fit_stacked, packed, principal_axes, scaler_facts
 from .features import CATEGORIES, as_array, count_features, count_names
 from .labels import supervision
 
 # Inverse penalty strength and the supervision recipes.
 INVERSE_PENALTY = 0.1
 RECIPES = {"observed_only": 0.0, "silver_1.0": 1.0, "silver_0.25": 0.25}
-JOINT_WIDTH = 32  # up to this width curvatures fit and all heads share their Newton passes, see ``joint``; same checks and optimum beyond
-MAX_ITERATIONS = 500
+JOINT_WIDTH = 32  # up to this width curvatures fit a task's answer, see ``joint``; beyond it gradients alone, with the same checks and optimum
 MODEL_SCHEMA = (
     "recipe string, fold int, target string, intercept double, coef array<double>, mean array<double>, "
     "scale array<double>, observed bigint, derived bigint, explained array<double>"
@@ -89,41 +87,42 @@ def _width(features: DataFrame) -> int:
     return widest
 
 
-def _cell_counts(supervised: DataFrame) -> dict[str, tuple[int, int]]:
-    """Observed and derived cells in use per target; one row per target."""
-    rows = supervised.filter("weight > 0").groupBy("target").agg(
-        F.count("observed").alias("o"), F.count_if(F.col("observed").isNull()).alias("d")
-    )
-    return {r["target"]: (r["o"], r["d"]) for r in rows.collect()}
-
-
-def _joint_heads(
-    rows: DataFrame, recipes: Mapping[str, int], folds: Sequence[int], names: Sequence[str], c: float, *, held_out: bool,
+def _all_heads(
+    rows: DataFrame, recipes: Mapping[str, int], folds: Sequence[int], names: Sequence[str], c: float, *, width: int, pca: int | None, held_out: bool,
     counts: Mapping[tuple[str, int], Mapping[str, tuple[int, int]]],
 ) -> list[Head]:
     """All (recipe, fold, target) heads over ``rows(id, x, fold, y, w)`` in shared passes."""
-    rows = reuse(rows.select("x", "fold", "y", "w"))
+    slots, scalers, tags = [], [], []
+    for recipe, r in recipes.items():
+        for fold in folds:
+            scalers.append(([r * len(names) + t for t in range(len(names))], fold if held_out else None))
+            for t, name in enumerate(names):
+                slots.append(Slot(f"target {name}", r * len(names) + t, len(scalers) - 1, fold if held_out else None))
+                tags.append((recipe, fold, name))
+    explained: list[list[float]] = [[] for _ in scalers]
+    narrow = pca is None and width <= JOINT_WIDTH
+    rows = reuse(rows.select("x", "fold", "y", "w") if narrow else packed(rows))
     try:
-        slots, scalers, tags = [], [], []
-        for recipe, r in recipes.items():
-            for fold in folds:
-                scalers.append(([r * len(names) + t for t in range(len(names))], fold if held_out else None))
-                for t, name in enumerate(names):
-                    slots.append(Slot(f"target {name}", r * len(names) + t, len(scalers) - 1, fold if held_out else None))
-                    tags.append((recipe, fold, name))
-        fitted = fit_joint(rows, slots, scalers, c)
+        if narrow:
+            fitted = fit_joint(rows, slots, scalers, c)
+        else:
+            facts, axes = scaler_facts(rows, scalers), None
+            if pca is not None:
+                found = principal_axes(rows, scalers, pca, facts=facts)
+                axes, explained = [v for v, _ in found], [share.tolist() for _, share in found]
+            fitted = fit_stacked(rows, slots, scalers, c, facts=facts, axes=axes)
     finally:
         rows.unpersist()
     out = []
-    for (recipe, fold, name), (intercept, coef, mean, scale) in zip(tags, fitted):
+    for (recipe, fold, name), slot, (intercept, coef, mean, scale) in zip(tags, slots, fitted):
         observed, derived = counts[(recipe, fold)].get(name, (0, 0))
-        out.append(Head(recipe, fold, name, intercept, coef.tolist(), mean.tolist(), scale.tolist(), observed, derived, []))
+        out.append(Head(recipe, fold, name, intercept, coef.tolist(), mean.tolist(), scale.tolist(), observed, derived, explained[slot.scaler]))
     return out
 
 
 def fit_heads(
     features: DataFrame, supervised: DataFrame, names: Sequence[str], *, recipe: str = "observed_only", fold: int = -1,
-    pca: int | None = None, c: float = INVERSE_PENALTY, parallelism: int = 4, tol: float = 1e-10,
+    pca: int | None = None, c: float = INVERSE_PENALTY,
 ) -> list[Head]:
     """One L2 logistic head per target over its known rows; the intercept is not penalized.
 
@@ -134,49 +133,9 @@ def fit_heads(
     """
     width = _width(features)
     facts = _check_training(features, supervised, names, width)
-    if pca is None and width <= JOINT_WIDTH:
-        rows = features.join(label_arrays([supervised], names), "id")
-        return _joint_heads(rows, {recipe: 0}, [fold], names, c, held_out=False, counts={(recipe, fold): _cell_counts(supervised)})
-    n, mean, scale, scaler = fit_scaler(features, supervised)
-    wide = supervised.filter("weight > 0").groupBy("id").agg(*[
-        x for i, t in enumerate(names) for x in (
-            F.max(F.when(F.col("target") == t, F.col("y"))).alias(f"y{i}"),
-            F.max(F.when(F.col("target") == t, F.col("weight"))).alias(f"w{i}"),
-        )
-    ])
-    rows = features.join(wide, "id").withColumn("raw", array_to_vector("x"))
-    table = scaler.transform(rows).drop("raw", "x")
-    explained: list[float] = []
-    back = None
-    if pca:
-        reducer = PCA(k=pca, inputCol="scaled", outputCol="reduced").fit(table)
-        explained, back = list(reducer.explainedVariance), reducer.pc.toArray()
-        table = reducer.transform(table).drop("scaled").withColumnRenamed("reduced", "scaled")
-    table = reuse(table)
-    # The ML scaler divides by the sample deviation; the penalty is restated for the population one.
-    ratio = (n - 1) / n
-
-    def one(i: int) -> Head:
-        target = names[i]
-        model = LogisticRegression(
-            featuresCol="scaled", labelCol=f"y{i}", weightCol=f"w{i}", maxIter=MAX_ITERATIONS, tol=tol, elasticNetParam=0.0,
-            standardization=False, regParam=ratio / (c * facts[target]["w"]),
-        ).fit(table.filter(F.col(f"w{i}").isNotNull()).select("scaled", f"y{i}", f"w{i}"))
-        if model.summary.totalIterations >= MAX_ITERATIONS:
-            raise ContractError(f"target {target} did not converge")
-        w = model.coefficients.toArray()
-        if back is not None:
-            w = back @ w
-        return Head(
-            recipe, fold, target, float(model.intercept), [float(v) for v in w * ratio**0.5], [float(v) for v in mean],
-            [float(v) for v in scale], facts[target]["observed"], facts[target]["derived"], [float(v) for v in explained],
-        )
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(names)))) as pool:
-            return list(pool.map(one, range(len(names))))
-    finally:
-        table.unpersist()
+    rows = features.join(label_arrays([supervised], names), "id")
+    cells = {t: (f["observed"], f["derived"]) for t, f in facts.items()}
+    return _all_heads(rows, {recipe: 0}, [fold], names, c, width=width, pca=pca, held_out=False, counts={(recipe, fold): cells})
 
 
 def model_table(spark: SparkSession, heads: Sequence[Head]) -> DataFrame:
@@ -191,83 +150,86 @@ def _lines(heads: Sequence[Head]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _probabilities(heads: Sequence[Head], x: str) -> Column:
-    """Array of probabilities, one per head, in order, by one matrix product per Arrow batch; a broken vector is an error."""
+    """Array of probabilities, one per head, in order; a broken vector is an error.
+
+    Narrow lines are spelled out as arithmetic of the row; wide ones are one matrix product per Arrow batch.
+    """
     weights, offset = _lines(heads)
+    width = weights.shape[1]
+    checked = guarded(F.col(x).cast("array<double>"), broken_vector(F.col(x), width), f"a feature vector is not {width} finite numbers")
+    if width <= JOINT_WIDTH:
+
+        def probability(w: np.ndarray, b: float) -> Column:
+            logit = F.lit(float(b))
+            for i, v in enumerate(w.tolist()):
+                logit = logit + F.get(F.col(x), F.lit(i)).cast("double") * F.lit(v)
+            return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), logit))))
+
+        lines = F.array(*[probability(w, b) for w, b in zip(weights, offset)])
+        return F.when(checked.isNotNull(), lines)
 
     def product(batch: pd.Series) -> pd.Series:
         logits = np.clip(np.stack(batch.to_numpy()) @ weights.T + offset, -700, 700)
         return pd.Series(list(1 / (1 + np.exp(-logits))))
 
-    width = weights.shape[1]
-    checked = guarded(F.col(x).cast("array<double>"), broken_vector(F.col(x), width), f"a feature vector is not {width} finite numbers")
     return F.pandas_udf(product, "array<double>")(checked)
 
 
-def predict_heads(features: DataFrame, heads: Sequence[Head], names: Sequence[str] | None = None) -> DataFrame:
-    """``(id, recipe, target, p)`` of every row under heads of one width; one pass, no join."""
-    names = list(names or dict.fromkeys(h.target for h in heads))
+def _exploded(rows: DataFrame, heads: Sequence[Head], keep: Sequence[str]) -> DataFrame:
+    tags = F.array(*[F.struct(F.lit(h.recipe).alias("recipe"), F.lit(h.fold).alias("fold"), F.lit(h.target).alias("target")) for h in heads])
+    return rows.select(*keep, F.explode(F.arrays_zip(tags.alias("t"), F.col("_p").alias("p"))).alias("c"))
+
+
+def _check_heads(heads: Sequence[Head], names: Sequence[str]) -> None:
     if {h.target for h in heads} != set(names) or len({len(h.coef) for h in heads}) != 1:
         raise ContractError("heads do not match the targets")
+
+
+def predict_heads(features: DataFrame, heads: Sequence[Head], names: Sequence[str] | None = None) -> DataFrame:
+    """``(id, recipe, target, p)`` of every row under heads of one width; one pass, no join."""
+    _check_heads(heads, list(names or dict.fromkeys(h.target for h in heads)))
     rows = features.select("id", _probabilities(heads, "x").alias("_p"))
-    tags = F.array(*[F.struct(F.lit(h.recipe).alias("recipe"), F.lit(h.target).alias("target")) for h in heads])
-    return rows.select("id", F.explode(F.arrays_zip(tags.alias("t"), F.col("_p").alias("p"))).alias("c")).select(
-        "id", "c.t.recipe", "c.t.target", "c.p"
-    )
+    return _exploded(rows, heads, ["id"]).select("id", "c.t.recipe", "c.t.target", "c.p")
 
 
 def cross_validate(
     features: DataFrame, labels: DataFrame, folds: Sequence[int], names: Sequence[str],
-    recipes: Mapping[str, float] = RECIPES, *, pca: int | None = None, c: float = INVERSE_PENALTY, parallelism: int = 6,
+    recipes: Mapping[str, float] = RECIPES, *, pca: int | None = None, c: float = INVERSE_PENALTY,
 ) -> tuple[DataFrame, list[Head]]:
     """Fit each recipe on all folds but one, predict that fold's gold ids: ``(oof, heads)``.
 
-    ``labels`` is a fused label table. The held-out fold is removed before supervision is
-    resolved. The fits are independent and run side by side.
+    ``labels`` is a fused label table; both inputs are read several times, so persist expensive ones. The fold a head must not see is masked
+    inside its pass, before scaling or fitting, so held-out labels never reach it.
     """
-    features, labels = reuse(features), reuse(labels)
     width = _width(features)
-    if pca is None and width <= JOINT_WIDTH:
-        # One weight cell per recipe; the fold a head must not see is masked inside its pass,
-        # before scaling or fitting, so held-out labels never reach it.
-        sups = [supervision(labels, weight) for weight in recipes.values()]
-        for sup in sups:
-            _check_features(features, sup.filter("weight > 0"), width)
-        tallies = {}
-        for name, sup in zip(recipes, sups):
-            used = sup.filter("weight > 0").groupBy("fold", "target").agg(F.count("observed").alias("o"), F.count_if(F.col("observed").isNull()).alias("d")).collect()
-            for fold in folds:
-                cells: dict[str, tuple[int, int]] = {}
-                for r in used:
-                    if r["fold"] != fold:
-                        o, d = cells.get(r["target"], (0, 0))
-                        cells[r["target"]] = (o + r["o"], d + r["d"])
-                tallies[(name, fold)] = cells
-        rows = features.join(label_arrays(sups, names), "id")
-        heads = _joint_heads(rows, {n: i for i, n in enumerate(recipes)}, folds, names, c, held_out=True, counts=tallies)
-        return _out_of_fold(features, labels, heads, folds, names), heads
-    jobs = [(name, weight, fold) for name, weight in recipes.items() for fold in folds]
-
-    def one(job: tuple[str, float, int]) -> list[Head]:
-        name, weight, fold = job
-        sup = supervision(labels.filter(F.col("fold") != fold), weight)
-        return fit_heads(features, sup, names, recipe=name, fold=fold, pca=pca, c=c, parallelism=2)
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(jobs)))) as pool:
-        heads = [h for found in pool.map(one, jobs) for h in found]
-    return _out_of_fold(features, labels, heads, folds, names), heads
-
-
-def _out_of_fold(features: DataFrame, labels: DataFrame, heads: Sequence[Head], folds: Sequence[int], names: Sequence[str]) -> DataFrame:
-    """Gold rows of each fold scored by the heads that did not see it."""
+    sups = [supervision(labels, weight) for weight in recipes.values()]
+    every = None
+    for name, sup in zip(recipes, sups):
+        part = sup.filter("weight > 0").select(F.lit(name).alias("recipe"), "id", "fold", "target", "observed")
+        every = part if every is None else every.unionByName(part)
+    _check_features(features, every.select("id").distinct(), width)
+    derived = F.count_if(F.col("observed").isNull())
+    used = every.groupBy("recipe", "fold", "target").agg(F.count("observed").alias("o"), derived.alias("d")).collect()  # recipes x folds x targets
+    tallies: dict[tuple[str, int], dict[str, tuple[int, int]]] = {(name, fold): {} for name in recipes for fold in folds}
+    for (name, fold), cells in tallies.items():
+        for r in used:
+            if r["recipe"] == name and r["fold"] != fold:
+                o, d = cells.get(r["target"], (0, 0))
+                cells[r["target"]] = (o + r["o"], d + r["d"])
+    rows = features.join(label_arrays(sups, names), "id")
+    heads = _all_heads(rows, {n: i for i, n in enumerate(recipes)}, folds, names, c, width=width, pca=pca, held_out=True, counts=tallies)
+    return _out_of_fold(features, labels, heads, names), heads
+
+
+def _out_of_fold(features: DataFrame, labels: DataFrame, heads: Sequence[Head], names: Sequence[str]) -> DataFrame:
+    """Gold rows scored by the heads that did not see their fold, in one pass over the features."""
+    _check_heads(heads, names)
     gold = labels.filter("observed is not null").select("id", "fold", "target", F.col("observed").cast("double").alias("y"))
-    oof = None
-    for fold in folds:
-        ids = gold.filter(F.col("fold") == fold).select("id").distinct()
-        part = predict_heads(features.join(ids, "id", "left_semi"), [h for h in heads if h.fold == fold], names)
-        part = part.withColumn("fold", F.lit(fold).cast("int"))
-        oof = part if oof is None else oof.unionByName(part)
-    oof = oof.withColumnRenamed("recipe", "model").join(gold.select("id", "target", "y"), ["id", "target"])
-    return oof.select("model", "fold", "id", "target", "y", "p")
+    ids = gold.select("id", F.col("fold").alias("_fold")).distinct()
+    scored = features.join(ids, "id").select("id", "_fold", _probabilities(heads, "x").alias("_p"))
+    rows = _exploded(scored, heads, ["id", "_fold"]).filter("c.t.fold = _fold")
+    rows = rows.select("id", F.col("_fold").alias("fold"), F.col("c.t.recipe").alias("model"), "c.t.target", "c.p")
+    return rows.join(gold.select("id", "target", "y"), ["id", "target"]).select("model", "fold", "id", "target", "y", "p")
 
 
 def select_recipe(summary: DataFrame, order: Sequence[str]) -> str:

@@ -9,6 +9,7 @@ from evalloom.operators import evaluate as E
 from evalloom.operators import heads as H
 from evalloom.operators import joint
 from evalloom.operators import labels as W
+from evalloom.operators import stacked
 from evalloom.operators.checks import ContractError, enforce
 from evalloom.plans import jobs as J
 from evalloom.session import scratch_dir
@@ -255,7 +256,7 @@ def test_orphans_and_open_heads_are_errors(spark, monkeypatch, joint_width):
     with pytest.raises(ContractError, match="orphan_key"):
         H.cross_validate(fewer, table, [0, 1, 2], ["t0", "t1"], {"observed_only": 0.0})
     monkeypatch.setattr(joint, "MAX_STEPS", 1)
-    monkeypatch.setattr(H, "MAX_ITERATIONS", 1)
+    monkeypatch.setattr(stacked, "MAX_PASSES", 1)
     with pytest.raises(ContractError, match="converge"):
         H.fit_heads(features, W.supervision(table, 0.0), ["t0", "t1"])
 
