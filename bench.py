@@ -15,7 +15,7 @@ from evalloom.session import local_session  # noqa: E402
 HEADLINE = [
     "fold_support", "count_features", "order_count_experiment", "document_experiment", "paired_bootstrap", "rank_blend", "auc_of_lines",
     "fused_labels", "key_overlap_audit", "duplicate_groups", "multi_window_schedule", "ordered_slices", "attention_scores", "event_stack_features",
-    "exact_quantiles", "cell_checks",
+    "exact_quantiles", "cell_checks", "wide_experiment", "wide_reduced_heads",
 ]
 
 

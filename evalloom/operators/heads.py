@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import broken_vector, guarded
 from ..session import reuse
+from .blocks import Slot, packed
 from .checks import ContractError, check_key, check_subset, enforce, row_checks
-from .joint import Slot, fit_joint, label_arrays
-from .stacked import fit_stacked, packed, principal_axes, scaler_facts
+from .joint import fit_joint, label_arrays
+from .stacked import fit_stacked, principal_axes, scaler_facts
 from .features import CATEGORIES, as_array, count_features, count_names
 from .labels import supervision
 
@@ -101,7 +102,7 @@ def _all_heads(
                 tags.append((recipe, fold, name))
     explained: list[list[float]] = [[] for _ in scalers]
     narrow = pca is None and width <= JOINT_WIDTH
-    rows = reuse(rows.select("x", "fold", "y", "w") if narrow else packed(rows))
+    rows = reuse(packed(rows))
     try:
         if narrow:
             fitted = fit_joint(rows, slots, scalers, c)

@@ -8,54 +8,20 @@ The number of passes does not grow with the number of heads.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Slot, block_sums
 from .checks import ContractError
 
 MAX_STEPS = 60
 GRADIENT_TOLERANCE = 1e-9
 
 
-@dataclass(frozen=True)
-class Slot:
-    """One head: a column of the label arrays, and the fold whose rows it must not see."""
-
-    name: str
-    column: int
-    scaler: int
-    exclude: int | None
-
-
-def _sums(rows: DataFrame, slots: Sequence, evaluate) -> np.ndarray:
-    """Sum ``evaluate(x, fold, y, w)`` (one vector per slot) over all rows."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            wide = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("x", "y", "w")}
-            part = evaluate(wide["x"], batch.column("fold").to_numpy(zero_copy_only=False), wide["y"], wide["w"])
-            total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), type=pa.list_(pa.float64()))], ["slot", "v"]
-            )
-
-    parts = rows.select("x", "fold", "y", "w").mapInArrow(run, "slot int, v array<double>")
-    found = parts.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("s")).collect()  # one row per slot
-    return np.stack([np.asarray(r["s"].toArray()) for r in sorted(found, key=lambda r: r["slot"])])
-
-
-def _scalers(rows: DataFrame, scalers: Sequence[tuple[Sequence[int], int | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scalers(blocks: DataFrame, scalers: Sequence[tuple[Sequence[int], int | None]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Count, mean and population deviation (0 as 1) over rows with any usable label, per scaler."""
     plan = [(list(columns), exclude) for columns, exclude in scalers]
 
@@ -65,7 +31,7 @@ def _scalers(rows: DataFrame, scalers: Sequence[tuple[Sequence[int], int | None]
     def first(x, fold, y, w):
         return np.stack([np.concatenate([[u.sum()], u @ x]) for u in used(fold, w)])
 
-    sums = _sums(rows, plan, first)
+    sums = block_sums(blocks, first)
     n = sums[:, :1]
     if not (n > 0).all():
         raise ContractError("no supervised rows")
@@ -74,20 +40,20 @@ def _scalers(rows: DataFrame, scalers: Sequence[tuple[Sequence[int], int | None]
     def second(x, fold, y, w):
         return np.stack([u @ (x - m) ** 2 for u, m in zip(used(fold, w), mean)])
 
-    std = np.sqrt(_sums(rows, plan, second) / n)
+    std = np.sqrt(block_sums(blocks, second) / n)
     return n[:, 0], mean, np.where(std == 0, 1.0, std)
 
 
 def fit_joint(
-    rows: DataFrame, slots: Sequence[Slot], scalers: Sequence[tuple[Sequence[int], int | None]], c: float
+    blocks: DataFrame, slots: Sequence[Slot], scalers: Sequence[tuple[Sequence[int], int | None]], c: float
 ) -> list[tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
     """``(intercept, coef, mean, scale)`` per slot, coefficients on scaled features.
 
-    ``rows(x, fold, y, w)``: fixed-width arrays; ``y`` and ``w`` hold one cell per label column,
+    ``blocks`` are packed rows; their ``y`` and ``w`` hold one cell per label column,
     weight 0 where unknown. Minimizes half the squared norm plus ``c`` times the weighted
     loss; the intercept is free. Raises when a head lacks a class.
     """
-    _, mean, scale = _scalers(rows, scalers)
+    _, mean, scale = _scalers(blocks, scalers)
     d = mean.shape[1]
     plan = [(s.column, s.exclude, mean[s.scaler], scale[s.scaler]) for s in slots]
     theta = np.zeros((len(slots), d + 1))
@@ -113,7 +79,7 @@ def fit_joint(
     open_slots = np.ones(len(slots), dtype=bool)
     for _ in range(MAX_STEPS):
         now = theta.copy()
-        sums = _sums(rows, slots, lambda x, fold, y, w: evaluate(x, fold, y, w, now))
+        sums = block_sums(blocks, lambda x, fold, y, w: evaluate(x, fold, y, w, now))
         for i in np.flatnonzero(open_slots):
             if sums[i, 1] == 0 or sums[i, 2] == 0:
                 raise ContractError(f"{slots[i].name} needs both classes in training")

@@ -12,82 +12,27 @@ orthogonalised against all blocks before, and so on (block Lanczos); small eigen
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .blocks import NO_FOLD, Slot, block_sums
 from .checks import ContractError
-from .joint import Slot
 
-BLOCK_VALUES = 1 << 19  # feature values of a block, 4 MB
 HISTORY = 10
 MAX_PASSES = 400
 GRADIENT_TOLERANCE = 1e-8
-NO_FOLD = -(1 << 31)
 OVERSAMPLE, AXIS_ROUNDS, AXIS_TOLERANCE = 10, 24, 1e-10
 
 Scaler = tuple[np.ndarray, np.ndarray]  # mean and population deviation, 0 as 1
 Facts = tuple[np.ndarray, list[Scaler], np.ndarray]  # per scaler: rows, scaling, columns that vary
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Blocks ``(n, x, fold, y, w)`` of little-endian numbers from ``rows(x, fold, y, w)`` with arrays of one width each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        values = 0
-
-        def block() -> pa.RecordBatch:
-            x, fold, y, w = (np.concatenate(c) for c in zip(*held))
-            cells = [pa.array([len(fold)], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in (x, fold, y, w)]]
-            return pa.RecordBatch.from_arrays(cells, ["n", "x", "fold", "y", "w"])
-
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            wide = [batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1) for c in ("x", "y", "w")]
-            fold = batch.column("fold").fill_null(NO_FOLD).to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append([wide[0], fold, wide[1], wide[2]])
-            values += wide[0].size
-            if values >= BLOCK_VALUES:
-                yield block()
-                held, values = [], 0
-        if held:
-            yield block()
-
-    return rows.select("x", "fold", "y", "w").mapInArrow(run, "n int, x binary, fold binary, y binary, w binary")
-
-
-def block_sums(blocks: DataFrame, evaluate: Callable[..., np.ndarray]) -> np.ndarray:
-    """The sum of ``evaluate(x, fold, y, w)``, a matrix, over all blocks; added per row of the matrix on the executors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for n, x, fold, y, w in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "fold", "y", "w"))):
-                part = evaluate(*[np.frombuffer(v, t).reshape(n, -1) for v, t in ((x, float), (fold, np.int64), (y, float), (w, float))])
-                total = part if total is None else total + part
-        if total is not None:
-            values = pa.ListArray.from_arrays(np.arange(0, total.size + 1, total.shape[1], dtype=np.int32), pa.array(total.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), values], ["slot", "v"])
-
-    parts = blocks.mapInArrow(run, "slot int, v array<double>")
-    found = parts.groupBy("slot").agg(Summarizer.sum(array_to_vector("v")).alias("s")).collect()  # one row per slot
-    if not found:
-        raise ContractError("no supervised rows")
-    return np.stack([np.asarray(r["s"].toArray()) for r in sorted(found, key=lambda r: r["slot"])])
-
-
 def _used(fold: np.ndarray, w: np.ndarray, plan: Sequence[tuple[list[int], int | None]]) -> np.ndarray:
     """One column per scaler: rows with a usable label outside its excluded fold."""
-    return np.stack([(w[:, c] > 0).any(axis=1) & (fold[:, 0] != (NO_FOLD if e is None else e)) for c, e in plan], axis=1).astype(float)
+    return np.stack([(w[:, c] > 0).any(axis=1) & (fold != (NO_FOLD if e is None else e)) for c, e in plan], axis=1).astype(float)
 
 
 def scaler_facts(blocks: DataFrame, scalers: Sequence[tuple[Sequence[int], int | None]]) -> Facts:
@@ -243,7 +188,7 @@ def fit_stacked(
         def evaluate(x, fold, y, w):
             z = x - centre
             logit = z @ weights + shifts
-            yy, ww = y[:, own], w[:, own] * (fold != without)
+            yy, ww = y[:, own], w[:, own] * (fold[:, None] != without)
             p = 1 / (1 + np.exp(-np.clip(logit, -700, 700)))
             loss = (ww * (np.maximum(logit, 0) - logit * yy + np.log1p(np.exp(-np.abs(logit))))).sum(0)
             off = ww * (p - yy)

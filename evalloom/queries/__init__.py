@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contracts, evaluation, features, jobs, labels, linkage, ordering, profiles, splits  # noqa: F401
+from . import contracts, evaluation, features, jobs, labels, linkage, ordering, profiles, splits, wide  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,11 +3,12 @@
 import numpy as np
 import pytest
 
+from evalloom.operators import blocks as B
 from evalloom.operators import heads as H
 from evalloom.operators import labels as W
 from evalloom.operators import stacked as S
+from evalloom.operators.blocks import Slot, packed
 from evalloom.operators.checks import ContractError
-from evalloom.operators.joint import Slot
 
 
 def frame(spark, n, d, seed, fold_by=3):
@@ -35,9 +36,9 @@ SLOTS = [Slot("a", 0, 0, None), Slot("b", 1, 0, None), Slot("a1", 0, 1, 1), Slot
 
 @pytest.mark.parametrize("n,d", [(240, 64), (90, 700)])
 def test_gradients_vanish(spark, monkeypatch, n, d):
-    monkeypatch.setattr(S, "BLOCK_VALUES", 20 * d)
+    monkeypatch.setattr(B, "BLOCK_VALUES", 20 * d)
     df, x, fold, y, w = frame(spark, n, d, d)
-    blocks = S.packed(df).cache()
+    blocks = packed(df).cache()
     c = 0.1
     fitted = S.fit_stacked(blocks, SLOTS, SCALERS, c)
     for slot, (intercept, coef, mean, scale) in zip(SLOTS, fitted):
@@ -54,14 +55,14 @@ def test_same_lines_as_newton(spark):
     from evalloom.operators.joint import fit_joint
 
     df, *_ = frame(spark, 200, 12, 4)
-    for a, b in zip(fit_joint(df.cache(), SLOTS, SCALERS, 0.1), S.fit_stacked(S.packed(df).cache(), SLOTS, SCALERS, 0.1)):
+    for a, b in zip(fit_joint(packed(df).cache(), SLOTS, SCALERS, 0.1), S.fit_stacked(packed(df).cache(), SLOTS, SCALERS, 0.1)):
         assert a[0] == pytest.approx(b[0], abs=1e-6) and np.allclose(a[1], b[1], atol=1e-6) and np.allclose(a[3], b[3])
 
 
 @pytest.mark.parametrize("n,d,k", [(300, 64, 5), (150, 2304, 16), (20, 6, 6)])
 def test_principal_axes(spark, n, d, k):
     df, x, fold, y, w = frame(spark, n, d, k)
-    found = S.principal_axes(S.packed(df).cache(), SCALERS, min(k, d), tolerance=1e-9)
+    found = S.principal_axes(packed(df).cache(), SCALERS, min(k, d), tolerance=1e-9)
     for (_, exclude), (axes, share) in zip(SCALERS, found):
         used = (w > 0).any(axis=1) & (True if exclude is None else fold != exclude)
         _, values, rows = np.linalg.svd(scaled(x, used)[used], full_matrices=False)
@@ -73,7 +74,7 @@ def test_principal_axes(spark, n, d, k):
 
 def test_reduced_heads_are_lines_on_the_components(spark):
     df, x, fold, y, w = frame(spark, 200, 50, 9)
-    blocks = S.packed(df).cache()
+    blocks = packed(df).cache()
     axes = [a for a, _ in S.principal_axes(blocks, SCALERS, 4)]
     for slot, (intercept, coef, *_ ) in zip(SLOTS, S.fit_stacked(blocks, SLOTS, SCALERS, 0.1, axes=axes)):
         v = axes[slot.scaler]
@@ -89,11 +90,11 @@ def test_reduced_heads_are_lines_on_the_components(spark):
 def test_errors(spark):
     df, *_ = frame(spark, 30, 40, 1)
     with pytest.raises(ContractError, match="components"):
-        S.principal_axes(S.packed(df), SCALERS, 41)
+        S.principal_axes(packed(df), SCALERS, 41)
     with pytest.raises(ContractError, match="both classes"):
-        S.fit_stacked(S.packed(df.filter("y[0] = 1")), SLOTS[:1], SCALERS, 0.1)
+        S.fit_stacked(packed(df.filter("y[0] = 1")), SLOTS[:1], SCALERS, 0.1)
     with pytest.raises(ContractError, match="no supervised rows"):
-        S.scaler_facts(S.packed(df.filter("false")), SCALERS)
+        S.scaler_facts(packed(df.filter("false")), SCALERS)
 
 
 def test_wide_recipes_match_single_fits(spark):
