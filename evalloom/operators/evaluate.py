@@ -1,7 +1,6 @@
-"""Scores within folds, paired resampling, errors and decisions.
+"""Scores within folds, errors and decisions; resampling is in ``resample``.
 
-Predictions are long rows; models, folds, targets and replicates are grouping columns, so
-one job scores them all.
+Predictions are long rows; models, folds and targets are grouping columns, so one job scores them all.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from ..functions.vectors import guarded
 from .checks import check_key, check_set_equal, union
 from .ordering import join_lookup, ranked, tied, top_k
 from .profile import count
-from .splits import draw_index
 
 
 def auc(rows: DataFrame, by: Sequence[str], score: str = "p", truth: str = "y", weight: str | None = None, **sizing: int) -> DataFrame:
@@ -51,7 +49,9 @@ def fold_summary(scores: DataFrame) -> DataFrame:
 
 
 def target_means(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("model", "target").agg(F.avg("auc").alias("mean_auc"))
+    """Mean over folds of each target's AUC. A fold with one class is an error, never left out."""
+    lacks = F.count_if(F.col("auc").isNull()) > 0
+    return scores.groupBy("model", "target").agg(guarded(F.avg("auc"), lacks, "an AUC needs both classes in every fold and target").alias("mean_auc"))
 
 
 def brier(rows: DataFrame) -> DataFrame:
@@ -61,53 +61,6 @@ def brier(rows: DataFrame) -> DataFrame:
     return per_fold.groupBy("model", "target").agg(F.avg("b").alias("brier"))
 
 
-def bootstrap_draws(units: DataFrame, replicates: int, seed: int, **sizing: int) -> DataFrame:
-    """``(replicate, fold, id, times)``: ids drawn with replacement inside each fold.
-
-    Draw j of a fold picks index ``hash(seed, replicate, fold, j) mod size``; every model
-    sees the same draws. ``units(fold, id)``.
-    """
-    placed = ranked(units.select("fold", "id").distinct(), ["fold"], ["id"], **sizing).withColumn("at", F.col("rn") - 1)
-    picks = placed.select("fold", "at", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    picks = picks.select("replicate", "fold", draw_index([seed, F.col("replicate"), F.col("fold"), F.col("at")], F.col("n")).alias("at"))
-    times = picks.groupBy("replicate", "fold", "at").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(placed.select("fold", "at", "id"), ["fold", "at"]).select("replicate", "fold", "id", "times")
-
-
-def paired_bootstrap(
-    rows: DataFrame, pairs: Sequence[tuple[str, str]], folds: int, targets: int, replicates: int, seed: int, **sizing: int
-) -> DataFrame:
-    """AUC differences ``(replicate, pair, target, difference)`` of accepted replicates.
-
-    ``rows(model, fold, id, target, y, p)`` on fully observed ids. A replicate counts only
-    if every (fold, target) keeps both classes. Target ``macro`` is the mean of targets.
-    """
-    draws = bootstrap_draws(rows.select("fold", "id"), replicates, seed, **sizing)
-    drawn = rows.join(draws, ["fold", "id"])
-    scores = auc(drawn, ["replicate", "model", "fold", "target"], weight="times", **sizing)
-    valid = scores.groupBy("replicate", "model").agg(F.count("auc").alias("cells")).groupBy("replicate").agg(F.min("cells").alias("cells"))
-    valid = valid.filter(F.col("cells") == folds * targets).select("replicate")
-    means = scores.groupBy("replicate", "model", "target").agg(F.avg("auc").alias("a"))
-    cells = [
-        F.struct(F.lit(f"{a}_minus_{b}").alias("pair"),
-                 (F.max(F.when(F.col("model") == a, F.col("a"))) - F.max(F.when(F.col("model") == b, F.col("a")))).alias("difference"))
-        for a, b in pairs
-    ]
-    each = means.groupBy("replicate", "target").agg(F.array(*cells).alias("c")).join(valid, "replicate", "left_semi")
-    each = each.select("replicate", "target", F.explode("c").alias("c")).select("replicate", "c.pair", "target", "c.difference")
-    macro = each.groupBy("replicate", "pair").agg(F.avg("difference").alias("difference")).withColumn("target", F.lit("macro"))
-    return each.unionByName(macro)
-
-
-def percentile_interval(draws: DataFrame, replicates: int, points: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """Linear quantiles of the accepted draws per (pair, target); bounded by the replicate count."""
-    q = F.percentile("difference", F.array(*[F.lit(p) for p in points]))
-    return draws.groupBy("pair", "target").agg(q.alias("q"), F.count(F.lit(1)).alias("accepted")).select(
-        "pair", "target", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "accepted",
-        F.lit(replicates).cast("bigint").alias("attempted"),
-    )
-
-
 def largest_errors(rows: DataFrame, k: int, references: Sequence[str] = (), models: Sequence[str] | None = None) -> DataFrame:
     """Top ``k`` squared errors per (model, target), ties to the smaller id, beside references.
 

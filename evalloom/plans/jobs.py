@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blend, evaluate, heads, labels as weak, linkage, profile, provenance, splits, stacks
+from ..operators import blend, evaluate, heads, labels as weak, linkage, profile, provenance, resample, splits, stacks
 from ..operators import features as feats
 from ..operators.checks import (
     bad_binary, bad_count, bad_digest, bad_enum, check_complete_categories, check_cross_values, check_disjoint,
@@ -118,12 +118,12 @@ def paired_oof_analysis(
         check_class_support(profile.fold_support(rows.select("fold", "id", "target", F.col("y").alias("value")).distinct(), list(range(n_folds)), [r[0] for r in rows.select("target").distinct().collect()])),
     )
     scores = reuse(evaluate.auc(rows, ["model", "fold", "target"]))
-    draws = evaluate.paired_bootstrap(rows, pairs, n_folds, n_targets, replicates, seed)
+    draws = resample.paired_bootstrap(rows, pairs, n_folds, n_targets, replicates, seed)
     out = report({
         "summary": (evaluate.fold_summary(scores), ["model"]), "targets": (evaluate.target_means(scores), ["model", "target"]),
         "brier": (evaluate.brier(rows), ["model", "target"]),
         "differences": (evaluate.target_deltas(evaluate.target_means(scores), evaluate.brier(rows), pairs), ["pair", "target"]),
-        "intervals": (evaluate.percentile_interval(draws, replicates), ["pair", "target"]),
+        "intervals": (resample.percentile_interval(draws, replicates), ["pair", "target"]),
     })
     return out, evaluate.largest_errors(rows, 5, sorted({b for _, b in pairs}))
 
@@ -153,8 +153,8 @@ def experiment(
     if replicates:
         pairs = [(list(recipes)[0], "constant")]
         kept = rows.filter(F.col("model").isin(*pairs[0]))
-        draws = evaluate.paired_bootstrap(kept, pairs, len(folds), len(names), replicates, seed)
-        out["interval"] = evaluate.percentile_interval(draws, replicates)
+        draws = resample.paired_bootstrap(kept, pairs, len(folds), len(names), replicates, seed)
+        out["interval"] = resample.percentile_interval(draws, replicates)
     return out
 
 
