@@ -22,31 +22,28 @@ from pyspark.sql import types as T
 from .ordering import ranked
 from .splits import draw_index
 
-EXACT_DRAWS = 100_000_000  # units x replicates up to which draws with replacement are exact; Poisson counts beyond
+EXACT_DRAWS = 10_000_000  # units x replicates up to which draws with replacement are exact; Poisson counts beyond
 RUN_VALUES = 1 << 20  # array cells of a run of scores
 MERGED_RUNS = 256
-_POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(18)])
 
 
 def draw_counts(units: DataFrame, replicates: int, seed: int, *, exact: bool | None = None, **sizing: int) -> DataFrame:
-    """``(fold, id, times)``: how often each replicate draws each of ``units(fold, id)``.
+    """``(fold, id, times)``: how often each replicate draws each of ``units(fold, id)``, which are distinct.
 
     Exact: draw j of a fold of n units picks number ``hash(seed, replicate, fold, j) mod n``, n draws. Above ``EXACT_DRAWS`` draws in all each count is
-    an own Poisson(1) number from a hash of (seed, fold, id, replicate), which needs no shuffle; replicates then have n draws on average.
+    a Poisson number seeded by a hash of (seed, fold, id), with mean 1, or ``size`` where a unit stands for several; nothing is shuffled then and
+    replicates have n draws on average.
     """
-    units = units.select("fold", "id").distinct()
     if exact is None:
         exact = units.count() * replicates <= EXACT_DRAWS
     if not exact:
+        size = F.col("size") if "size" in units.columns else F.lit(1)
 
-        def poisson(hashes: pd.Series) -> pd.Series:
-            z = hashes.to_numpy().astype(np.uint64)[:, None] + np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
-            return pd.Series(list(np.searchsorted(_POISSON, u, side="right").astype(np.int32)))
+        def poisson(hashes: pd.Series, sizes: pd.Series) -> pd.Series:
+            return pd.Series([np.random.default_rng(h).poisson(m, replicates).astype(np.int32) for h, m in zip(hashes.to_numpy().astype(np.uint64), sizes)])
 
-        return units.select("fold", "id", F.pandas_udf(poisson, "array<int>")(F.xxhash64(F.lit(seed), "fold", "id")).alias("times"))
+        mark = F.xxhash64(F.lit(seed), "fold", "id")
+        return units.select("fold", "id", F.pandas_udf(poisson, "array<int>")(mark, size.cast("bigint")).alias("times"))
     placed = ranked(units, ["fold"], ["id"], **sizing).withColumn("at", F.col("rn") - 1)
     picks = placed.select("fold", "at", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     picks = picks.select("replicate", "fold", draw_index([seed, F.col("replicate"), F.col("fold"), F.col("at")], F.col("n")).alias("at"))
@@ -59,6 +56,16 @@ def draw_counts(units: DataFrame, replicates: int, seed: int, *, exact: bool | N
     return rows.select("fold", "id", F.pandas_udf(counted, "array<int>")("r").alias("times"))
 
 
+def _grouped_units(rows: DataFrame) -> DataFrame:
+    """Rows of one unit for each distinct (fold, truths, predictions), with the number of units alike as ``size``.
+
+    Poisson counts of units alike add up to a Poisson count, so only distinct ones need draws.
+    """
+    cells = F.sort_array(F.collect_list(F.struct("model", "target", "y", "p")))  # models x targets
+    alike = rows.groupBy("fold", "id").agg(cells.alias("c")).groupBy("fold", "c").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("size"))
+    return alike.select("fold", "id", "size", F.inline("c"))
+
+
 def _arrays(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
@@ -113,7 +120,13 @@ def paired_bootstrap(
     ``rows(model, fold, id, target, y, p)`` on fully observed ids; every model sees the same draws. A replicate counts only
     if every (fold, target) keeps both classes. Target ``macro`` is the mean of targets.
     """
-    times = draw_counts(rows.select("fold", "id"), replicates, seed, exact=exact, **sizing)
+    units = rows.select("fold", "id").distinct()
+    if exact is None:
+        exact = units.count() * replicates <= EXACT_DRAWS
+    if not exact:
+        rows = _grouped_units(rows)
+        units = rows.select("fold", "id", "size").distinct()
+    times = draw_counts(units, replicates, seed, exact=exact, **sizing)
     scores = replicate_auc(rows, times, ["model", "fold", "target"], replicates, **sizing)
     scores = scores.select("model", "fold", "target", F.posexplode("auc").alias("replicate", "a"))  # models x folds x targets x replicates
     scores = scores.withColumn("a", F.when(~F.isnan("a"), F.col("a")))

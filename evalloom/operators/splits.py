@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ EPOCHS = 6
 PLANES = ["Sagittal", "Coronal", "Axial"]
 WINDOWS = 10
 MULTI_PREFIX = "multi-window-v1"
+MAX_VECTORS = 1 << 17  # distinct class counts of groups that the greedy rule takes
 
 
 def _stratum(value: Column) -> Column:
@@ -52,6 +54,64 @@ def grouped_stratified_folds(
     return join_lookup(members.select("id", "group_id"), placed.select("group_id", fold.alias("fold")), ["group_id"], ["id"])
 
 
+def greedy_stratified_folds(members: DataFrame, strata: DataFrame, k: int, seed: int, **sizing: int) -> DataFrame:
+    """``(id, group_id, fold)`` by the greedy rule: groups in order of falling spread of their class counts, each to the fold that keeps the
+    classes' shares most even over the folds.
+
+    Inputs as for ``grouped_stratified_folds``; the classes are 0, 1 and unknown. Groups with equal class counts are alike, so the
+    rule runs on the distinct count vectors and how many groups have each (``greedy_plan``), and groups take their places in the order of a seeded hash.
+    The driver sees one row per distinct vector, at most ``MAX_VECTORS``.
+    """
+    rows = members.join(strata.select("id", "value"), "id", "left").withColumn("stratum", _stratum(F.col("value")))
+    groups = rows.groupBy("group_id").agg(*[F.count_if(F.col("stratum") == v).alias(f"c{i}") for i, v in enumerate((-1, 0, 1))])
+    groups = groups.select("group_id", F.array("c0", "c1", "c2").alias("_v"), sha_text(seed, F.col("group_id")).alias("_h"))
+    vectors = groups.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).limit(MAX_VECTORS + 1).collect()
+    if len(vectors) > MAX_VECTORS:
+        raise ContractError(f"more than {MAX_VECTORS} distinct class counts; use grouped_stratified_folds")
+    plan = greedy_plan({tuple(r["_v"]): r["n"] for r in vectors}, k)
+    table = members.sparkSession.createDataFrame([(list(v), list(first), list(cycle)) for v, (first, cycle) in plan.items()], "_v array<bigint>, first array<int>, cycle array<int>")
+    placed = join_lookup(ranked(groups, ["_v"], ["_h"], **sizing), table, ["_v"], ["group_id"], "inner")
+    at, lead = F.col("rn") - 1, F.size("first")
+    again = F.get(F.col("cycle"), F.pmod(at - lead, F.size("cycle")).cast("int"))
+    fold = F.when(at < lead, F.get(F.col("first"), at.cast("int"))).otherwise(again)
+    return join_lookup(members.select("id", "group_id"), placed.select("group_id", fold.alias("fold")), ["group_id"], ["id"])
+
+
+def greedy_plan(vectors: Mapping[tuple[int, ...], int], k: int) -> dict[tuple[int, ...], tuple[list[int], list[int]]]:
+    """For each class-count vector, which occurs in so many groups, the folds of its groups: a leading list, then a cycle.
+
+    Once ``k`` groups alike have gone to ``k`` different folds, every fold has gained the same, so all differences that the
+    rule looks at are as before, and the next ``k`` go the same way: whole rounds are skipped, the work does not grow with the number of groups.
+    """
+    order = sorted(vectors, key=lambda v: (sum(v) ** 2 - len(v) * sum(x * x for x in v), v))  # falling variance, in whole numbers
+    total = np.maximum(np.sum([np.array(v, dtype=float) * n for v, n in vectors.items()], axis=0), 1) if vectors else np.ones(1)
+    have = np.zeros((k, len(total)))
+    plan: dict[tuple[int, ...], tuple[list[int], list[int]]] = {}
+    for v in order:
+        first: list[int] = []
+        cycle: list[int] = []
+        left = vectors[v]
+        while left:
+            spread = []
+            for f in range(k):
+                have[f] += v
+                spread.append(round(float((have / total).std(axis=0).mean()), 12))
+                have[f] -= v
+            best = min(range(k), key=lambda f: (spread[f], have[f].sum(), f))
+            have[best] += v
+            left -= 1
+            first.append(best)
+            if len(first) >= k and len(set(first[-k:])) == k:
+                cycle = first[-k:]
+                rounds, rest = divmod(left, k)
+                have += rounds * np.array(v)
+                for f in cycle[:rest]:
+                    have[f] += v
+                break
+        plan[v] = (first, cycle or [0])
+    return plan
+
+
 def validate_folds(
     members: DataFrame, folds: DataFrame, targets: DataFrame, names: Sequence[str], k: int
 ) -> DataFrame:

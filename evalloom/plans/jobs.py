@@ -23,18 +23,35 @@ from ..sources.io import check_json_list, explode_json_list
 from ..sources.reports import report
 
 
-def metadata_audit(texts: DataFrame, targets: DataFrame, series: DataFrame, test: DataFrame, n_targets: int) -> DataFrame:
-    """Contract checks over the star of tables, then completeness, targets, categories and texts.
-
-    ``texts(id, text)``, ``targets(id, target, value)``, ``series(id, series_id, plane, fluid, fat)``,
-    ``test(id)``.
-    """
-    enforce(
+def star_checks(
+    texts: DataFrame, targets: DataFrame, series: DataFrame, test: DataFrame, test_series: DataFrame | None = None, sample: DataFrame | None = None
+) -> list[DataFrame]:
+    """Contract checks over the star of tables: both splits, their child rows and the submission template."""
+    checks = [
         check_key(texts, ["id"], "train"), check_key(test, ["id"], "test"), check_key(series, ["series_id"], "series"),
         check_disjoint(texts, test, ["id"], "train, test"), check_set_equal(texts, targets, ["id"], "targets = train"),
         check_subset(series, texts, ["id"], "series in train"),
         row_checks(targets, "targets", {"binary": bad_binary(F.col("value"))}),
-    )
+    ]
+    if test_series is not None:
+        checks += [
+            check_key(test_series, ["series_id"], "test series"), check_subset(test_series, test, ["id"], "series in test"),
+            check_disjoint(series, test_series, ["series_id"], "series, test series"),
+        ]
+    if sample is not None:
+        checks += [check_key(sample, ["id"], "sample"), check_set_equal(sample, test, ["id"], "sample = test")]
+    return checks
+
+
+def metadata_audit(
+    texts: DataFrame, targets: DataFrame, series: DataFrame, test: DataFrame, n_targets: int, test_series: DataFrame | None = None, sample: DataFrame | None = None
+) -> DataFrame:
+    """``star_checks``, then completeness, targets, categories and texts.
+
+    ``texts(id, text)``, ``targets(id, target, value)``, ``series(id, series_id, plane, fluid, fat)`` and the same of the test split,
+    ``test(id)``, ``sample(id, ...)``. Read files with ``sources.io.read_contract``, which holds their headers to the schema.
+    """
+    enforce(*star_checks(texts, targets, series, test, test_series, sample))
     return report({
         "completeness": (profile.label_completeness(targets, n_targets), []),
         "targets": (profile.target_summary(targets).drop("prevalence"), ["target"]),
@@ -118,46 +135,68 @@ def paired_oof_analysis(
         check_class_support(profile.fold_support(rows.select("fold", "id", "target", F.col("y").alias("value")).distinct(), list(range(n_folds)), [r[0] for r in rows.select("target").distinct().collect()])),
     )
     scores = reuse(evaluate.auc(rows, ["model", "fold", "target"]))
+    names = [r[0] for r in rows.select("target").distinct().collect()]
     draws = resample.paired_bootstrap(rows, pairs, n_folds, n_targets, replicates, seed)
     out = report({
         "summary": (evaluate.fold_summary(scores), ["model"]), "targets": (evaluate.target_means(scores), ["model", "target"]),
         "brier": (evaluate.brier(rows), ["model", "target"]),
         "differences": (evaluate.target_deltas(evaluate.target_means(scores), evaluate.brier(rows), pairs), ["pair", "target"]),
-        "intervals": (resample.percentile_interval(draws, replicates), ["pair", "target"]),
+        "intervals": (resample.percentile_interval(draws, replicates, resample.interval_cells(pairs, names)), ["pair", "target"]),
     })
     return out, evaluate.largest_errors(rows, 5, sorted({b for _, b in pairs}))
 
 
 def experiment(
     features: DataFrame, labels: DataFrame, folds: Sequence[int], names: Sequence[str], new: DataFrame, *,
-    recipes: Mapping[str, float] = heads.RECIPES, pca: int | None = None, replicates: int = 0, seed: int = 0,
-) -> dict[str, DataFrame | str | list]:
+    recipes: Mapping[str, float] = heads.RECIPES, pca: int | None = None, replicates: int = 1000, seed: int = splits.SEED,
+    manifests: DataFrame | None = None, path: str | None = None,
+) -> dict:
     """Cross-validate recipes, choose one, refit it on everything and score new rows.
 
-    ``features(id, x)`` and ``new(id, x)``; ``labels`` is a fused label table. With
-    ``replicates`` the learned heads of the first recipe are compared with constant 0.5.
+    ``features(id, x)`` and ``new(id, x)``; ``labels`` is a fused label table. The sources named in ``manifests(manifest, path,
+    sha256)`` must agree before anything is fitted. The heads of the first recipe are compared with constant 0.5 by ``replicates`` paired resamples. The submission
+    is held against the template of the new ids; with ``path`` predictions, heads, summary and submission are written there once.
     """
+    if manifests is not None:
+        enforce(row_checks(provenance.source_consistency(manifests), "manifests", {"sources": F.col("differs")}))
     features, labels = reuse(features), reuse(labels)
     oof, fitted = heads.cross_validate(features, labels, folds, names, recipes, pca=pca)
     truth = labels.select("fold", "id", "target", F.col("observed").cast("double").alias("y"))
     rows = reuse(oof.unionByName(evaluate.reference_predictors(truth)))
-    scores = evaluate.auc(rows, ["model", "fold", "target"])
+    scores = reuse(evaluate.auc(rows, ["model", "fold", "target"]))
     summary = reuse(evaluate.fold_summary(scores))
     chosen = heads.select_recipe(summary, list(recipes))
     final = heads.fit_heads(features, weak.supervision(labels, recipes[chosen]), names, recipe=chosen, pca=pca)
-    submission = heads.predict_heads(new, final, names).drop("recipe")
-    out: dict = {
-        "oof": rows, "scores": scores, "summary": summary, "chosen": chosen, "fold_heads": fitted, "final_heads": final, "submission": submission,
-        "errors": evaluate.study_error(rows.filter(F.col("model") == list(recipes)[0]), 10),
+    submission = reuse(heads.predict_heads(new, final, names).drop("recipe"))
+    sample = blend.constant_submission(blend.with_row_idx(new.select("id")), {t: 0.5 for t in names})
+    wide = sample.select("row_idx", "id").join(blend.to_wide(submission, names), "id").select("row_idx", "id", *names)
+    enforce(blend.check_submission(wide, sample, names))
+    first = list(recipes)[0]
+    pairs = [(first, "constant")]
+    draws = resample.paired_bootstrap(rows.filter(F.col("model").isin(*pairs[0])), pairs, len(folds), len(names), replicates, seed)
+    out = {
+        "oof": rows, "scores": scores, "summary": summary, "targets": evaluate.target_means(scores), "chosen": chosen, "fold_heads": fitted, "final_heads": final,
+        "submission": submission, "errors": evaluate.study_error(rows.filter(F.col("model") == first), 10),
+        "interval": reuse(resample.percentile_interval(draws, replicates, resample.interval_cells(pairs, names))),
     }
-    if replicates:
-        pairs = [(list(recipes)[0], "constant")]
-        kept = rows.filter(F.col("model").isin(*pairs[0]))
-        draws = resample.paired_bootstrap(kept, pairs, len(folds), len(names), replicates, seed)
-        out["interval"] = resample.percentile_interval(draws, replicates)
+    if path:
+        spark = features.sparkSession
+        written = {"oof": rows, "heads": heads.model_table(spark, [*fitted, *final]), "summary": summary, "interval": out["interval"], "errors": out["errors"], "submission": wide}
+        for name, df in written.items():
+            provenance.write_once(df, f"{path}/{name}")
     return out
 
 
+def experiment_report(out: Mapping, names: Sequence[str]) -> DataFrame:
+    """All results of an experiment as long rows: summary, targets, interval, largest errors, submission totals, choice."""
+    sent = out["submission"].groupBy("target").agg(F.count(F.lit(1)).alias("rows"), F.avg("p").alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p"))
+    chosen = out["summary"].select("model", (F.col("model") == out["chosen"]).cast("int").alias("chosen"))
+    return report({
+        "summary": (out["summary"], ["model"]), "chosen": (chosen, ["model"]), "targets": (out["targets"], ["model", "target"]),
+        "interval": (out["interval"], ["pair", "target"]), "errors": (out["errors"].drop("targets", "place"), ["model", "id"]), "submission": (sent, ["target"]),
+    })
+
+
 def count_feature_experiment(
     parents: DataFrame, children: DataFrame, labels: DataFrame, folds: Sequence[int], names: Sequence[str], new_parents: DataFrame, new_children: DataFrame,
     categories: Mapping[str, Sequence[str]] = feats.CATEGORIES, **options,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import provenance
-from ..operators.checks import ContractError
+from ..operators.checks import ContractError, union
 from ..operators.labels import fuse_labels
 from ..plans import jobs as J
 from ..session import scratch_dir
@@ -32,7 +32,20 @@ from .profiles import LINES
 def metadata_audit(spark, sf):
     test = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("id"))
     series = event_series(spark, sf).join(documents(spark, sf).select("id"), "id", "left_semi")  # users without a document are no part of the star
-    return J.metadata_audit(documents(spark, sf), targets(spark, sf), series, test, len(TARGETS))
+    items = table(spark, sf, "benchmark").select((-F.col("item_id") - 1).alias("id"), F.concat(F.lit("item-"), "item_id").alias("series_id"))
+    sample = test.select("id", *[F.lit(0.5).alias(t) for t in TARGETS])
+    return J.metadata_audit(documents(spark, sf), targets(spark, sf), series, test, len(TARGETS), items, sample)
+
+
+@query("""
+    SELECT * FROM (SELECT 'orphan_key' AS "check", 'series in train' AS subject, count(DISTINCT id) AS violations FROM event_series WHERE id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT 'shared_key', 'train, test', count(*) FROM (SELECT item_id FROM benchmark WHERE item_id IN (SELECT doc_id FROM documents))
+    UNION ALL SELECT 'missing_left', 'sample = test', count(*) FROM benchmark WHERE item_id % 2 = 1) WHERE violations > 0""", uses="event_series")
+def star_violations(spark, sf):
+    """What the star checks find without any filter: users that are no documents, items that share an id, a template of the even items."""
+    test = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    checks = J.star_checks(documents(spark, sf), targets(spark, sf), event_series(spark, sf), test, None, test.filter("id % 2 = 0"))
+    return union(checks).filter("violations > 0")
 
 
 @query()
@@ -97,18 +110,20 @@ def overlap_report(spark, sf):
 
 @query()
 def document_experiment(spark, sf):
-    """Three supervision recipes on document features; the benchmark texts are the new rows."""
+    """Three supervision recipes on document features, all results; the benchmark texts are the new rows; outputs are written once."""
     bench = table(spark, sf, "benchmark")
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     cells = [F.length("text") / 1000.0, lines.cast("double"), F.length(F.regexp_replace("text", "[^a-z]", "")) / F.greatest(F.length("text"), F.lit(1)), F.lit(1.0), F.lit(0.0), F.lit(0.0)]
     new = bench.select(F.col("item_id").alias("id"), F.array(*cells).alias("x"))
-    out = J.experiment(document_features(spark, sf), label_table(spark, sf), FOLDS, TARGETS, new)
-    return out["submission"].withColumn("p", r6("p"))
+    digest = F.sha2(F.lit(str(provenance.fingerprint_of(documents(spark, sf)))), 256).alias("sha256")
+    manifests = spark.range(2).select(F.element_at(F.array(F.lit("features"), F.lit("labels")), (F.col("id") + 1).cast("int")).alias("manifest"), F.lit("documents").alias("path"), digest)
+    out = J.experiment(document_features(spark, sf), label_table(spark, sf), FOLDS, TARGETS, new, replicates=REPLICATES, manifests=manifests, path=f"{scratch_dir(spark)}/experiment")
+    return J.experiment_report(out, TARGETS).withColumn("value", F.round("value", 5))
 
 
 @query()
 def order_count_experiment(spark, sf):
-    """Count features of orders: is an order urgent, is it open; folds by customer; new rows are all orders."""
+    """Count features of orders, all results: is an order urgent, is it open; folds by customer; new rows are all orders."""
     orders = table(spark, sf, "orders")
     cells = F.array(
         F.struct(F.lit("urgent").alias("target"), F.when(F.col("o_orderstatus") != "P", (F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("value")),
@@ -120,8 +135,8 @@ def order_count_experiment(spark, sf):
     labels = fuse_labels(rows, none, split, "none", validate=False)
     parents = orders.select(F.col("o_orderkey").alias("id"))
     children = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), "l_returnflag", "l_linestatus")
-    out = J.count_feature_experiment(parents, children, labels, FOLDS, ["urgent", "open"], parents, children, LINES)
-    return out["summary"].select("model", r6("mean_macro_auc").alias("mean_macro_auc"), r6("std_macro_auc").alias("std_macro_auc"), "folds")
+    out = J.count_feature_experiment(parents, children, labels, FOLDS, ["urgent", "open"], parents, children, LINES, replicates=REPLICATES, path=f"{scratch_dir(spark)}/experiment")
+    return J.experiment_report(out, ["urgent", "open"]).withColumn("value", F.round("value", 5))
 
 
 @query()

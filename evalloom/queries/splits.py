@@ -8,7 +8,7 @@ from ..operators import stacks as X
 from ..operators import splits as S
 from ..operators.provenance import table_fingerprint
 from .base import (
-    FOLDS, SERIES_PLANES, TARGETS, event_series, folds, groups, headers, label_table, query, r6, table, targets, turns,
+    FOLDS, SERIES_PLANES, SPLIT_SEED, TARGETS, event_series, folds, groups, headers, label_table, query, r6, table, targets, turns,
 )
 from .contracts import check_sql
 
@@ -210,3 +210,23 @@ def series_status(spark, sf):
            count(*) FILTER (WHERE has AND method = 'InstanceNumber') AS instance_number_planes FROM audited GROUP BY id""", uses="series_method")
 def study_quality(spark, sf):
     return X.study_quality(_audited(spark, sf), SERIES_PLANES)
+
+
+_SPREAD = """list_avg(list_transform([0, 1, 2], lambda c: list_aggregate(list_transform([0, 1, 2],
+                 lambda g: (r.have[g * 3 + c + 1] + CASE WHEN g = f THEN o.v[c + 1] ELSE 0 END) / total[c + 1]), 'stddev_pop')))"""
+
+
+@query(f"""
+    WITH RECURSIVE c AS (SELECT group_id, [count(*) FILTER (WHERE stratum = -1), count(*) FILTER (WHERE stratum = 0), count(*) FILTER (WHERE stratum = 1)] AS v FROM strata GROUP BY group_id),
+    o AS (SELECT group_id, v, row_number() OVER (ORDER BY list_sum(v) * list_sum(v) - 3 * list_sum(list_transform(v, lambda x: x * x)), v, sha256('42:' || group_id)) AS rn FROM c),
+    w AS (SELECT [greatest(sum(v[1]), 1)::DOUBLE, greatest(sum(v[2]), 1)::DOUBLE, greatest(sum(v[3]), 1)::DOUBLE] AS total FROM c),
+    run(rn, group_id, fold, have) AS (
+      SELECT 0::BIGINT, '', -1, [0, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]
+      UNION ALL
+      SELECT rn, group_id, best, list_transform(range(0, 9), lambda i: have[i + 1] + CASE WHEN i // 3 = best THEN v[i % 3 + 1] ELSE 0 END) FROM (
+        SELECT o.rn, o.group_id, o.v, r.have, list_sort(list_transform([0, 1, 2], lambda f: struct_pack(s := round({_SPREAD}, 12), n := r.have[f * 3 + 1] + r.have[f * 3 + 2] + r.have[f * 3 + 3], f := f)))[1].f AS best
+          FROM run r JOIN o ON o.rn = r.rn + 1 CROSS JOIN w))
+    SELECT s.id, s.group_id, run.fold::INT AS fold FROM strata s JOIN run ON run.group_id = s.group_id WHERE run.rn > 0""", uses="strata")
+def greedy_folds(spark, sf):
+    strata = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("value"))
+    return S.greedy_stratified_folds(groups(spark, sf), strata, len(FOLDS), SPLIT_SEED)

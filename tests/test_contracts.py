@@ -61,25 +61,41 @@ def test_schema_dependency_categories_order_vector(spark):
 
 
 def star(spark):
-    t = [("train-a", "ACL", 1), ("train-a", "MCL", 1), ("train-b", "ACL", 0), ("train-b", "MCL", None), ("train-c", "ACL", None), ("train-c", "MCL", None)]
-    return (
-        spark.createDataFrame([("train-a", "one"), ("train-b", "two"), ("train-c", "")], "id string, text string"),
-        spark.createDataFrame(t, "id string, target string, value int"),
-        spark.createDataFrame([(f"{i}-s", "Sagittal", 1, 1) for i in ("train-a", "train-b", "train-c")], "series_id string, plane string, fluid int, fat int"),
-        spark.createDataFrame([("test-a",), ("test-b",)], "id string"),
-    )
+    """Five parents with two questions each, seven children, two parents of another split and their children, a template."""
+    answers = {"p1": (1, 0), "p2": (1, 1), "p3": (None, 0), "p4": (None, None), "p5": (0, None)}
+    cells = [(i, q, v) for i, vs in answers.items() for q, v in zip(("wet", "cold"), vs)]
+    kids = [("p1", "k1", "Top", 1, 0), ("p1", "k2", "Side", 0, 0), ("p2", "k3", "Top", 1, 1), ("p3", "k4", "Front", 0, 1), ("p3", "k5", "Front", 0, 1), ("p5", "k6", "Top", 1, 1), ("p5", "k7", None, 0, 0)]
+    child = "id string, series_id string, plane string, fluid int, fat int"
+    return {
+        "texts": spark.createDataFrame([("p1", "rain"), ("p2", " "), ("p3", None), ("p4", "snow"), ("p5", "sun")], "id string, text string"),
+        "targets": spark.createDataFrame(cells, "id string, target string, value int"), "series": spark.createDataFrame(kids, child),
+        "test": spark.createDataFrame([("q1",), ("q2",)], "id string"), "n_targets": 2,
+        "test_series": spark.createDataFrame([("q1", "k8", "Top", 1, 1)], child),
+        "sample": spark.createDataFrame([("q1", 0.5, 0.5), ("q2", 0.5, 0.5)], "id string, wet double, cold double"),
+    }
 
 
 def test_metadata_audit(spark):
-    texts, targets, series, test = star(spark)
-    got = {(r["section"], r["metric"], r["key"]): r["value"] for r in metadata_audit(texts, targets, series, test, 2).collect()}
-    assert [got[("completeness", m, "")] for m in ("fully_labeled", "partially_labeled", "unlabeled")] == [1, 1, 1]
-    assert got[("texts", "nonblank", "")] == 2 and got[("targets", "observed", "ACL")] == 2 and got[("targets", "positive", "MCL")] == 1
-    for bad in (targets.withColumn("value", F.lit(2)), targets.filter("id <> 'train-a'")):
-        with pytest.raises(C.ContractError):
-            metadata_audit(texts, bad, series, test, 2)
-    with pytest.raises(C.ContractError, match="shared_key"):
-        metadata_audit(texts, targets, series, test.union(texts.select("id")), 2)
+    given = star(spark)
+    got = {(r["section"], r["metric"], r["key"]): r["value"] for r in metadata_audit(**given).collect()}
+    assert [got["completeness", m, ""] for m in ("fully_labeled", "partially_labeled", "unlabeled")] == [2, 2, 1]
+    assert [got["targets", m, "wet"] for m in ("observed", "positive", "negative")] == [3, 2, 1] and got["targets", "unknown", "cold"] == 2
+    assert got["texts", "nonblank", ""] == 3 and got["series", "n", "plane|Top"] == 3
+
+
+@pytest.mark.parametrize("name,change,told", [
+    ("targets", lambda df: df.withColumn("value", F.lit(2)), "binary"),
+    ("targets", lambda df: df.filter("id <> 'p1'"), "missing"),
+    ("test", lambda df: df.union(df.sparkSession.createDataFrame([("p4",)])), "shared_key"),
+    ("series", lambda df: df.withColumn("id", F.when(F.col("series_id") == "k4", "gone").otherwise(F.col("id"))), "orphan_key"),
+    ("test_series", lambda df: df.withColumn("id", F.lit("p1")), "orphan_key"),
+    ("test_series", lambda df: df.withColumn("series_id", F.lit("k1")), "shared_key"),
+    ("sample", lambda df: df.filter("id = 'q1'"), "missing"),
+])
+def test_metadata_audit_fails_closed(spark, name, change, told):
+    given = star(spark)
+    with pytest.raises(C.ContractError, match=told):
+        metadata_audit(**given | {name: change(given[name])})
 
 
 def test_csv_contract_and_projection(spark, tmp_path):

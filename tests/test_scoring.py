@@ -9,6 +9,7 @@ from evalloom.operators import evaluate as E
 from evalloom.operators import heads as H
 from evalloom.operators import joint
 from evalloom.operators import labels as W
+from evalloom.operators import resample as R
 from evalloom.operators import stacked
 from evalloom.operators.checks import ContractError, enforce
 from evalloom.plans import jobs as J
@@ -32,8 +33,9 @@ def test_auc_by_hand_and_strict_macro(spark):
     assert E.fold_macro(scores).first()["macro_auc"] == .625
     single = E.auc(df.withColumn("y", F.when(F.col("target") == "level", 0).otherwise(F.col("y"))), ["model", "fold", "target"])
     assert {r["target"]: r["auc"] for r in single.collect()} == {"scored": .75, "level": None}
-    with pytest.raises(Exception, match="both classes"):
-        E.fold_summary(single).collect()
+    for summary in (E.fold_summary, E.target_means):
+        with pytest.raises(Exception, match="both classes"):
+            summary(single).collect()
     with pytest.raises(Exception, match="outside the fold for target level"):
         E.prevalence_reference(df.filter("target = 'level'")).collect()
 
@@ -75,16 +77,68 @@ def test_paired_analysis(spark):
             J.paired_oof_analysis(rows, bad, [("a", "d")], 2, 2, 5, 7)
 
 
-def test_bootstrap_draws_are_complete_and_independent_of_partitions(spark):
+def plain_times(ids, replicates, seed, fold):
+    import hashlib
+
+    ids = sorted(ids)
+    out = {i: [0] * replicates for i in ids}
+    for r in range(replicates):
+        for j in range(len(ids)):
+            word = int(hashlib.sha256(f"{seed}:{r}:{fold}:{j}".encode()).hexdigest()[:15], 16)
+            out[ids[word % len(ids)]][r] += 1
+    return out
+
+
+def test_draws_are_exact_and_independent_of_partitions(spark):
     rows, _ = oof_case(spark)
-    def draw(df, **sizing):
-        return sorted(map(tuple, E.bootstrap_draws(df.select("fold", "id"), 10, 3, **sizing).collect()))
-    a = draw(rows)
-    assert a == draw(rows.repartition(13), min_rows=1, buckets=16)
-    per = {}
-    for replicate, fold, _, times in a:
-        per[replicate, fold] = per.get((replicate, fold), 0) + times
-    assert len(per) == 20 and set(per.values()) == {6}
+    want = {}
+    for fold in (0, 1):
+        want |= {(fold, i): t for i, t in plain_times([f"s{i:02d}" for i in range(fold * 6, fold * 6 + 6)], 10, 3, fold).items()}
+    for df, sizing in ((rows, {}), (rows.repartition(13), {"min_rows": 1, "buckets": 16})):
+        assert {(r["fold"], r["id"]): r["times"] for r in R.draw_counts(df.select("fold", "id").distinct(), 10, 3, **sizing).collect()} == want
+
+
+def test_poisson_counts(spark):
+    units = spark.range(2000).select((F.col("id") % 2).cast("int").alias("fold"), "id")
+    a = {r["id"]: r["times"] for r in R.draw_counts(units, 50, 9, exact=False).collect()}
+    assert a == {r["id"]: r["times"] for r in R.draw_counts(units.repartition(7), 50, 9, exact=False).collect()}
+    t = np.array(list(a.values()))
+    assert t.shape == (2000, 50) and abs(t.mean() - 1) < 0.02 and abs(t.var() - 1) < 0.05 and abs((t == 0).mean() - np.exp(-1)) < 0.01
+    assert abs(np.corrcoef(t[:, 0], t[:, 1])[0, 1]) < 0.08 and R.draw_counts(units.limit(0), 3, 1).count() == 0
+
+
+def test_units_alike_share_poisson_counts(spark):
+    """One row for each distinct unit; the spread of the differences is that of single counts."""
+    rng = np.random.default_rng(6)
+    cells = []
+    for i in range(300):
+        y = int(rng.integers(0, 2))
+        cells += [(m, i % 2, i, "t", y, round(float(rng.integers(0, 4) + k * y), 1)) for k, m in enumerate(("a", "b"))]
+    rows = spark.createDataFrame(cells, "model string, fold int, id long, target string, y int, p double")
+    grouped = R._grouped_units(rows)
+    assert grouped.select("id").distinct().count() < 150 and grouped.select("fold", "id", "size").distinct().agg(F.sum("size")).first()[0] == 300
+    spread = [R.paired_bootstrap(rows, [("b", "a")], 2, 1, 400, 5, exact=e).filter("target = 'macro'").agg(F.avg("difference"), F.stddev("difference")).first() for e in (True, False)]
+    assert spread[0][0] == pytest.approx(spread[1][0], abs=0.01) and spread[0][1] == pytest.approx(spread[1][1], rel=0.2)
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 8])
+def test_replicate_auc_in_runs(spark, monkeypatch, cells):
+    """Many runs, merged in steps, give the weighted AUC of each replicate."""
+    monkeypatch.setattr(R, "RUN_VALUES", cells)
+    monkeypatch.setattr(R, "MERGED_RUNS", 3)
+    rng = np.random.default_rng(2)
+    y, p, t = rng.integers(0, 2, 90), rng.integers(0, 40, 90) / 40, rng.integers(0, 3, (90, 4))
+    t[y == 1, 3] = 0
+    rows = spark.createDataFrame([("m", 0, i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))] + [("m", 0, 99, None, 0.5)], "model string, fold int, id long, y int, p double")
+    times = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(t)] + [(0, 99, [1] * 4)], "fold int, id long, times array<int>")
+    got = R.replicate_auc(rows, times, ["model"], 4).first()["auc"]
+    assert got[:3] == pytest.approx([brute_auc(y, p, t[:, r]) for r in range(3)]) and np.isnan(got[3])
+
+
+def test_interval_without_accepted_draws(spark):
+    draws = spark.createDataFrame([(0, "a_minus_b", "t", 0.5)], "replicate int, pair string, target string, difference double")
+    got = {(r["pair"], r["target"]): tuple(r)[2:] for r in R.percentile_interval(draws, 10, R.interval_cells([("a", "b")], ["t"])).collect()}
+    assert got == {("a_minus_b", "t"): (0.5, 0.5, 1, 10), ("a_minus_b", "macro"): (None, None, 0, 10)}
 
 
 def test_errors_parity_promotion(spark):
