@@ -9,15 +9,18 @@ reader that wants counts and offsets reads three narrow columns, and one that wa
 Each row has its part number and its offset within the part; the offsets of the parts come from a sum over the
 narrow columns, one row for each part. ``read_tokens`` adds them up to the global ``start``.
 
-Encoding: the tokenizer's pieces never cross a space or a line feed, so the words between them are encoded once for a worker,
-many new words in one call of the library, and their ids are put together again by the tokens' offsets.
+Encoding: the tokenizer's pieces never cross a space or a line feed, nor the boundary between a Latin letter or digit and ASCII punctuation up to the
+word's end, so the words between spaces are cut there; ASCII parts go to lower case, as the tokenizer's normalizer does. The parts are encoded
+once for a worker, many new ones in one call of the library, and their ids are put together again by the tokens' offsets. A text that holds one
+of the file's added tokens, which the library cuts out first, is encoded whole.
 
-Defined results: null text counts as empty and has the end id alone; null doc_ids come first; equal doc_ids follow
+Defined results: null text counts as empty and has the end id alone; a text of any length is encoded whole, its ids must fit in a task; null doc_ids come first; equal doc_ids follow
 the hash of their text; an empty table writes no rows; further columns are not carried.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,6 +37,9 @@ from .common import chunks, partitions, ragged, text_of
 #: Bytes of a row group and of a page; words that one call of the library encodes; entries of a generation of the
 #: dictionary; bytes of text whose words are looked up at once.
 ROW_GROUP, PAGE, CALL_WORDS, CACHE_ENTRIES, CALL_BYTES = 32 << 20, 1 << 20, 20_000, 400_000, 8 << 20
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Latin letters and digits that stay one letter under the normalizer, so that punctuation after them is a piece of its own.
+LAST = r"[A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]$"
 DICTIONARY = {"parquet.enable.dictionary": "true"}
 DELTA = {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}
 
@@ -48,7 +54,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = "|".join(re.escape(t) for t in added if t)
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -79,17 +86,50 @@ class WordIds:
 
     def encode_many(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and their number in each text."""
+        whole = np.flatnonzero(pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)) if self.added else np.empty(0, np.int64)
+        if len(whole):
+            ids, count = self._by_words(pc.if_else(pc.match_substring_regex(texts, self.added), "", texts))
+            made = [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<i4") for i in whole.tolist()]
+            pieces = np.split(ids, np.cumsum(count)[:-1])
+            for i, v in zip(whole.tolist(), made, strict=True):
+                pieces[i] = v
+            return np.concatenate(pieces), np.array([len(v) for v in pieces])
+        return self._by_words(texts)
+
+    def _by_words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         ends = words.offsets.to_numpy()
         coded = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        code = coded.indices.to_numpy()
-        made = self._ids(coded.dictionary.to_pylist())
+        code, distinct = coded.indices.to_numpy(), coded.dictionary
+        trimmed = pc.utf8_rtrim(distinct, characters=PUNCTUATION)
+        cut = pc.match_substring_regex(trimmed, LAST)
+        heads = pc.if_else(cut, trimmed, distinct)
+        tails = _rest(distinct, heads)
+        heads = pc.if_else(pc.equal(pc.utf8_length(heads), pc.binary_length(heads)), pc.ascii_lower(heads), heads)
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        made = self._ids(parts.dictionary.to_pylist())
         size = np.fromiter(map(len, made), dtype=np.int64, count=len(made)) // 4
-        ids = ragged(np.frombuffer(b"".join(made), dtype="<i4"), (np.cumsum(size) - size)[code], size[code])
-        total = np.concatenate(([0], np.cumsum(size[code])))[ends - ends[0]]
+        start = np.cumsum(size) - size
+        part = parts.indices.to_numpy()
+        both = np.column_stack([part[: len(distinct)], part[len(distinct) :]])  # the parts of each distinct word
+        used = both[code]
+        ids = ragged(np.frombuffer(b"".join(made), dtype="<i4"), start[used].ravel(), size[used].ravel())
+        total = np.concatenate(([0], np.cumsum(size[both].sum(axis=1)[code])))[ends - ends[0]]
         return ids, np.diff(total)
 
 
+def _rest(words: pa.StringArray, heads: pa.StringArray) -> pa.StringArray:
+    """What follows each head in its word."""
+    if not len(words):
+        return words
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    begin = at[:-1] + pc.binary_length(heads).to_numpy()
+    length = at[1:] - begin
+    ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(ends.tobytes()), pa.py_buffer(ragged(raw, begin, length).tobytes()))
+
+
 @lru_cache(maxsize=4)
 def model(path: str) -> WordIds:
     return WordIds(path)

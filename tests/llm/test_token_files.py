@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -13,7 +14,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def expected(docs):
-    made = token_files.WordIds(PATH).tokenizer
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(PATH)
     start, out = 0, []
     for doc, text in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = made.encode(text or "", add_special_tokens=False).ids + [2]
@@ -25,9 +28,9 @@ def expected(docs):
 @pytest.mark.parametrize("encoding", [token_files.DICTIONARY, token_files.DELTA])
 def test_round_trip(spark, tmp_path, encoding):
     rng = np.random.default_rng(3)
-    letters = list("ab \n\t'sÉé\x1c1٣=🙂$́ İΣ ß\x85ﬁ") + ["'ll", "<|endoftext|>", "the ", "  "]
+    letters = list("ab \n\t'sÉé\x1c1٣=🙂$́ İΣ ß\x85ﬁ") + ["'ll", "<|endoftext|>", "the ", "  ", "T\u0308", "K\u212a.", "Ab,", "x&&&", "dogs'", "n\u0303!?"]
     docs = [(i * 7 % 501, "".join(rng.choice(letters, rng.integers(0, 60)))) for i in range(500)]
-    docs += [(None, "first"), (600, None), (601, ""), (602, "x y " * 100_000), (603, "z" * 5_000)]
+    docs += [(None, "first"), (600, None), (601, ""), (604, "a <|endoftext|> b"), (605, "<|startoftext|>" * 3 + "X<|endoftext|>"), (606, "<|endof text|>"), (602, "x y " * 100_000), (603, "z" * 5_000)]
     frame = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, part int, ids int").repartition(5)
     folder = str(tmp_path / "tokens")
     token_files.write_tokens(frame, folder, PATH, 2, encoding)
@@ -42,6 +45,19 @@ def test_round_trip(spark, tmp_path, encoding):
     assert column.path_in_schema.startswith("ids.")
 
 
+def test_many_word_shapes():
+    """Heads, tails and case of whole words against the library, text by text."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    made, own = Tokenizer.from_file(PATH), token_files.WordIds(PATH)
+    letters = list("aZzé5٣'.,!$&-\u0301ΣİßﬁΩ\u212b") + ["'s", "'LL", "don't", "Ab."]
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(0, 7))) for _ in range(rng.integers(0, 9))) for _ in range(4000)]
+    ids, count = own.encode_many(pa.array(texts))
+    want = [made.encode(t, add_special_tokens=False).ids for t in texts]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+
+
 def test_repeats_and_empty(spark, tmp_path):
     frame = spark.createDataFrame([(5, "same")] * 4 + [(5, "other")], "doc_id long, text string")
     token_files.write_tokens(frame, str(tmp_path / "a"), PATH, 2)
