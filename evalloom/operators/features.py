@@ -141,12 +141,14 @@ def encode_batches(
     return df.select(*keys, col).mapInPandas(run, schema)
 
 
-def attention_pool(vectors: DataFrame, params: Mapping[str, np.ndarray], planes: int = 3, windows: int = WINDOWS) -> DataFrame:
+def attention_pool(
+    vectors: DataFrame, params: Mapping[str, np.ndarray], planes: int = 3, windows: int = WINDOWS, ids: DataFrame | None = None
+) -> DataFrame:
     """Score each (id, target) by masked softmax attention over the usable window slots.
 
     ``vectors(id, plane, window, vec)`` with 0-based plane and window; absent slots take no
     part. ``params``: ``proj [h, d]``, ``proj_bias [h]``, ``slot [planes*windows, h]``,
-    ``query [t, h]``, ``out [t, h]``, ``out_bias [t]``, the fixed-size head.
+    ``query [t, h]``, ``out [t, h]``, ``out_bias [t]``, the fixed-size head. Every row of ``ids`` is scored; one without a usable slot is an error.
     """
     proj, bias, slot_emb = params["proj"], params["proj_bias"], params["slot"]
     query, out, out_bias = params["query"], params["out"], params["out_bias"]
@@ -173,6 +175,9 @@ def attention_pool(vectors: DataFrame, params: Mapping[str, np.ndarray], planes:
         for s in range(planes * windows)
     ]
     packed = rows.groupBy("id").agg(F.filter(F.array(*slots), lambda s: s.isNotNull()).alias("s"))
+    if ids is not None:
+        packed = ids.select("id").join(packed, "id", "left")
+        packed = packed.withColumn("s", guarded(F.col("s"), F.col("s").isNull(), "an id has no usable slot"))
     targets = F.sequence(F.lit(0), F.lit(len(out_bias) - 1))
     each = packed.select("id", "s", F.explode(targets).alias("target")).withColumn(
         "peak", F.array_max(F.transform("s", lambda x: F.get(x["score"], F.col("target"))))

@@ -23,8 +23,10 @@ from .blocks import Slot, packed
 from .checks import ContractError, check_key, check_subset, enforce, row_checks
 from .joint import fit_joint, label_arrays
 from .stacked import fit_stacked, principal_axes, scaler_facts
-from .features import CATEGORIES, as_array, count_features, count_names
+from .features import CATEGORIES, as_array, assemble_slots, count_features, count_names, mean_pool_windows
 from .labels import supervision
+from .ordering import ranked
+from .splits import PLANES, WINDOWS
 
 # Inverse penalty strength and the supervision recipes.
 INVERSE_PENALTY = 0.1
@@ -247,6 +249,17 @@ def score_new_ids(ids: DataFrame, children: DataFrame, heads: Sequence[Head], ca
     return predict_heads(rows, heads)
 
 
+def score_new_vectors(ids: DataFrame, vectors: DataFrame, heads: Sequence[Head], dim: int, planes: Sequence[str] = PLANES, windows: int = WINDOWS) -> DataFrame:
+    """``(row_idx, id, recipe, target, p)`` of runtime ids from their window vectors ``(id, plane, window, vec)`` alone, numbered in id order.
+
+    Foreign vectors, repeated ids and ids without any usable plane are errors; an absent plane counts as zeros with its flag off.
+    """
+    enforce(check_key(ids, ["id"], "ids"), check_subset(vectors, ids, ["id"], "vectors in ids"), check_usable_slots(ids, vectors))
+    rows = assemble_slots(ids, mean_pool_windows(vectors, windows), dim, planes)
+    numbered = ranked(ids.select("id"), [], ["id"]).select("id", (F.col("rn") - 1).alias("row_idx"))
+    return numbered.join(predict_heads(rows, heads), "id").select("row_idx", "id", "recipe", "target", "p")
+
+
 def check_usable_slots(ids: DataFrame, presence: DataFrame) -> DataFrame:
     """Ids without any usable plane cannot be scored from vectors."""
     return check_subset(ids, presence, ["id"], "ids with a usable plane")

@@ -113,17 +113,21 @@ def replicate_auc(rows: DataFrame, times: DataFrame, by: Sequence[str], replicat
 
 
 def paired_bootstrap(
-    rows: DataFrame, pairs: Sequence[tuple[str, str]], folds: int, targets: int, replicates: int, seed: int, *, exact: bool | None = None, **sizing: int
+    rows: DataFrame, pairs: Sequence[tuple[str, str]], folds: int, targets: int, replicates: int, seed: int, *, unit: str = "id", exact: bool | None = None,
+    **sizing: int
 ) -> DataFrame:
     """AUC differences ``(replicate, pair, target, difference)`` of accepted replicates.
 
     ``rows(model, fold, id, target, y, p)`` on fully observed ids; every model sees the same draws. A replicate counts only
-    if every (fold, target) keeps both classes. Target ``macro`` is the mean of targets.
+    if every (fold, target) keeps both classes. Target ``macro`` is the mean of targets. ``unit`` names the column whose values are drawn as wholes,
+    such as the group of an id.
     """
+    if unit != "id":
+        rows = rows.withColumn("id", F.col(unit))
     units = rows.select("fold", "id").distinct()
     if exact is None:
         exact = units.count() * replicates <= EXACT_DRAWS
-    if not exact:
+    if not exact and unit == "id":
         rows = _grouped_units(rows)
         units = rows.select("fold", "id", "size").distinct()
     times = draw_counts(units, replicates, seed, exact=exact, **sizing)

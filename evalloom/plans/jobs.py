@@ -122,21 +122,33 @@ def overlap_report(
 
 
 def paired_oof_analysis(
-    rows: DataFrame, folds: DataFrame, pairs: Sequence[tuple[str, str]], n_folds: int, n_targets: int, replicates: int, seed: int
+    rows: DataFrame, folds: DataFrame, pairs: Sequence[tuple[str, str]], n_folds: int, n_targets: int, replicates: int, seed: int,
+    *, by_group: bool = False, recorded: DataFrame | None = None, manifest: tuple[DataFrame, DataFrame] | None = None, tolerance: float = 1e-9,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores, differences and intervals of fixed out-of-fold predictions: ``(report, errors)``.
 
-    ``rows(model, fold, id, target, y, p)`` on gold ids, ``folds(id, group_id, fold)``.
+    ``rows(model, fold, id, target, y, p)`` on gold ids, ``folds(id, group_id, fold)``. The resampled unit is the gold id, which then must be the only one of its
+    group, or with ``by_group`` the whole group. ``manifest`` holds the found and the recorded digests of the inputs, which must agree; the folds of
+    the rows must be those of the split; every model must cover every gold cell once; ``recorded(model, mean_macro_auc)`` must come out again.
     """
     rows = reuse(rows)
     gold = folds.join(rows.select("id").distinct(), "id", "left_semi")
+    if manifest is not None:
+        enforce(row_checks(provenance.verify_manifest(*manifest), "manifest", {"changed": F.col("state") != "same"}))
+    models = F.array(*[F.lit(r[0]) for r in rows.select("model").distinct().collect()])  # a few names
+    cells = rows.select("id", "target").distinct().withColumn("model", F.explode(models))
     enforce(
-        check_fd(folds, "group_id", "fold", "folds"), check_distinct_groups(gold, "group_id", "gold"), check_key(rows, ["model", "id", "target"], "predictions"),
+        check_cross_values(rows.select("id", "fold").distinct(), gold, ["id"], ["fold"], "folds"), check_set_equal(rows, cells, ["model", "id", "target"], "predictions = gold"),
+        check_fd(folds, "group_id", "fold", "folds"), *([] if by_group else [check_distinct_groups(gold, "group_id", "gold")]), check_key(rows, ["model", "id", "target"], "predictions"),
         check_class_support(profile.fold_support(rows.select("fold", "id", "target", F.col("y").alias("value")).distinct(), list(range(n_folds)), [r[0] for r in rows.select("target").distinct().collect()])),
     )
     scores = reuse(evaluate.auc(rows, ["model", "fold", "target"]))
+    if recorded is not None:
+        found = evaluate.fold_summary(scores).select("model", F.col("mean_macro_auc").alias("_m")).join(recorded, "model", "full")
+        enforce(row_checks(found, "summary", {"drift": F.abs(F.col("_m") - F.col("mean_macro_auc")) > tolerance}))
     names = [r[0] for r in rows.select("target").distinct().collect()]
-    draws = resample.paired_bootstrap(rows, pairs, n_folds, n_targets, replicates, seed)
+    units = rows.join(gold.select("id", "group_id"), "id") if by_group else rows
+    draws = resample.paired_bootstrap(units, pairs, n_folds, n_targets, replicates, seed, unit="group_id" if by_group else "id")
     out = report({
         "summary": (evaluate.fold_summary(scores), ["model"]), "targets": (evaluate.target_means(scores), ["model", "target"]),
         "brier": (evaluate.brier(rows), ["model", "target"]),

@@ -35,16 +35,16 @@ def listed_sql(x: str) -> str:
 
 
 @query(f"""
-    WITH p AS (SELECT id, plane, arg_min(vec, "window") AS v FROM window_vectors GROUP BY id, plane), i AS (SELECT DISTINCT vec_id // 20 AS id FROM embeddings),
+    WITH c AS (SELECT id, plane, i.pos, avg(vec[i.pos]::DOUBLE) AS m FROM window_vectors CROSS JOIN range(1, 65) i(pos) GROUP BY id, plane, i.pos),
+    p AS (SELECT id, plane, list(m ORDER BY pos) AS v FROM c GROUP BY id, plane), i AS (SELECT DISTINCT vec_id // 20 AS id FROM embeddings),
     s AS (SELECT i.id, max(CASE WHEN plane = 'Sagittal' THEN v END) AS s, max(CASE WHEN plane = 'Coronal' THEN v END) AS c, max(CASE WHEN plane = 'Axial' THEN v END) AS a
           FROM i LEFT JOIN p ON p.id = i.id GROUP BY i.id),
     x AS (SELECT id, list_concat(COALESCE(s::DOUBLE[], [0.0::DOUBLE FOR k IN range(64)]), COALESCE(c::DOUBLE[], [0.0::DOUBLE FOR k IN range(64)]),
                  COALESCE(a::DOUBLE[], [0.0::DOUBLE FOR k IN range(64)]), [(s IS NOT NULL)::INT::DOUBLE, (c IS NOT NULL)::INT::DOUBLE, (a IS NOT NULL)::INT::DOUBLE]) AS x FROM s)
     SELECT id, {listed_sql('x')} AS x FROM x""", uses="window_vectors")
 def assembled_slots(spark, sf):
-    first = window_vectors(spark, sf).groupBy("id", "plane").agg(F.min_by("vec", "window").alias("vec"))
     ids = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("id")).distinct()
-    return G.assemble_slots(ids, first, 64).select("id", listed("x").alias("x"))
+    return G.assemble_slots(ids, G.mean_pool_windows(window_vectors(spark, sf)), 64).select("id", listed("x").alias("x"))
 
 
 @query(f"""
@@ -54,14 +54,15 @@ def pooled_windows(spark, sf):
     return G.mean_pool_windows(window_vectors(spark, sf)).select("id", "plane", listed("vec").alias("vec"))
 
 
-@query("""
-    SELECT l_orderkey, l_linenumber, round((l_discount - 0.485) / 0.229, 6) AS normalized, round_even(255 * greatest(0, least(1, l_tax * 13 - 0.1)), 0)::SMALLINT AS quantized
-    FROM lineitem""")
+_CHANNELS = ["l_discount", "l_tax", "l_quantity / 50"]
+
+
+@query(f"""
+    SELECT l_orderkey, l_linenumber, {', '.join(f'round(({c} - {m}::DOUBLE) / {d}::DOUBLE, 6) AS normalized_{i}' for i, (c, m, d) in enumerate(zip(_CHANNELS, CHANNEL_MEAN, CHANNEL_STD)))},
+           round_even(255 * greatest(0, least(1, l_tax * 13 - 0.1)), 0)::SMALLINT AS quantized FROM lineitem""")
 def normalized_channels(spark, sf):
-    return table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", r6(normalize_channel(F.col("l_discount"), CHANNEL_MEAN[0], CHANNEL_STD[0])).alias("normalized"),
-        quantize_u8(F.col("l_tax") * 13 - 0.1).alias("quantized"),
-    )
+    channels = [r6(normalize_channel(F.expr(c), m, d)).alias(f"normalized_{i}") for i, (c, m, d) in enumerate(zip(_CHANNELS, CHANNEL_MEAN, CHANNEL_STD))]
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *channels, quantize_u8(F.col("l_tax") * 13 - 0.1).alias("quantized"))
 
 
 @query("""
@@ -119,7 +120,7 @@ def attention_params() -> dict[str, np.ndarray]:
 def attention_scores(spark, sf):
     place = F.when(F.col("plane") == "Sagittal", 0).when(F.col("plane") == "Coronal", 1).otherwise(2)
     vectors = window_vectors(spark, sf).withColumn("plane", place)
-    return G.attention_pool(vectors, attention_params()).withColumn("logit", r6("logit"))
+    return G.attention_pool(vectors, attention_params(), ids=vectors.select("id").distinct()).withColumn("logit", r6("logit"))
 
 
 # --- Heads ----------------------------------------------------------------------------
@@ -191,6 +192,26 @@ def scored_new_ids(spark, sf):
     return H.score_new_ids(ids, children, [COUNT_HEAD], LINES).withColumn("p", r6("p"))
 
 
+def vector_head() -> H.Head:
+    """A fixed line over three pooled planes and their presence flags."""
+    d = 3 * 64 + 3
+    return H.Head("fixed", -1, "t", 0.25, [((i * 7) % 11 - 5) / 20 for i in range(d)], [(i % 3) / 10 for i in range(d)], [1 + (i % 4) / 2 for i in range(d)], 0, 0, [])
+
+
+@query("""
+    WITH c AS (SELECT id, plane, i.pos, avg(vec[i.pos]::DOUBLE) AS m FROM window_vectors CROSS JOIN range(1, 65) i(pos) GROUP BY id, plane, i.pos),
+    s AS (SELECT id, (CASE plane WHEN 'Sagittal' THEN 0 WHEN 'Coronal' THEN 1 ELSE 2 END) * 64 + pos - 1 AS k, m FROM c),
+    f AS (SELECT DISTINCT id, 192 + CASE plane WHEN 'Sagittal' THEN 0 WHEN 'Coronal' THEN 1 ELSE 2 END AS k, 1.0::DOUBLE AS m FROM window_vectors),
+    x AS (SELECT i.id, k.k, coalesce(v.m, 0) AS m FROM (SELECT DISTINCT id FROM window_vectors) i CROSS JOIN range(195) k(k)
+            LEFT JOIN (SELECT * FROM s UNION ALL SELECT * FROM f) v ON v.id = i.id AND v.k = k.k),
+    z AS (SELECT id, 0.25::DOUBLE + sum((m - (k % 3) / 10::DOUBLE) / (1 + (k % 4) / 2::DOUBLE) * (((k * 7) % 11 - 5) / 20::DOUBLE)) AS logit FROM x GROUP BY id)
+    SELECT row_number() OVER (ORDER BY id) - 1 AS row_idx, id, 'fixed' AS recipe, 't' AS target, round(1 / (1 + exp(-logit)), 6) AS p FROM z""", uses="window_vectors")
+def scored_new_vectors(spark, sf):
+    """New ids scored from their window vectors alone: pooled, assembled, held against the head, in id order."""
+    vectors = window_vectors(spark, sf)
+    return H.score_new_vectors(vectors.select("id").distinct(), vectors, [vector_head()], 64).withColumn("p", r6("p"))
+
+
 @query()
 def cross_validated(spark, sf):
     oof, _ = H.cross_validate(document_features(spark, sf), label_table(spark, sf), FOLDS, TARGETS)

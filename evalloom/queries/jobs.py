@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import provenance
 from ..operators.checks import ContractError, union
+from ..operators.evaluate import auc, fold_summary
 from ..operators.labels import fuse_labels
+from ..operators.splits import PLANES
 from ..plans import jobs as J
-from ..session import scratch_dir
+from ..session import reuse, scratch_dir
 from .base import (
     FOLDS, TARGETS, derived, documents, event_series, folds, gold_scores, groups, headers, label_table, predictions, query, r6, table, targets,
 )
@@ -141,12 +143,16 @@ def order_count_experiment(spark, sf):
 
 @query()
 def paired_analysis(spark, sf):
-    """Gold rows without text copies, so that one row is one unit."""
-    split = folds(spark, sf)
-    rows = gold_scores(spark, sf)
-    unit = rows.select("id").distinct().join(split.select("id", "group_id"), "id").groupBy("group_id").agg(F.min("id").alias("id")).select("id")
-    out, _ = J.paired_oof_analysis(rows.join(unit, "id", "left_semi"), split, PAIRS, len(FOLDS), len(TARGETS), REPLICATES, RESAMPLE_SEED)
-    return out.withColumn("value", r6("value"))
+    """All gold rows; copies of a text are drawn together. The recorded summary and digests are taken again from the same rows."""
+    rows = reuse(gold_scores(spark, sf))
+    recorded = fold_summary(auc(rows, ["model", "fold", "target"])).select("model", "mean_macro_auc")
+    docs = table(spark, sf, "documents")
+    digests = docs.select(F.lit("documents").alias("path"), F.sha2(F.lit(str(provenance.fingerprint_of(docs.select("doc_id", "n_chars")))), 256).alias("sha256")).limit(1)
+    out, errors = J.paired_oof_analysis(
+        rows, folds(spark, sf), PAIRS, len(FOLDS), len(TARGETS), REPLICATES, RESAMPLE_SEED, by_group=True, recorded=recorded, manifest=(digests, digests)
+    )
+    told = errors.select(F.lit("errors").alias("section"), F.lit("squared_error").alias("metric"), F.concat_ws("|", "model", "target", F.col("place").cast("string")).alias("key"), F.col("squared_error").alias("value"))
+    return out.unionByName(told.select(*out.columns)).withColumn("value", r6("value"))
 
 
 @query(f"SELECT id, target, round(p, 8) AS p FROM ({_BLEND})", uses="predictions")
@@ -161,7 +167,7 @@ def published_blend(spark, sf):
 
 @query()
 def event_stack_features(spark, sf):
-    """Users' events as slice stacks: ordered, sampled, filled, windowed, encoded and pooled."""
+    """Users' events as slice stacks, three users to a study and its planes: ordered, sampled, filled, windowed, encoded and pooled."""
     import numpy as np
 
     events = table(spark, sf, "events")
@@ -169,7 +175,8 @@ def event_stack_features(spark, sf):
         F.col("user_id").alias("series"), F.col("event_id").alias("slice"), (F.col("event_type") != "signup").alias("ok"),
         F.array(F.col("value").cast("float"), F.hour("ts").cast("float"), F.length("props").cast("float")).alias("pixels"),
     )
-    planes = events.select(F.col("user_id").alias("series")).distinct().select(F.col("series").alias("id"), F.lit("Sagittal").alias("plane"), "series")
+    plane = F.get(F.array(*[F.lit(p) for p in PLANES]), F.pmod("series", F.lit(3)).cast("int")).alias("plane")
+    planes = events.select(F.col("user_id").alias("series")).distinct().select(F.floor(F.col("series") / 3).alias("id"), plane, "series")
     weights = np.array([[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(9)] for i in range(4)])
     out = J.stack_features(headers(spark, sf), slices, planes, lambda block: block.astype(float) @ weights.T, 4)
     return out["features"].select("id", F.posexplode("x").alias("i", "x")).withColumn("x", F.round("x", 3))
