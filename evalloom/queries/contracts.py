@@ -276,3 +276,21 @@ def manifest_agreement(spark, sf):
         docs.filter("lang <> 'fr'").select(F.col("doc_id").alias("path"), F.sha2(changed, 256).alias("sha256"))
     )
     return K.source_consistency(rows)
+
+
+@query("""
+    SELECT 'train' AS split, (user_id % 20)::VARCHAR AS id, event_type AS series_id, count(DISTINCT event_id % 2) AS n_files, 'found' AS state FROM events GROUP BY 1, 2, 3
+    UNION ALL SELECT DISTINCT 'train', (user_id % 20)::VARCHAR, 'none', 0, 'no_dicom_files' FROM events
+    UNION ALL SELECT DISTINCT 'test', (user_id % 20)::VARCHAR, NULL, 0, 'no_matching_series' FROM events""")
+def series_files(spark, sf):
+    """Events written as files below split, id and series, even and odd ones apart, and counted from the folder names."""
+    events = table(spark, sf, "events")
+    rows = events.select(F.lit("train").alias("split"), (F.col("user_id") % 20).cast("string").alias("id"), F.col("event_type").alias("series_id"), "event_id", (F.col("event_id") % 2).alias("half"))
+    root = f"{scratch_dir(spark)}/series"
+    for half in (0, 1):
+        rows.filter(F.col("half") == half).drop("half").repartition("id", "series_id").write.mode("append").partitionBy("split", "id", "series_id").parquet(root)
+    real = rows.select("split", "id", "series_id").distinct()
+    ids = rows.select("id").distinct()
+    selected = real.unionByName(ids.select(F.lit("train").alias("split"), "id", F.lit("none").alias("series_id")))
+    selected = selected.unionByName(ids.select(F.lit("test").alias("split"), "id", F.lit(None).cast("string").alias("series_id")))
+    return io.series_inventory(spark, root, selected, "*.parquet", r"/split=([^/]+)/id=([^/]+)/series_id=([^/]+)/[^/]+$")

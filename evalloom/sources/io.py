@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import HALF_MAX
 from ..operators.checks import ContractError, check_schema, enforce
+from .files import folder_files
 
 
 def read_contract(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -35,23 +36,20 @@ def read_columns(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFra
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``(path, sha256, bytes)`` of the files below a folder, hashed where they are read.
+    """``(path, sha256, bytes)`` of all files below a folder, hashed in blocks where they are read; empty files count."""
+    return folder_files(spark, path, glob).select("path", "sha256", "bytes")
 
-    One file is one row; a single file above 2 GB does not fit a row and fails the job.
-    The binary scan lists no empty files, so a file cut to zero bytes shows as missing.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+SERIES_PATH = r"/([^/]+)_series/([^/]+)/([^/]+)/[^/]+$"
 
 
-def series_inventory(spark: SparkSession, root: str, selected: DataFrame, suffix: str = "*.dcm") -> DataFrame:
-    """Files per selected ``(split, id, series_id)`` from paths ``<split>_series/<id>/<series>/<file>``.
+def series_inventory(spark: SparkSession, root: str, selected: DataFrame, suffix: str = "*.dcm", pattern: str = SERIES_PATH) -> DataFrame:
+    """Files per selected ``(split, id, series_id)`` from paths ``<split>_series/<id>/<series>/<file>``, or others with three groups in ``pattern``.
 
     Contents are not read. ``state`` is ``no_matching_series``, ``no_dicom_files`` or ``found``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffix).load(root)
-    part = r"/([^/]+)_series/([^/]+)/([^/]+)/[^/]+$"
-    found = files.select(*[F.regexp_extract("path", part, i + 1).alias(n) for i, n in enumerate(["split", "id", "series_id"])])
+    files = folder_files(spark, root, suffix, sha256=False).filter(F.col("path").rlike(pattern))
+    found = files.select(*[F.regexp_extract("path", pattern, i + 1).alias(n) for i, n in enumerate(["split", "id", "series_id"])])
     counts = found.groupBy("split", "id", "series_id").agg(F.count(F.lit(1)).alias("n_files"))
     rows = selected.join(counts, ["split", "id", "series_id"], "left").na.fill(0, ["n_files"])
     state = F.when(F.col("series_id").isNull(), "no_matching_series").when(F.col("n_files") == 0, "no_dicom_files").otherwise("found")

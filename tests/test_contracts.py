@@ -117,9 +117,11 @@ def test_manifest_inventory_and_vectors(spark, tmp_path):
     root = tmp_path / "train_series" / "s1" / "u1"
     root.mkdir(parents=True)
     (root / "a.dcm").write_bytes(b"abc")
-    (root / "b.dcm").write_bytes(b"d")
+    (root / "b.dcm").write_bytes(b"")
+    (root / "c.txt").write_bytes(b"x" * 3_000_000)
     rows = {r["path"].rsplit("/", 1)[1]: (r["sha256"], r["bytes"]) for r in io.file_manifest(spark, str(tmp_path)).collect()}
-    assert rows == {"a.dcm": (hashlib.sha256(b"abc").hexdigest(), 3), "b.dcm": (hashlib.sha256(b"d").hexdigest(), 1)}
+    assert rows == {n: (hashlib.sha256(v).hexdigest(), len(v)) for n, v in {"a.dcm": b"abc", "b.dcm": b"", "c.txt": b"x" * 3_000_000}.items()}
+    assert [r["bytes"] for r in io.file_manifest(spark, f"file://{tmp_path}", "b.*").collect()] == [0]
     selected = spark.createDataFrame([("train", "s1", "u1"), ("train", "s1", "u2"), ("train", "s2", None)], "split string, id string, series_id string")
     assert sorted(r["state"] for r in io.series_inventory(spark, str(tmp_path), selected).collect()) == ["found", "no_dicom_files", "no_matching_series"]
     vectors = spark.createDataFrame([("a", "Axial", 0, [1.0, 2.0]), ("b", "Axial", 1, [0.0, 1.0])], "id string, plane string, window int, vec array<float>")
@@ -133,6 +135,21 @@ def test_manifest_inventory_and_vectors(spark, tmp_path):
         io.write_vectors(vectors, str(tmp_path / "v"))
 
 
+def test_listing_goes_on_in_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("evalloom.sources.files.SPLIT_FOLDERS", 3)
+    for i in range(5):
+        for j in range(2):
+            (tmp_path / f"d{i}" / f"e{j}").mkdir(parents=True)
+            (tmp_path / f"d{i}" / f"e{j}" / "f").write_bytes(bytes([i, j]))
+        (tmp_path / f"d{i}" / "g").write_bytes(b"")
+    (tmp_path / "top").write_bytes(b"t")
+    rows = {r["path"].removeprefix(f"{tmp_path}/"): (r["bytes"], r["sha256"]) for r in io.file_manifest(spark, str(tmp_path)).collect()}
+    want = {p.relative_to(tmp_path).as_posix(): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file()}
+    assert rows == want and len(rows) == 16
+    with pytest.raises(Exception, match="absent"):
+        io.file_manifest(spark, str(tmp_path / "absent")).collect()
+
+
 def test_json_lists(spark):
     df = spark.createDataFrame([(1, '["a", null, "b\\"c"]'), (2, "[]"), (3, '{"a": 1}'), (4, "[1]"), (5, None)], "id long, j string")
     assert found(io.check_json_list(df, "j")) == {("json_list", "j"): 3}
