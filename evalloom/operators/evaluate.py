@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import guarded
 from .checks import check_key, check_set_equal, union
-from .ordering import join_lookup, ranked, tied, top_k
+from .ordering import join_lookup, tied, top_k
 from .profile import count
 
 

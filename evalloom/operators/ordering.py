@@ -23,8 +23,7 @@ HASH_RANGE = 1 << 30
 MIN_ROWS = 100_000  # fewer rows of one key than this are ordered in one task
 MAX_TASK_ROWS = 20_000_000  # more than this are not, as long as the boundaries stay few
 MAX_BOUNDS = 20_000
-HOT_SHARE = 1000  # a join key is hot when it holds more than 1/HOT_SHARE of all rows
-SALTS = 64
+LANES = 64  # of a key in the first cut of a top-k
 
 
 def _bucket_count(df: DataFrame, buckets: int | None) -> int:
@@ -210,7 +209,7 @@ def quantiles(
 
 
 def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Sequence[str], *, lanes: int = SALTS
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, spread: Sequence[str], *, lanes: int = LANES
 ) -> DataFrame:
     """The first ``k`` rows per key under a total order, cut in two steps.
 
@@ -228,35 +227,13 @@ def top_k(
     )
 
 
-def join_lookup(
-    df: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left", *,
-    hot_share: int = HOT_SHARE, salts: int = SALTS, adaptive: bool | None = None,
-) -> DataFrame:
-    """Join many rows to a lookup that is unique on ``on``, splitting hot keys.
+def join_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "left") -> DataFrame:
+    """Join many rows to a lookup that is unique on ``on``.
 
-    With adaptive execution on, the skew-join rule splits an oversized partition of the row
-    side and repeats the lookup's part of it, and small lookups turn into broadcasts by
-    their measured size. Without it, keys above ``1/hot_share`` of the rows are counted, at
-    most ``hot_share`` of them, their rows spread over ``salts`` by a hash of ``spread``
-    and their lookup row is repeated per salt. Exact for any distribution either way.
+    The skew-join rule of adaptive execution splits an oversized partition of the row side and repeats the lookup's part of it, and small lookups
+    turn into broadcasts by their measured size; so adaptive execution must be on. ``spread`` names what tells the rows of a key apart.
     """
-    on = list(on)
-    spark = df.sparkSession
-    if adaptive is None:
-        adaptive = all(spark.conf.get(k, "true") == "true" for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"))
-    if adaptive:
-        return df.join(lookup, on, how)
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
-    total = df.count()
-    counts = df.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * hot_share > total).select("k.*")
-    names = [f"k{i}" for i in range(len(on))]
-    hot = F.broadcast(spark.createDataFrame(counts.collect(), counts.schema).withColumn("_hot", F.lit(True)))
-
-    def marked(side: DataFrame) -> DataFrame:
-        return side.join(hot, _same([(F.col(c), F.col(n)) for c, n in zip(on, names)]), "left").drop(*names)
-
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = marked(df).withColumn("_salt", salt).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = marked(lookup).withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    off = [k for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled") if df.sparkSession.conf.get(k, "true") != "true"]
+    if off:
+        raise ValueError(f"hot keys need {' and '.join(off)}")
+    return df.join(lookup, list(on), how)

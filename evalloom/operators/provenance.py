@@ -53,7 +53,9 @@ def write_once(df: DataFrame, path: str, inputs: Mapping[str, str] | None = None
 def _read_or_none(spark, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
