@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import CONFIDENCE, REACH, signatures
-from .quality import RULES
+from .quality import PATH, RULES
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
@@ -23,10 +23,15 @@ OP10 = rf"""
 
 
 def op5(alpha: float, delta: float) -> str:
-    tests = [(rule, measure, c) for rule, (measure, cuts) in RULES.items() for c in cuts]
-    values = ", ".join(f"('{r}', {c}::DOUBLE)" for r, _, c in tests)
-    measure = "CASE rule " + " ".join(f"WHEN '{r}' THEN {m}" for r, (m, _) in RULES.items()) + " END"
-    rate, level = alpha / len(RULES), delta / len(tests)
+    measures = {r: f"({m})" for r, (m, _) in RULES.items()}
+    lists = ", ".join(f"[{', '.join(f'count(*) FILTER (WHERE lays AND {measures[r]} > {c}::DOUBLE)' for c in cuts)}] AS k_{r}" for r, (_, cuts) in RULES.items())
+
+    def cut(r: str) -> str:
+        values = ", ".join(f"{c}::DOUBLE" for c in RULES[r][1])
+        return f"[{values}][nullif(list_position(list_transform(k_{r}, lambda k: k <= share * n), true), 0) + notch] AS cut_{r}"
+
+    steps = ", ".join(f"({t}, {share * alpha!r}::DOUBLE, {notch})" for t, (share, notch) in enumerate(PATH))
+    rejects = " OR ".join(f"coalesce({measures[r]} > cut_{r}, false)" for r in RULES)
     return rf"""
     WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -38,16 +43,21 @@ def op5(alpha: float, delta: float) -> str:
                         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
                         len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM docs LEFT JOIN covered USING (rid)),
     judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM measured),
-    good AS (SELECT j.* FROM judged j SEMI JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) g USING (doc_id) WHERE NOT base_failed),
-    tests(rule, cutoff) AS (VALUES {values}),
-    counted AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (WHERE ({measure}) > cutoff) AS k FROM good CROSS JOIN tests GROUP BY ALL),
-    safe AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM counted WHERE k < n * {rate!r} AND
-               list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({rate!r}) + (n - j) * ln(1 - {rate!r}))))
-                 <= {level!r} / (SELECT count(DISTINCT stratum) FROM docs) GROUP BY stratum, rule),
-    rejected AS (SELECT DISTINCT rid FROM judged JOIN safe USING (stratum) WHERE ({measure}) > cutoff)
+    good AS (SELECT j.*, substr(md5(doc_id::VARCHAR), 1, 1) IN ('0', '1') AS lays FROM judged j
+              SEMI JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) g USING (doc_id) WHERE NOT base_failed),
+    laid AS (SELECT stratum, count(*) FILTER (WHERE lays) AS n, {lists} FROM good GROUP BY stratum HAVING count(*) FILTER (WHERE lays) > 0),
+    steps(step, share, notch) AS (VALUES {steps}),
+    settings AS (SELECT stratum, step, {', '.join(cut(r) for r in RULES)} FROM laid CROSS JOIN steps),
+    held AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (WHERE {rejects}) AS k FROM good JOIN settings USING (stratum) WHERE NOT lays GROUP BY stratum, step),
+    tested AS (SELECT stratum, step, k < n * {alpha!r} AND
+               list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha!r}) + (n - j) * ln(1 - {alpha!r}))))
+                 <= {delta!r} / (SELECT count(DISTINCT stratum) FROM docs) AS safe FROM held),
+    chosen AS (SELECT stratum, coalesce(min(step) FILTER (WHERE NOT safe), {len(PATH)}) - 1 AS step FROM tested GROUP BY stratum),
+    rejected AS (SELECT DISTINCT rid FROM judged JOIN settings USING (stratum) JOIN chosen USING (stratum, step) WHERE {rejects})
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected.rid IS NULL AS kept
       FROM judged LEFT JOIN rejected USING (rid)"""
 
+
 # crc32 of the decimal doc_id, bit by bit: each character, then eight shifts; runs from pairs of equal 16-word windows, whose
 # places at one distance form stretches
 OP11 = r"""

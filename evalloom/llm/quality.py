@@ -1,20 +1,24 @@
 """Quality rules with risk-controlled cutoffs, by DataFrame functions alone.
 
 Each text is measured in one pass without a shuffle. A rule rejects texts whose measure lies above a cutoff;
-cutoffs are chosen for each stratum on labelled documents. For a rule, a stratum and a cutoff, k of n good labelled
-documents are rejected; the cutoff is safe when a binomial with the permitted rate gives k or fewer with a probability of at most
-``delta`` divided by the number of all tests (strata x rules x cutoffs), which is the exact binomial bound with
-Bonferroni's correction. The strictest safe cutoff holds; without one the rule rejects nothing in that stratum. The
-permitted rate is ``alpha`` divided by the number of rules, so that together the rules reject at most ``alpha``
-of a stratum's good documents, with confidence 1 - delta over all strata at once.
+cutoffs are chosen for each stratum on labelled documents. A stratum walks one path of settings, each with a cutoff for every
+rule (or none), from loose to strict. The path is laid by an eighth of its good labelled documents (by a hash of the doc_id): first the
+strictest cutoffs that reject none of them, loosened by six notches, then five, down to none, then cutoffs that reject a
+quarter, a half and all of the permitted share. The other seven eighths are the holdout: a setting with k of n good ones rejected by any rule is safe when a
+binomial with rate ``alpha`` gives k or fewer with a probability of at most ``delta`` over the number of strata. That is the exact
+binomial bound on all rules together; settings are tested in the order of the path up to the first that is not safe, so they
+need no further correction (fixed-sequence testing), and strata are corrected by Bonferroni. The last safe setting holds; without one no rule
+rejects there. So at most ``alpha`` of a stratum's good documents are rejected, with confidence 1 - delta over all strata at once.
+``risk_table`` tells for each stratum whether its labels sufficed.
 
 Only counts for each stratum and cutoff are gathered, by map-side aggregates; their number does not depend on the rows.
 
 Repeated windows: each 8-word window of a text gets a hash; only where hashes repeat in the text are the positions
 sorted by hash, and the windows there compared word by word, so the count is exact.
 
-Defined results: null text has no words, and fails; a null stratum counts as the stratum ``""``; a document with several
-labels is good if one says so; null labels are left out; repeated rows are each measured; without labels no rule rejects beyond the base.
+Defined results: null and empty texts have no words, and fail; texts of any length are measured whole; equal measures are on one side of a cutoff; a null stratum counts as the stratum ``""``; a document with several
+labels is good if one says so; null labels are left out; repeated rows are each measured; without labels no rule rejects beyond the base; an empty table
+gives an empty table; other columns, whatever their names, stay inside ``row``.
 """
 
 from __future__ import annotations
@@ -89,24 +93,62 @@ def _tail(k: Column, n: Column, rate: float) -> Column:
     return F.aggregate(terms, zero, add, lambda acc: acc["s"])
 
 
-def cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """``(stratum, rule, cutoff)``: the strictest safe cutoff of each rule, where there is one.
+#: Settings of the path, loose to strict: share of ``alpha`` that may go among the documents that lay it, and notches by which cutoffs are loosened.
+PATH: list[tuple[float, int]] = [*[(0.0, notch) for notch in range(6, -1, -1)], (0.25, 0), (0.5, 0), (1.0, 0)]
 
-    ``marked`` comes from ``measured``; ``labels`` has doc_id and quality, 1 for good documents.
-    """
+
+def _good(marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """Measures of good documents beyond the base rules; ``lays`` marks the eighth that lays the path."""
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1")
     known = marked.select(F.col("row.doc_id").alias("doc_id"), "stratum", *MEASURES).filter(~base_failed()).join(good.select("doc_id"), "doc_id", "left_semi")
-    names = [(rule, c) for rule, (_, cuts) in RULES.items() for c in cuts]
-    rate = alpha / len(RULES)
-    counted = known.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"), *[F.count_if(F.expr(RULES[rule][0]) > c).alias(f"k{i}") for i, (rule, c) in enumerate(names)]
-    )
-    tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k{i}").alias("k")) for i, (rule, c) in enumerate(names)])
+    return known.withColumn("lays", F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1"))
+
+
+def paths(good: DataFrame, alpha: float) -> DataFrame:
+    """``(stratum, step, cut_<rule>...)``: the settings of each stratum's path, a null cutoff where a rule is off."""
+    def counts(rule: str) -> Column:
+        measure, cuts = RULES[rule]
+        return F.array(*[F.count_if(F.col("lays") & (F.expr(measure) > c)) for c in cuts]).alias(f"k_{rule}")
+
+    counted = good.groupBy("stratum").agg(F.count_if("lays").alias("n"), *[counts(r) for r in RULES]).filter("n > 0")
+    steps = F.array(*[F.struct(F.lit(t).alias("step"), F.lit(share * alpha).alias("share"), F.lit(notch).alias("notch")) for t, (share, notch) in enumerate(PATH)])
+
+    def cut(rule: str) -> Column:
+        first = F.array_position(F.transform(f"k_{rule}", lambda k: k <= F.col("share") * F.col("n")), True)  # from 1; 0 without any
+        return F.when(first > 0, F.get(F.array(*[F.lit(float(c)) for c in RULES[rule][1]]), (first - 1 + F.col("notch")).cast("int"))).alias(f"cut_{rule}")
+
+    return counted.select("*", F.inline(steps)).select("stratum", "step", *[cut(r) for r in RULES])
+
+
+def risk_table(marked: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """``(stratum, step, n, k, tail, safe, chosen, cut_<rule>...)``: every setting on the holdout; ``chosen`` marks the one that holds.
+
+    A stratum whose first setting is not safe has too few labels, or its rules reject good documents wherever they act.
+    """
+    good = saved(_good(marked, labels))
+    rejected = F.lit(False)
+    for rule, (measure, _) in RULES.items():
+        rejected = rejected | F.coalesce(F.expr(measure) > F.col(f"cut_{rule}"), F.lit(False))
+    settings = saved(paths(good, alpha))
+    held = good.filter("NOT lays").join(small_side(settings), "stratum")  # ten settings for each document
+    counted = held.groupBy("stratum", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if(rejected).alias("k"))
     strata = marked.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    rows = counted.select("stratum", "n", F.inline(tests)).join(F.broadcast(strata))  # one row
-    level = F.lit(delta / len(names)) / F.col("strata")
-    safe = F.when(F.col("k") < F.col("n") * rate, _tail(F.col("k"), F.col("n"), rate) <= level).otherwise(False)
-    return rows.filter(safe).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
+    rows = settings.join(counted, ["stratum", "step"]).join(F.broadcast(strata))  # one row
+    tail = F.when(F.col("k") < F.col("n") * alpha, _tail(F.col("k"), F.col("n"), alpha)).otherwise(1.0)
+    rows = rows.withColumn("tail", tail).withColumn("safe", F.col("tail") <= delta / F.col("strata"))
+    stop = rows.groupBy("stratum").agg(F.coalesce(F.min(F.when(~F.col("safe"), F.col("step"))), F.lit(len(PATH))).alias("stop"))
+    rows = rows.join(stop, "stratum").withColumn("chosen", F.col("step") == F.col("stop") - 1)
+    return rows.select("stratum", "step", "n", "k", "tail", "safe", "chosen", *[f"cut_{r}" for r in RULES])
+
+
+def cutoffs(marked: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """``(stratum, rule, cutoff)`` of the setting that holds in each stratum, without rules that are off.
+
+    ``marked`` comes from ``measured``; ``labels`` has doc_id and quality, 1 for good documents.
+    """
+    held = risk_table(marked, labels, alpha, delta).filter("chosen")
+    each = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"cut_{r}").alias("cutoff")) for r in RULES])
+    return held.select("stratum", F.inline(each)).filter("cutoff IS NOT NULL")
 
 
 def judged(marked: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 import re
 from collections import Counter, defaultdict
 from fractions import Fraction
+from hashlib import md5
 from math import comb
 
 import numpy as np
+import pytest
 
 from evalloom.llm import quality
 
@@ -54,43 +56,85 @@ def test_measures(spark):
         assert {m: row[m] for m in quality.MEASURES} == plain(docs[row.doc_id][1]), docs[row.doc_id]
 
 
+def plain_settings(strata, alpha, delta):
+    """The setting that holds in each stratum, by plain counting and exact fractions."""
+    chosen = {}
+    for s, rows in strata.items():
+        lay, held = [m for lays, m in rows if lays], [m for lays, m in rows if not lays]
+        if not lay or not held:
+            continue
+        best = None
+        for share, notch in quality.PATH:
+            setting = {}
+            for rule, (_, cuts) in quality.RULES.items():
+                at = next((i for i, c in enumerate(cuts) if sum(value(rule, m) > c for m in lay) <= share * alpha * len(lay)), None)
+                if at is not None and at + notch < len(cuts):
+                    setting[rule] = cuts[at + notch]
+            n, k = len(held), sum(any(value(r, m) > c for r, c in setting.items()) for m in held)
+            rate = Fraction(alpha)
+            tail = sum(comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k + 1))
+            if float(tail) > delta / len(strata) or k >= n * alpha:
+                break
+            best = setting
+        if best is not None:
+            chosen |= {(s, r): c for r, c in best.items()}
+    return chosen
+
+
 def test_cutoffs(spark):
-    """The strictest cutoff whose exact binomial tail is small enough, for each stratum; other labels don't count."""
+    """Each stratum's last safe setting; other labels don't count; labelled bad texts go, few good ones do."""
     rng = np.random.default_rng(8)
-    docs, labels = [], []
+    docs, labels, bad_docs = [], [], set()
     for i in range(6000):
         lang = [None, "a", "b"][i % 3] if i % 100 else "rare"
-        bad = rng.random() < (0.002 if lang == "a" else 0.02)
-        words = [f"word{rng.integers(10**6)}" + ("$$$" if bad else "") for _ in range(25)]
+        bad = rng.random() < 0.1
+        if bad and i % 2:
+            bad_docs.add(i)
+        spoilt = rng.random() < (0.9 if i in bad_docs else 0.002 if lang == "a" else 0.02)
+        words = [f"word{rng.integers(10**6)}" + ("$$$" if spoilt else "") for _ in range(25)]
         docs.append((i, " ".join(words), lang))
-        if i % 2 == 0:
+        if i in bad_docs:
+            labels.append((i, 0))
+        elif i % 2 == 0:
             labels += [(i, 1), (i, 0)] if i % 4 else [(i, 1)]
-    labels += [(1, 0), (3, None), (None, 1), (10**6, 1)]
+    labels += [(3, None), (None, 1), (10**6, 1)]
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     marked = quality.measured(frame)
-    got = {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(marked, spark.createDataFrame(labels, "doc_id long, quality int"), alpha=0.05, delta=0.1).collect()}
+    given = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.cutoffs(marked, given, alpha=0.02, delta=0.1).collect()}
     strata = {"": [], "a": [], "b": [], "rare": []}
     for i, text, lang in docs:
         m = plain(text)
         if i % 2 == 0 and not failed(m):
-            strata[lang or ""].append(m)
-    tests = sum(len(c) for _, c in quality.RULES.values())
-    rate, want = Fraction(0.05 / len(quality.RULES)), {}
-    for s, rows in strata.items():
-        n = len(rows)
-        for rule, (_, cuts) in quality.RULES.items():
-            for c in cuts:
-                k = sum(value(rule, m) > c for m in rows)
-                tail = sum(comb(n, j) * rate**j * (1 - rate) ** (n - j) for j in range(k + 1))
-                if float(tail) <= 0.1 / tests / len(strata):
-                    want[s, rule] = c
-                    break
-    assert got == want and ("a", "symbols") in got and not any(s == "rare" for s, _ in got)
-    out = quality.judged(marked, spark.createDataFrame([(s, r, c) for (s, r), c in want.items()], "stratum string, rule string, cutoff double"))
-    for r in out.collect():
+            strata[lang or ""].append((md5(str(i).encode()).hexdigest()[0] in "01", m))
+    want = plain_settings(strata, 0.02, 0.1)
+    assert got == want and got["a", "symbols"] == 0.02 and not any(s == "rare" for s, _ in got)
+    table = {(r.stratum, r.step): r for r in quality.risk_table(marked, given, alpha=0.02, delta=0.1).collect()}
+    assert not table["rare", 0].safe and sum(r.chosen for r in table.values()) == len({s for s, _ in want})
+    out = quality.judged(marked, spark.createDataFrame([(s, r, c) for (s, r), c in want.items()], "stratum string, rule string, cutoff double")).collect()
+    for r in out:
         m = plain(docs[r.row.doc_id][1])
         rejects = [x for x in quality.RULES if value(x, m) > want.get((r.stratum, x), 1e9)]
         assert r.reasons == rejects and r.kept == (not failed(m) and not rejects)
+    spoilt = [r for r in out if r.row.doc_id in bad_docs and r.stratum == "a"]
+    assert sum(not r.kept for r in spoilt) > 0.8 * len(spoilt)
+
+
+def test_production_risk_on_the_given_labels(spark):
+    """At the query's own alpha and delta labelled bad texts go, and at most one good one in a hundred."""
+    import os
+
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the given tables")
+    from evalloom.llm.common import saved
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.quality_verdicts(saved(quality.measured(docs)), labels, alpha=0.01, delta=0.05)
+    rows = out.filter("NOT base_failed").select("row.doc_id", "stratum", "kept").join(labels, "doc_id").collect()
+    good, bad = [r for r in rows if r.quality == 1], [r for r in rows if r.quality == 0 and r.stratum == "en"]
+    assert sum(not r.kept for r in good) <= 0.01 * len(good)
+    assert len(bad) > 50 and sum(not r.kept for r in bad) > 0.5 * len(bad)
 
 
 def test_empty(spark):
