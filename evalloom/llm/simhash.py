@@ -18,7 +18,7 @@ further columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.linkage import link_components
-from .common import map_chunks, partitions, ragged, row_key, saved, text_of
+from .common import map_chunks, partitions, ragged, row_key, saved, small_side, text_of
 
 BITS, BLOCKS = 64, 4
 #: Fingerprints of a group from which on it is dealt again; rows a task turns into one trie; node pairs walked at once; row pairs of equal values tested at once.
@@ -98,12 +98,38 @@ class Forest:
             a, b = a[open_], b[open_]
 
 
-def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, full: np.ndarray | None = None, limit: int = 0) -> np.ndarray:
+class SpanningForest(Forest):
+    """A forest that keeps the pairs of rows that joined its components."""
+
+    def __init__(self, n: int):
+        super().__init__(n)
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        label = self.label
+        while len(a):
+            x, y = label[a], label[b]
+            open_ = x != y
+            a, b, low, high = a[open_], b[open_], np.minimum(x, y)[open_], np.maximum(x, y)[open_]
+            if not len(a):
+                return
+            order = np.lexsort((low, high))
+            pick = order[np.concatenate(([True], high[order][1:] != high[order][:-1]))]  # each root hangs below one other
+            self.pairs.append((a[pick], b[pick]))
+            label[high[pick]] = low[pick]
+            while (label[label] != label).any():
+                label[:] = label[label]
+
+
+def trie_join(
+    values: np.ndarray, groups: np.ndarray, budget: int, top: int, full: np.ndarray | None = None, limit: int = 0, forest: Forest | None = None
+) -> np.ndarray:
     """For each row the least row it is linked to within its group, directly or by way of others.
 
     ``values`` are sorted within ``groups``, and equal above bit ``top`` there. With ``full`` (words of longer
     fingerprints) a pair is linked only if these differ in at most ``limit`` bits; rows with equal values are then ordered by
     ``full``, each meets the first one and the one before it, and then all other rows that no links join to it yet, by halves.
+    A ``forest`` of rows that are already in that order is continued.
     """
     if full is not None:
         order = np.lexsort((*full.T[::-1], values, groups))
@@ -115,7 +141,7 @@ def trie_join(values: np.ndarray, groups: np.ndarray, budget: int, top: int, ful
         return np.bitwise_count(full[a] ^ full[b]).sum(axis=1) <= limit
 
     n = len(values)
-    forest = Forest(n)
+    forest = forest or Forest(n)
     edge = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
     many = hi - lo > 1
@@ -282,13 +308,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 3) -> DataF
 
 # --- copies by similarity -------------------------------------------------------------
 
-#: Fingerprints of 256 bits; pieces of 32 bits, of which one must agree within the trie's budget.
-WORDS, PIECE, STIR = 4, 32, (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Fingerprints of 256 bits; pieces of 32 bits, of which one must agree within the trie's budget; bit limits of the proposals, in
+#: standard deviations around the mean at the wanted similarity.
+WORDS, PIECE, STIR, LEVELS = 4, 32, (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (-1, 1, 3)
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     """Four fingerprints, from the shingle hashes and three mixtures of them."""
-    hashes = shingle_hashes(text, shingle)
     out = []
     for k in STIR:
         h = hashes
@@ -300,40 +326,126 @@ def wide_fingerprint(text: bytes, shingle: int) -> list[int]:
     return out
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, one for each group of copies and near copies: that of the least doc_id.
-
-    Two texts of Jaccard similarity J have shingle vectors at an angle with cosine 2J / (1 + J), and fingerprint bits differ with
-    a chance of the angle over pi. Pairs are linked when at most so many of 256 bits differ as ``similarity`` makes likely, plus
-    one standard deviation. Candidates agree within ``budget`` bits on one of eight pieces of 32 bits, each joined by its tries: that finds nine in ten pairs
-    at similarity 0.8, and all but one in a thousand at 0.9.
-    """
-    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(WORDS * BITS * chance + np.sqrt(WORDS * BITS * chance * (1 - chance)))
+def _marked(rows: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, key_a, key_b, tie, node_a, node_b, w0..)`` of ``(doc_id, key_a, key_b, tie, text)``: texts with equal words share a node."""
     names = [f"w{i}" for i in range(WORDS)]
+    keep = ["doc_id", "key_a", "key_b", "tie"]
 
     def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = np.array([wide_fingerprint(t, shingle) for t in batch.column("text").to_pylist()], dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
-        cols = [batch.column(c) for c in ("doc_id", "key_a", "key_b")]
-        return pa.RecordBatch.from_arrays([*cols, *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(WORDS))], names=["doc_id", "key_a", "key_b", *names])
+        import xxhash
+
+        made = []
+        for text in batch.column("text").to_pylist():
+            line = b" ".join(text.lower().split())
+            made.append([xxhash.xxh64_intdigest(line, 1), xxhash.xxh64_intdigest(line, 2), *wide_fingerprint(shingle_hashes(text, shingle))])
+        cells = np.array(made, dtype=np.uint64).reshape(-1, 2 + WORDS).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in keep), *(pa.array(np.ascontiguousarray(c)) for c in cells.T)], names=[*keep, "node_a", "node_b", *names]
+        )
 
-    keys = row_key(F.col("doc_id"), text_of())
-    rows = docs.select("doc_id", *keys, text_of().cast("binary").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = saved(map_chunks(rows, mark, f"doc_id {kind}, key_a long, key_b long, " + ", ".join(f"{n} long" for n in names)))
-    nodes = marked.groupBy("w0").agg(F.min(F.struct(*names[1:])).alias("w"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key_a", "key_b")).alias("least"))
-    nodes = saved(nodes.select(F.col("w0").alias("bits"), "w0", "w.*", "least"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return map_chunks(rows, mark, f"doc_id {kind}, key_a long, key_b long, tie long, node_a long, node_b long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _proposed(nodes: DataFrame, limits: list[int], budget: int) -> DataFrame:
+    """``(a, b, bits)``: pairs of nodes that span, closest first, what is within the last limit of differing bits in a group of tries."""
+    names = [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, rows in _groups(batches):
+            values = rows.column("turned").to_numpy().view(np.uint64)
             full = np.stack([rows.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-            label = trie_join(rows.column("turned").to_numpy().view(np.uint64), group, budget, PIECE - PIECE // BLOCKS, full, limit)
-            at = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(full[at, 0].view(np.int64)), pa.array(full[label[at], 0].view(np.int64))], names=["a", "b"])
+            order = np.lexsort((*full.T[::-1], values, group))
+            values, full, node = values[order], full[order], rows.column("node").to_numpy()[order]
+            forest = SpanningForest(len(values))
+            for limit in limits:
+                trie_join(values, group, budget, PIECE - PIECE // BLOCKS, full, limit, forest)
+            if forest.pairs:
+                a, b = (np.concatenate(x) for x in zip(*forest.pairs, strict=True))
+                bits = np.bitwise_count(full[a] ^ full[b]).sum(axis=1).astype(np.int32)
+                a, b = node[a], node[b]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(bits)], names=["a", "b", "bits"])
 
     pieces = [F.struct(F.lit(i).alias("piece"), F.shiftrightunsigned(names[i // 2], PIECE * (i % 2)).bitwiseAND((1 << PIECE) - 1).alias("value")) for i in range(2 * WORDS)]
-    dealt = _dealt(nodes.select(*names, F.inline(F.array(*pieces))), PIECE, names)
-    links = saved(dealt.mapInArrow(run, "a long, b long"))
-    stays = _components(nodes.select("bits", "least"), links).select("component_id.key_a", "component_id.key_b").distinct()
-    whole = docs.select(F.struct(*docs.columns).alias("row"), *keys)
-    return whole.join(saved(stays), ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]).select("row.*")
+    dealt = _dealt(nodes.select("node", *names, F.inline(F.array(*pieces))), PIECE, ["node", *names])
+    return dealt.mapInArrow(run, "a long, b long, bits int").distinct()
+
+
+def _shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``(node, s)`` of ``(node, text)``: the distinct shingle hashes."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column("text").to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+        values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["node", "s"])
+
+    return map_chunks(rows, run, "node long, s array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+    met = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.size(F.array_intersect("sa", "sb"))
+    return met.filter(same >= similarity * (F.size("sa") + F.size("sb") - same)).select("a", "b")
+
+
+def _linked(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` of all nodes in ``pairs``."""
+    keys = pairs.select(F.lit("near").alias("kind"), F.struct("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("id"))
+    return link_components(keys.select("id"), keys).withColumnRenamed("id", "node")
+
+
+def near_links(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], shingle: int, similarity: float, budget: int = 3) -> DataFrame:
+    """Verified pairs ``(a, b)`` of ``nodes(node, w0..)``; ``texts`` gives ``(node, text)`` for a table of nodes.
+
+    The tries only propose pairs; each that counts has been compared by its whole shingle sets. First every node's closest proposal is
+    compared, then all proposals that still lie between different components, so large groups of near copies cost about one comparison a node.
+    """
+    chance = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    spread = np.sqrt(WORDS * BITS * chance * (1 - chance))
+    limits = [int(WORDS * BITS * chance + x * spread) for x in LEVELS]
+    pairs = saved(_proposed(nodes, limits, budget))
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "bits"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "bits"))).alias("e")).select("e.*")
+    sets = saved(_shingle_sets(texts(ends.select("node").distinct()), shingle))
+    nearest = ends.groupBy("node").agg(F.min(F.struct("bits", "other")).alias("o")).select("node", "o.other")
+    nearest = nearest.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    first = saved(_similar(nearest, sets, similarity))
+    linked = saved(_linked(first))
+    left, right = linked.select(F.col("node").alias("a"), F.col("component").alias("ca")), linked.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    rest = saved(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    return first.unionByName(_similar(rest, sets, similarity))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each group of copies and near copies: that of the least doc_id.
+
+    Groups are the components of pairs whose shingle sets have a Jaccard similarity of at least ``similarity``, each such pair compared
+    exactly. Texts with the same words are one node. Candidates come from 256-bit fingerprints: two texts of Jaccard similarity J have shingle
+    vectors at an angle with cosine 2J / (1 + J), and bits differ with a chance of the angle over pi. Proposed are pairs that agree within
+    ``budget`` bits on one of eight pieces of 32 bits, each joined by its tries, and that differ in at most the mean at ``similarity`` plus three
+    standard deviations: nine in ten pairs at 0.8, all but one in a thousand at 0.9.
+
+    Null text counts as empty, texts without words are copies of each other; a null doc_id comes last; of rows with equal doc_id and text the one
+    with the least hash of all columns stays, of equal rows one; texts of any length are compared whole; an empty table stays empty.
+    """
+    keys = [*row_key(F.col("doc_id"), text_of()), F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]).alias("tie")]
+    names, key = [f"w{i}" for i in range(WORDS)], ["key_a", "key_b", "tie"]
+    marked = saved(_marked(docs.select("doc_id", *keys, text_of().cast("binary").alias("text")), shingle))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "key_a", "key_b")).alias("least")
+    nodes = marked.groupBy("node_a", "node_b").agg(F.min(F.struct(*names)).alias("w"), least)
+    nodes = saved(nodes.select(F.monotonically_increasing_id().alias("node"), "w.*", "least"))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        of = saved(nodes.join(wanted, "node", "left_semi").select("node", *[F.col(f"least.{c}").alias(c) for c in key]))
+        return docs.select(*keys, text_of().cast("binary").alias("text")).join(small_side(of), key).dropDuplicates(["node"]).select("node", "text")
+
+    links = saved(near_links(nodes.select("node", *names), texts, shingle, similarity, budget))
+    named = nodes.select("node", "least").join(_linked(links), "node", "left").groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least"))
+    stays = saved(named.select(*[F.col(f"least.{c}").alias(c) for c in key]))
+    repeated = saved(marked.groupBy(*key).count().filter("count > 1").select(*key))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), *keys).join(stays, key, "left_semi")
+    once = whole.join(small_side(repeated), key, "left_anti")
+    again = whole.join(small_side(repeated), key, "left_semi").dropDuplicates(key)
+    return once.unionByName(again).select("row.*")

@@ -182,3 +182,55 @@ def test_one_of_each(spark):
     ids = sorted(r.doc_id for r in kept.collect())
     assert ids == sorted([*groups, *(5000 + g for g in range(30)), 9000, 9002])
     assert simhash.one_of_each(frame.limit(0)).count() == 0
+
+
+def test_similarity_is_exact_on_both_sides(spark):
+    """Pairs just above 0.8 leave one text in more than nine of ten cases, pairs below it always both."""
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    docs, pairs = [], []
+    for i in range(300):
+        base = rng.choice(vocabulary, 400).tolist()
+        other = list(base)
+        for at in rng.choice(80, int(rng.integers(4, 14)), replace=False):
+            other[int(at) * 5] = f"x{rng.integers(10**6)}"
+        sets = [{tuple(t[k : k + 5]) for k in range(396)} for t in (base, other)]
+        same = len(sets[0] & sets[1])
+        pairs.append((2 * i, same / (len(sets[0]) + len(sets[1]) - same)))
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(i in kept for i, _ in pairs)
+    below = [i for i, j in pairs if j < 0.8]
+    near, high = [i for i, j in pairs if 0.8 <= j < 0.86], [i for i, j in pairs if j >= 0.86]
+    assert len(below) > 50 and all(i + 1 in kept for i in below)
+    assert len(near) > 50 and sum(i + 1 not in kept for i in near) >= 0.9 * len(near)
+    assert len(high) > 20 and sum(i + 1 not in kept for i in high) >= 0.97 * len(high)
+
+
+def test_families_of_related_texts(spark):
+    """A family whose texts share two thirds stays whole, its exact and near copies go, all in few comparisons."""
+    rng = np.random.default_rng(13)
+    shared = [f"s{i}" for i in range(300)]
+    docs = []
+    for i in range(120):
+        own = shared + [f"o{i}_{k}" for k in range(150)]
+        docs.append((10 * i, " ".join(own)))
+        if i % 4 == 0:
+            docs += [(10 * i + 1, " ".join(own).upper()), (10 * i + 2, " ".join([*own[:-2], "almost", "same"]))]
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {10 * i for i in range(120)}
+
+
+def test_spanning_pairs():
+    rng = np.random.default_rng(14)
+    forest = simhash.SpanningForest(50)
+    plain = simhash.Forest(50)
+    for _ in range(6):
+        a, b = rng.integers(0, 50, 12), rng.integers(0, 50, 12)
+        forest.link(a, b)
+        plain.link(a, b)
+    assert forest.label.tolist() == plain.label.tolist()
+    again = simhash.Forest(50)
+    pairs = [np.concatenate(x) for x in zip(*forest.pairs)]
+    again.link(*pairs)
+    assert again.label.tolist() == plain.label.tolist() and len(pairs[0]) == 50 - len(set(plain.label.tolist()))
