@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import heads as H
 from ..operators.labels import supervision
+from ..operators.stacked import GRADIENT_TOLERANCE
 from ..plans import jobs as J
 from ..session import reuse
 from .base import FOLDS, query, r6, table
@@ -54,7 +55,10 @@ def wide_experiment(spark, sf):
     WITH {_LABELS} SELECT recipe, f.fold, target, count(*) FILTER (WHERE gold) AS observed, count(*) FILTER (WHERE NOT gold AND known AND weight > 0) AS derived, TRUE AS solved
     FROM wl CROSS JOIN wr CROSS JOIN (SELECT unnest([0, 1, 2])::INT AS fold) f WHERE wl.fold <> f.fold GROUP BY recipe, f.fold, target""")
 def wide_heads(spark, sf):
-    """Cells used by each wide head, and whether the objective's gradient vanishes at it, taken again from single rows."""
+    """Cells used by each wide head, and whether the objective's gradient vanishes at it, taken again from single rows.
+
+    The objective is a sum over cells, so what counts as vanishing is the fit's own tolerance for that many cells, and a hundredth more for the other order of summation.
+    """
     x, labels = reuse(vector_features(spark, sf)), reuse(vector_labels(spark, sf))
     _, heads = H.cross_validate(x, labels, FOLDS, WIDE_TARGETS)
     model = H.model_table(spark, heads)
@@ -67,13 +71,14 @@ def wide_heads(spark, sf):
     met = met.withColumn("z", F.concat(z, F.array(F.lit(1.0))))
     logit = F.aggregate(F.zip_with("z", F.concat("coef", F.array("intercept")), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     met = met.withColumn("r", H.INVERSE_PENALTY * F.col("weight") * (1 / (1 + F.exp(-logit)) - F.col("y")))
-    pull = met.groupBy("recipe", "fold", "target").agg(Summarizer.sum(array_to_vector(F.transform("z", lambda v: v * F.col("r")))).alias("g"), F.first("coef").alias("coef"))
+    pull = met.groupBy("recipe", "fold", "target").agg(Summarizer.sum(array_to_vector(F.transform("z", lambda v: v * F.col("r")))).alias("g"), F.first("coef").alias("coef"), F.first(F.col("observed") + F.col("derived")).alias("cells"))
 
     @F.udf("double")
     def largest(g, coef):
         return float(np.abs(g.toArray() + np.append(coef, 0.0)).max())
 
-    gradient = pull.select("recipe", "fold", "target", (largest("g", "coef") < 1e-6).alias("solved"))
+    bound = 1.01 * GRADIENT_TOLERANCE * F.greatest(F.lit(1.0), H.INVERSE_PENALTY * F.col("cells"))
+    gradient = pull.select("recipe", "fold", "target", (largest("g", "coef") <= bound).alias("solved"))
     return model.select("recipe", "fold", "target", "observed", "derived").join(gradient, ["recipe", "fold", "target"])
 
 

@@ -1,10 +1,16 @@
 """What broke on larger tables: each case is small, but lies beyond the limit that hid it."""
 
+import os
+
 import pytest
+from pyspark.sql import functions as F
 
 from evalloom.operators import linkage as L
 from evalloom.operators.checks import ContractError
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+
 
 def test_components_with_gold_of_several_folds(spark):
     folds = spark.createDataFrame([("a", "g1", 2), ("b", "g2", 1), ("c", "g3", 0), ("d", "g4", 1)], "id string, group_id string, fold int")
@@ -14,3 +20,15 @@ def test_components_with_gold_of_several_folds(spark):
         L.revise_split(folds, comp, gold)
     got = {r["id"]: (r["revised_fold"], r["moved"]) for r in L.revise_split(folds, comp, gold, move_gold=True).collect()}
     assert got == {"a": (1, True), "b": (1, False), "c": (1, True), "d": (1, False)}
+
+
+@needs_tables
+def test_wide_heads_of_many_rows_are_solved(spark, tmp_path):
+    """The bound on the gradient of a sum grows with its cells; a fixed 1e-6 called half the heads of 10,000 vectors unsolved."""
+    from evalloom.queries.wide import wide_heads
+
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+    n = vectors.count()
+    many = vectors.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(10_000 // n)))).withColumn("vec_id", F.col("vec_id") + F.col("r") * n).drop("r")
+    many.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert wide_heads(spark, str(tmp_path)).filter("solved").count() == 108
