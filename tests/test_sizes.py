@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.operators import linkage as L
+from evalloom.operators import resample as R
 from evalloom.operators.checks import ContractError
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -32,3 +33,45 @@ def test_wide_heads_of_many_rows_are_solved(spark, tmp_path):
     many = vectors.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(10_000 // n)))).withColumn("vec_id", F.col("vec_id") + F.col("r") * n).drop("r")
     many.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert wide_heads(spark, str(tmp_path)).filter("solved").count() == 108
+
+
+def test_draws_in_blocks_and_without_broadcast(spark, monkeypatch, capsys):
+    """Counts do not depend on the blocks of draws; the arrays of counts, tiny in Catalyst's eyes, are never broadcast."""
+    units = spark.range(90).select((F.col("id") % 2).cast("int").alias("fold"), "id")
+    want = {r["id"]: r["times"] for r in R.draw_counts(units, 7, 5, exact=True).collect()}
+    monkeypatch.setattr(R, "DRAWN", 21)
+    made = R.draw_counts(units, 7, 5, exact=True)
+    assert {r["id"]: r["times"] for r in made.collect()} == want and [sum(t) for t in zip(*want.values())] == [90] * 7
+    scores = units.select(F.lit("m").alias("model"), "fold", "id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 5 / 5).alias("p"))
+    R.replicate_auc(scores, made, ["model"], 7).explain("extended")
+    assert capsys.readouterr().out.count("strategy=merge") >= 2
+
+
+@pytest.mark.parametrize("held", [4096, 2])
+def test_long_units_and_handed_sums(spark, monkeypatch, held):
+    """Units dealt over several rows, and sums handed on early, give the AUC of the same draws."""
+    rows = spark.range(400).select(
+        F.lit("a").alias("model"), F.lit(0).alias("fold"), "id", (F.col("id") % 7).alias("g"), F.lit("t").alias("target"), (F.col("id") % 3 == 0).cast("int").alias("y"),
+        (F.col("id") * 37 % 101 / 100).alias("p"),
+    )
+    rows = rows.unionByName(rows.withColumn("model", F.lit("b")).withColumn("p", F.lit(0.5)))
+    draw = lambda exact: sorted(map(tuple, R.paired_bootstrap(rows, [("a", "b")], 1, 1, 20, 3, unit="g", exact=exact).withColumn("difference", F.round("difference", 9)).collect()))
+    want = [draw(True), draw(False)]
+    monkeypatch.setattr(R, "UNIT_ROWS", 5)
+    monkeypatch.setattr(R, "HELD", held)
+    assert [draw(True), draw(False)] == want and len(want[0]) == 40
+
+
+@needs_tables
+def test_bootstrap_queries_draw_exactly_at_any_size(spark, monkeypatch):
+    """Beyond the limit of exact draws the queries went over to other draws than their SQL."""
+    import duckdb
+
+    from evalloom.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    monkeypatch.setattr(R, "EXACT_DRAWS", 0)
+    got = {tuple(r) for r in QUERIES["paired_bootstrap"](spark, SF).collect()}
+    assert got == set(con.sql(ORACLES["paired_bootstrap"]).fetchall())
