@@ -1,6 +1,7 @@
 """What broke on larger tables: each case is small, but lies beyond the limit that hid it."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,3 +76,19 @@ def test_bootstrap_queries_draw_exactly_at_any_size(spark, monkeypatch):
     monkeypatch.setattr(R, "EXACT_DRAWS", 0)
     got = {tuple(r) for r in QUERIES["paired_bootstrap"](spark, SF).collect()}
     assert got == set(con.sql(ORACLES["paired_bootstrap"]).fetchall())
+
+
+def test_plain_texts_need_no_python(spark, monkeypatch):
+    """Latin, Cyrillic, kana and Han texts are folded without Python, and as Python would; others are still folded there, in small lots."""
+    import unicodedata
+
+    from evalloom.functions import text as X
+
+    plain = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.match(rf"[\x00-\x7f{X.BEYOND}]", chr(c))]
+    rows = spark.createDataFrame([(i, f"a {c}\u0130 {c}") for i, c in enumerate(plain[1:])] + [(-1, "\ufb01 \u00c5 A\u030a \u03a3\u03a3")], "id int, text string")
+    fold = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", t).casefold()).strip()
+    monkeypatch.setattr(X, "FOLDED", 100)
+    assert all(r["n"] == fold(r["text"]) for r in rows.select("text", X.normalized(F.col("text")).alias("n")).collect())
+    rows = spark.createDataFrame([(i, f"a {c} {c}z") for i, c in enumerate(plain[1:])], "id int, text string")
+    monkeypatch.setattr(X, "_fold_unicode", lambda text: F.when(text.isNotNull(), F.raise_error(F.lit("visits Python"))))
+    assert len(plain) > 21_000 and all(r["n"] == fold(r["text"]) for r in rows.select("text", X.normalized(F.col("text")).alias("n")).collect())
