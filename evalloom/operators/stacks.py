@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, not_finite
+from ..session import reuse
 from .ordering import join_lookup, ranked
 from .splits import PLANES
 
@@ -56,12 +57,10 @@ def _cross(a: Column, b: Column) -> Column:
     )
 
 
-def order_slices(headers: DataFrame, **sizing: int) -> DataFrame:
-    """Order the slices of each series: ``(series, slice, method, reason, pos, n, position)``.
+def _placed_slices(headers: DataFrame) -> DataFrame:
+    """``(series, slice, _valid, _inst, _apart, _key)``: whether a slice's geometry is valid, differs from that of the first, and where it lies.
 
-    ``headers(series, slice, orientation[6], position[3], instance)``; ``slice`` is a unique
-    name inside the series. All slices lie on geometry, or all on unique instance numbers;
-    ``pos`` is 0-based, NULL with method ``rejected``. File order is never used.
+    Kept, as several facts of a series are taken from it: each would meet the rows with their arrays again, all in one task of a later stage.
     """
     ori, loc = F.col("orientation"), F.col("position")
     finite = ~F.exists(ori, lambda x: x.isNull() | not_finite(x)) & ~F.exists(loc, lambda x: x.isNull() | not_finite(x))
@@ -69,18 +68,24 @@ def order_slices(headers: DataFrame, **sizing: int) -> DataFrame:
     unit = COSINE_TOLERANCE + RELATIVE_TOLERANCE
     cosines = (F.abs(_norm(row) - 1) <= unit) & (F.abs(_norm(col) - 1) <= unit) & (F.abs(dot(row, col)) <= COSINE_TOLERANCE)
     valid = F.coalesce((F.size(ori) == 6) & (F.size(loc) == 3) & finite & cosines, F.lit(False))
-    rows = headers.withColumn("_valid", valid).withColumn("_inst", F.col("instance").try_cast("double"))
+    rows = headers.select("series", "slice", "orientation", "position", valid.alias("_valid"), F.col("instance").try_cast("double").alias("_inst"))
 
     first = rows.filter("_valid").groupBy("series").agg(F.min_by("orientation", "slice").alias("_first"))
+    first = first.withColumn("_normal", _cross(F.slice("_first", 1, 3), F.slice("_first", 4, 3))).withColumn("_length", _norm(F.col("_normal")))
     rows = join_lookup(rows, first, ["series"], ["slice"])
     apart = F.exists(
         F.zip_with("orientation", "_first", lambda a, b: F.abs(a - b) > COSINE_TOLERANCE + RELATIVE_TOLERANCE * F.abs(b)), lambda x: x
     )
-    normal = _cross(F.slice("_first", 1, 3), F.slice("_first", 4, 3))
-    rows = rows.withColumn("_apart", F.col("_valid") & apart).withColumn(
-        "_key", F.when(F.col("_valid"), dot(F.col("position"), normal) / _norm(normal))
-    )
+    key = F.when(F.col("_valid"), dot(F.col("position"), F.col("_normal")) / F.col("_length"))
+    return reuse(rows.select("series", "slice", "_valid", "_inst", (F.col("_valid") & apart).alias("_apart"), key.alias("_key")))
+
+
+def order_methods(headers: DataFrame) -> DataFrame:
+    """``(series, method, reason)``: what the slices of each series can be ordered by; see ``order_slices``."""
+    return _methods(_placed_slices(headers))
+
 
+def _methods(rows: DataFrame) -> DataFrame:
     # Two slices too close: equal cell, or the facing ends of two neighboring cells.
     cells = rows.filter("_valid").groupBy("series", F.floor(F.col("_key") / MIN_GAP).alias("cell")).agg(
         F.count(F.lit(1)).alias("k"), F.min("_key").alias("lo"), F.max("_key").alias("hi")
@@ -104,7 +109,18 @@ def order_slices(headers: DataFrame, **sizing: int) -> DataFrame:
         .when(~F.coalesce(F.col("bad_instance"), F.lit(True)), "InstanceNumber").otherwise("rejected")
     )
     why = F.when(F.col("mixed"), "inconsistent orientation").otherwise(reason)
-    facts = facts.select("series", method.alias("method"), why.alias("reason"))
+    return reuse(facts.select("series", method.alias("method"), why.alias("reason")))
+
+
+def order_slices(headers: DataFrame, **sizing: int) -> DataFrame:
+    """Order the slices of each series: ``(series, slice, method, reason, pos, n, position)``.
+
+    ``headers(series, slice, orientation[6], position[3], instance)``; ``slice`` is a unique
+    name inside the series. All slices lie on geometry, or all on unique instance numbers;
+    ``pos`` is 0-based, NULL with method ``rejected``. File order is never used.
+    """
+    rows = _placed_slices(headers)
+    facts = _methods(rows)
     rows = join_lookup(rows, facts, ["series"], ["slice"])
     sort_key = F.when(F.col("method") == "geometry", F.col("_key")).when(F.col("method") == "InstanceNumber", F.col("_inst"))
     placed = ranked(rows.withColumn("_sort", sort_key).select("series", "slice", "method", "reason", "_key", "_sort"), ["series"], ["_sort", "slice"], **sizing)

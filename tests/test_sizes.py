@@ -92,3 +92,18 @@ def test_plain_texts_need_no_python(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"a {c} {c}z") for i, c in enumerate(plain[1:])], "id int, text string")
     monkeypatch.setattr(X, "_fold_unicode", lambda text: F.when(text.isNotNull(), F.raise_error(F.lit("visits Python"))))
     assert len(plain) > 21_000 and all(r["n"] == fold(r["text"]) for r in rows.select("text", X.normalized(F.col("text")).alias("n")).collect())
+
+
+def test_slices_meet_their_series_once(spark, capsys):
+    """The order reads kept rows and facts; it used to join and sort the headers again for every fact, all in one task."""
+    from evalloom.operators import stacks as X
+
+    flat = F.array(*[F.lit(v) for v in (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)])
+    rows = spark.range(40).select(
+        (F.col("id") % 4).alias("series"), "id", flat.alias("orientation"), F.array(F.col("id") * 1.5, F.lit(0.0), F.lit(0.0)).alias("position"), F.col("id").cast("string").alias("instance")
+    ).withColumnRenamed("id", "slice")
+    made = X.order_slices(rows)
+    made.explain("simple")
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "InMemoryTableScan" in plan and plan.count("Range (") <= 2
+    assert {r["method"] for r in X.order_methods(rows).collect()} == {"geometry"} and sorted(r["pos"] for r in made.collect()) == sorted(list(range(10)) * 4)
