@@ -176,7 +176,7 @@ def _audited(spark, sf):
     per = e.groupBy(F.col("user_id").alias("id")).agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("value") > 200).alias("big"), F.count_if(F.col("value") < 0.5).alias("tiny")
     )
-    method = X.order_slices(headers(spark, sf)).select(F.col("series").alias("id"), "method").distinct()
+    method = X.order_methods(headers(spark, sf)).select(F.col("series").alias("id"), "method")
     rows = X.select_series(study_ids(spark, sf), event_series(spark, sf), SERIES_PLANES).join(per, "id", "left").join(method, "id", "left")
     has = F.col("series_id").isNotNull()
     zero = F.lit(0).cast("bigint")
