@@ -41,6 +41,8 @@ END = "<|endoftext|>"
 WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 192, 1024, 8
 #: Classes come in families of so many: a softmax over families, then one over the classes of a family.
 MEMBERS = 32
+#: So many gradients of an input row in a batch are added together with those of other rows, further ones by themselves.
+TURNS = 24
 ROUNDS, RATE, BATCH, SCORE_BATCH, TOP = 2, 0.2, 128, 256, 60.0
 TOKEN_PRIOR, PAIR_PRIOR = 0.1, 20.0
 
@@ -189,7 +191,7 @@ def network(counts: np.ndarray, tokens: list[str], end: int, seed: int = 7) -> N
     rng = np.random.default_rng(seed)
     small = lambda *size: rng.normal(0, 0.3, size).astype(np.float32)
     rows, classes = INPUTS + len(total), len(total)
-    weights = {name: small(rows, WIDTH) for name in ("query", "key", "value")}
+    weights = {"rows": np.concatenate([small(rows, WIDTH) for _ in range(3)], axis=1)}  # query, key and value side by side
     weights["place"] = np.zeros(QUERIES + CONTEXT, dtype=np.float32)
     families = classes // MEMBERS
     weights["family"] = np.zeros((WIDTH, families), dtype=np.float32)
@@ -224,6 +226,7 @@ def with_pairs(net: Network, counts: np.ndarray) -> Network:
 
 BACK = np.arange(QUERIES)[:, None] + CONTEXT - np.arange(QUERIES + CONTEXT)[None, :]  # how far a key lies before its query
 SEEN = (BACK >= 0) & (BACK <= CONTEXT + QUERIES - 1)
+NEAR = np.where(SEEN, BACK, 0)
 
 
 def windows(net: Network, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,41 +255,57 @@ def targets(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _softmax(logit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities by row, and the logarithm of that at ``at``."""
-    np.minimum(logit, np.float32(TOP), out=logit)
+def _cut(logit: np.ndarray) -> None:
+    """No more than ``TOP``, in place; most batches are below and only read."""
+    if logit.size and logit.max() > TOP:
+        np.minimum(logit, np.float32(TOP), out=logit)
+
+
+def _softmax(logit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probabilities by row before their division by the sum of the row, that sum, and the logarithm of the one at ``at``."""
+    _cut(logit)
     chosen = logit[np.arange(len(at)), at]
     np.exp(logit, out=logit)
-    total = logit @ np.ones((logit.shape[1], 1), dtype=np.float32)
-    logit /= total
-    return logit, chosen - np.log(total[:, 0])
+    total = (logit @ np.ones((logit.shape[1], 1), dtype=np.float32))[:, 0]
+    return logit, total, chosen - np.log(total)
 
 
 def forward(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> dict:
-    """Masked attention over a batch of windows; the log-probability of the class ``group`` in each place."""
+    """Masked attention over a batch of windows; the log-probability of the class ``group`` in each place.
+
+    Attention weights stay undivided in ``a``; ``inverse`` has what each query divides by, and ``h`` is divided.
+    """
     w, rows = net.weights, np.maximum(keys, 0)
-    own = rows[:, CONTEXT:]
-    q, k, v = w["query"][own], w["key"][rows], w["value"][rows]
+    sides = w["rows"].take(rows, axis=0)
+    q, k, v = sides[:, CONTEXT:, :WIDTH] * np.float32(WIDTH**-0.5), sides[:, :, WIDTH : 2 * WIDTH], sides[:, :, 2 * WIDTH :]
     score = q @ k.transpose(0, 2, 1)
-    score *= np.float32(WIDTH**-0.5)
-    score += np.where(SEEN, w["place"][np.where(SEEN, BACK, 0)], np.float32(-1e9))
-    if not valid.all():
-        score += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-    np.exp(np.minimum(score, np.float32(TOP), out=score), out=score)
-    score /= (score @ np.ones((score.shape[2], 1), dtype=np.float32)) + np.float32(1e-30)
+    score += np.where(SEEN, w["place"][NEAR], np.float32(-1e9))
+    cut = np.flatnonzero(~valid.all(axis=1))
+    if len(cut):
+        score[cut] += np.where(valid[cut], np.float32(0), np.float32(-1e9))[:, None, :]
+    _cut(score)
+    np.exp(score, out=score)
+    inverse = 1 / (score.reshape(-1, score.shape[2]) @ np.ones((score.shape[2], 1), dtype=np.float32) + np.float32(1e-30))
     h = (score @ v).reshape(-1, WIDTH)
-    before, family, member = own.reshape(-1), group // MEMBERS, group % MEMBERS
-    top, log = _softmax(h @ w["family"] + net.family[before], family)
-    by = np.argsort(family, kind="stable")  # the places of a family together
-    edge = np.searchsorted(family[by], np.arange(len(w["member"]) + 1)).tolist()
-    inner = net.member[before[by] * len(w["member"]) + family[by]]
-    moved = h[by]
+    h *= inverse
+    before, (family, member) = rows[:, CONTEXT:].reshape(-1), np.divmod(group, MEMBERS)
+    top, top_total, log = _softmax(h @ w["family"] + net.family.take(before, axis=0), family)
+    by = family.astype(np.uint16).argsort(kind="stable")  # the places of a family together
+    ordered = family[by]
+    edge = np.searchsorted(ordered, np.arange(len(w["member"]) + 1)).tolist()
+    inner = net.member.take(before[by] * len(w["member"]) + ordered, axis=0)
+    moved = h.take(by, axis=0)
     for f, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
         if b > a:
             inner[a:b] += moved[a:b] @ w["member"][f]
-    inner, log_inner = _softmax(inner, member[by])
-    log[by] += log_inner
-    return {"rows": rows, "own": own, "q": q, "k": k, "v": v, "a": score, "h": h, "top": top, "by": by, "edge": edge, "inner": inner, "log": log}
+    inner, inner_total, log_inner = _softmax(inner, member[by])
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    log += log_inner.take(back)
+    return {
+        "rows": rows, "q": q, "k": k, "v": v, "a": score, "inverse": inverse, "h": h, "family": family, "member": member, "top": top, "top_total": top_total,
+        "by": by, "back": back, "edge": edge, "moved": moved, "inner": inner, "inner_total": inner_total, "log": log,
+    }
 
 
 def log_scores(net: Network, ids: list[np.ndarray]) -> np.ndarray:
@@ -304,41 +323,64 @@ def log_scores(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     return total / np.log(10)
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """Sums of ``values`` by row number."""
-    rows, values = rows.reshape(-1), values.reshape(-1, values.shape[-1])
-    order = np.argsort(rows, kind="stable")
-    at = np.flatnonzero(np.diff(rows[order], prepend=-1))
-    out = np.zeros((size, values.shape[1]), dtype=np.float32)
-    out[rows[order[at]]] = np.add.reduceat(values[order], at, axis=0)
-    return out
+def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct row numbers, which are below 65,536 (such are sorted by radix), and the sums of ``values`` by them."""
+    rows, values = rows.reshape(-1).astype(np.uint16), values.reshape(-1, values.shape[-1])
+    order = rows.argsort(kind="stable")
+    rows = rows[order]
+    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    count = np.diff(at, append=len(rows))
+    often = np.argsort(-count, kind="stable")
+    at, count = at[often], count[often]
+    sums = values.take(order[at], axis=0)
+    for turn, n in enumerate(np.searchsorted(-count, -np.arange(1, TURNS)).tolist(), 1):  # the second of each row, the third of those that have one, ...
+        if not n:
+            break
+        sums[:n] += values.take(order[at[:n] + turn], axis=0)
+    for i, (a, n) in enumerate(zip(at.tolist(), count[count > TURNS].tolist())):  # what is left of the most frequent
+        sums[i] += np.add.reduce(values.take(order[a + TURNS : a + n], axis=0), axis=0)
+    return rows[at], sums
 
 
 def gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
     """Gradient of the summed loss in the windows' places, that loss and their number; ``group`` is -1 where there is no place."""
+    (at, sums), grads, loss, n = _gradient(net, keys, valid, group)
+    rows = np.zeros_like(net.weights["rows"])
+    rows[at] = sums
+    return {"rows": rows, **grads}, loss, n
+
+
+def _gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], dict[str, np.ndarray], float, int]:
+    """``gradient`` with the input rows that the windows hold apart: their numbers and gradients; it is zero for the others."""
     known = (group.reshape(-1) >= 0).astype(np.float32)
-    at = np.maximum(group.reshape(-1), 0)
-    f, w = forward(net, keys, valid, at), net.weights
-    by, top, inner, h = f["by"], f["top"], f["inner"], f["h"]
-    top[np.arange(len(at)), at // MEMBERS] -= 1
-    inner[np.arange(len(at)), at[by] % MEMBERS] -= 1
-    top *= known[:, None]
-    inner *= known[by][:, None]
-    dh = top @ w["family"].T
-    moved, dmoved, dmember = h[by], np.zeros_like(h), np.zeros_like(w["member"])
+    f, w = forward(net, keys, valid, np.maximum(group.reshape(-1), 0)), net.weights
+    by, top, inner, moved, h, every = f["by"], f["top"], f["inner"], f["moved"], f["h"], np.arange(len(known))
+    known_by = known[by]
+    top *= (known / f["top_total"])[:, None]
+    top[every, f["family"]] -= known
+    inner *= (known_by / f["inner_total"])[:, None]
+    inner[every, f["member"][by]] -= known_by
+    dmoved, dmember = np.empty_like(h), np.zeros_like(w["member"])
     for k, (a, b) in enumerate(zip(f["edge"][:-1], f["edge"][1:], strict=True)):
-        dmoved[a:b] = inner[a:b] @ w["member"][k].T
-        dmember[k] = moved[a:b].T @ inner[a:b]
-    dh[by] += dmoved
-    dh = dh.reshape(*f["own"].shape, WIDTH)
-    da = dh @ f["v"].transpose(0, 2, 1)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
-    scale, size = np.float32(WIDTH**-0.5), len(w["query"])
-    near = np.where(SEEN, BACK, 0)
-    return {
-        "query": _scatter(f["own"], ds @ f["k"] * scale, size), "key": _scatter(f["rows"], ds.transpose(0, 2, 1) @ f["q"] * scale, size),
-        "value": _scatter(f["rows"], f["a"].transpose(0, 2, 1) @ dh, size),
-        "place": np.bincount(near.reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=QUERIES + CONTEXT).astype(np.float32),
+        if b > a:
+            np.matmul(inner[a:b], w["member"][k].T, out=dmoved[a:b])
+            dmember[k] = moved[a:b].T @ inner[a:b]
+    dh = dmoved.take(f["back"], axis=0)
+    dh += top @ w["family"].T
+    dh *= f["inverse"]
+    mean = np.einsum("ij,ij->i", dh, h)  # what the attention weights give back on average
+    m, n = keys.shape
+    dh = dh.reshape(m, QUERIES, WIDTH)
+    ds = dh @ f["v"].transpose(0, 2, 1)
+    ds -= mean.reshape(m, QUERIES, 1)
+    ds *= f["a"]
+    sides = np.empty((m, n, 3 * WIDTH), dtype=np.float32)
+    sides[:, :CONTEXT, :WIDTH] = 0
+    np.multiply(ds @ f["k"], np.float32(WIDTH**-0.5), out=sides[:, CONTEXT:, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=sides[:, :, WIDTH : 2 * WIDTH])
+    np.matmul(f["a"].transpose(0, 2, 1), dh, out=sides[:, :, 2 * WIDTH :])
+    return _scatter(f["rows"], sides), {
+        "place": np.bincount(NEAR.reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=QUERIES + CONTEXT).astype(np.float32),
         "family": h.T @ top, "member": dmember,
     }, float(-(f["log"] * known).sum()), int(known.sum())
 
@@ -352,11 +394,17 @@ def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square:
 
     def step(keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> None:
         nonlocal count
-        grads, _, n = gradient(net, keys, valid, group)
+        (at, sums), grads, _, n = _gradient(net, keys, valid, group)
         count += n
         for name, g in grads.items():
             square[name] += g * g
             net.weights[name] -= np.float32(RATE) * g / np.sqrt(square[name])
+        seen = square["rows"].take(at, axis=0)
+        seen += sums * sums
+        square["rows"][at] = seen
+        sums *= np.float32(RATE)
+        sums /= np.sqrt(seen, out=seen)
+        net.weights["rows"][at] -= sums
 
     for ids in texts:
         keys, valid, _ = windows(net, ids)

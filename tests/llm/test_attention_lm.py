@@ -135,3 +135,25 @@ def test_trains_on_every_window():
         assert lm.train_on(net, iter([[x] for x in texts]), turn) == places
         assert lm.train_on(net, iter([texts]), turn) == places
         assert lm.train_on(net, iter([texts[3:4]]), turn) == 4
+
+
+def test_gradients_of_the_rows_held():
+    """A batch gives gradients of its own input rows alone, each the sum of all its places, however often a row is met."""
+    rng = np.random.default_rng(5)
+    rows = np.concatenate([np.full(7 * lm.TURNS, 3), np.full(lm.TURNS, 9), np.full(lm.TURNS + 1, 1279), np.arange(40, 70), rng.integers(0, 1280, 500)])
+    rng.shuffle(rows)
+    values = rng.normal(size=(len(rows), 48)).astype(np.float32)
+    want = np.zeros((1280, 48))
+    np.add.at(want, rows, values)
+    at, sums = lm._scatter(rows, values)
+    assert sorted(at.tolist()) == sorted(set(rows.tolist()))
+    assert np.allclose(sums, want[at], atol=1e-4)
+    net, rng = small()
+    ids = [rng.integers(0, 5, 30)]
+    keys, valid, _ = lm.windows(net, ids)
+    aim = lm.targets(net, ids)
+    group = np.where(aim >= 0, net.group[np.maximum(aim, 0)], -1)
+    (at, sums), *_ = lm._gradient(net, keys, valid, group)
+    assert set(at.tolist()) == set(np.maximum(keys, 0).reshape(-1).tolist())
+    dense = lm.gradient(net, keys, valid, group)[0]["rows"]
+    assert (dense[at] == sums).all() and not np.delete(dense, at, axis=0).any()
