@@ -10,7 +10,7 @@ input (the log-probabilities of the classes after it, from pair counts over all
 and a softmax over classes of ids, by families of classes; the most frequent ids are classes of their own, the others share classes by
 shape and frequency, within which the training counts of the whole corpus decide, so that each id has a probability and they add up to one. Texts
 are cut into windows of ``QUERIES`` places that also see the ``CONTEXT`` places before them, so each place is scored once, with at least so
-much context; windows go through masked attention in batches.
+much context. They go through masked attention in batches; ``STRIP`` consecutive ones share the rows of the places they have in common.
 
 Training is data-parallel: in each of ``ROUNDS`` rounds every task runs Adagrad over all windows of its training texts from the
 common weights, and the weights are averaged by the number of places, by a tree of sums. Weights and counts learn from every token.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,13 @@ from .common import chunks, ragged, saved, text_of
 
 BLOCK_BYTES = 16 << 20
 END = "<|endoftext|>"
-#: Network: width, places of a window, places seen before it, ids with a class or an input vector of their own, frequency steps of a shape.
+#: Network: width, places of a window, places seen before it (no more than a window has), ids with a class or an input vector of their own, frequency steps of a shape.
 WIDTH, QUERIES, CONTEXT, SINGLE, INPUTS, STEPS = 16, 16, 16, 192, 1024, 8
 #: Classes come in families of so many: a softmax over families, then one over the classes of a family.
 MEMBERS = 32
-#: So many gradients of an input row in a batch are added together with those of other rows, further ones by themselves.
+#: So many consecutive windows of a text lie in a strip, whose input rows are gathered once; the rest of a text is single windows.
+STRIP = 4
+#: A row met more often in a batch counts as frequent; only tests of the sums by row ask for it.
 TURNS = 24
 ROUNDS, RATE, BATCH, SCORE_BATCH, TOP = 2, 0.2, 128, 256, 60.0
 TOKEN_PRIOR, PAIR_PRIOR = 0.1, 20.0
@@ -227,32 +230,72 @@ def with_pairs(net: Network, counts: np.ndarray) -> Network:
 BACK = np.arange(QUERIES)[:, None] + CONTEXT - np.arange(QUERIES + CONTEXT)[None, :]  # how far a key lies before its query
 SEEN = (BACK >= 0) & (BACK <= CONTEXT + QUERIES - 1)
 NEAR = np.where(SEEN, BACK, 0)
+SCALE = np.float32(WIDTH**-0.5)
+
+
+@dataclass
+class Lines:
+    """Texts one after the other, each after ``CONTEXT`` empty places and filled up to whole windows; -1 where there is no place.
+
+    Input rows and aimed ids by place; where the lines of the texts start, and how many windows they have.
+    """
+
+    rows: np.ndarray
+    aims: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+
+def lines(net: Network, ids: list[np.ndarray]) -> Lines:
+    n = np.array([len(x) for x in ids], dtype=np.int64)
+    size = n // QUERIES + 1  # the end takes a place
+    long = CONTEXT + size * QUERIES
+    first = np.cumsum(long) - long
+    rows, aims = np.full(long.sum(), -1, dtype=np.int16), np.full(long.sum(), -1, dtype=np.int32)
+    every = np.concatenate(ids)
+    at = np.arange(len(every)) + np.repeat(first + CONTEXT - (np.cumsum(n) - n), n)
+    rows[first + CONTEXT] = net.unit[net.end]
+    rows[at + 1] = net.unit[every]
+    aims[at] = every
+    aims[first + CONTEXT + n] = net.end
+    return Lines(rows, aims, first, size)
+
+
+def _counted(size: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of ``size``."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
+def strips(made: Lines, wide: int = STRIP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the keys, places of the queries, and texts: of strips of ``wide`` windows, then of the windows left over."""
+    whole = made.size // wide
+    for skip, count, of in ((0 * whole, whole, wide), (whole * wide, made.size - whole * wide, 1)):
+        if count.any():
+            start = np.repeat(made.first + skip * QUERIES, count) + _counted(count) * of * QUERIES
+            at = start[:, None] + np.arange(CONTEXT + of * QUERIES)
+            yield at, at[:, CONTEXT:], np.repeat(np.arange(len(count)), count)
 
 
 def windows(net: Network, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input rows and a mask of the keys of each window, and the text of each window; -1 pads."""
-    keys, owner = [], []
-    for i, x in enumerate(ids):
-        n = len(x) + 1
-        m = -(-n // QUERIES)
-        line = np.full(CONTEXT + m * QUERIES, -1, dtype=np.int64)
-        line[CONTEXT] = net.unit[net.end]
-        line[CONTEXT + 1 : CONTEXT + n] = net.unit[x]
-        keys.append(np.lib.stride_tricks.sliding_window_view(line, CONTEXT + QUERIES)[::QUERIES])
-        owner.append(np.full(m, i))
-    keys = np.concatenate(keys)
-    return keys, keys >= 0, np.concatenate(owner)
+    made = lines(net, ids)
+    at, _, owner = next(strips(made, 1))
+    keys = made.rows[at]
+    return keys, keys >= 0, owner
 
 
 def targets(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """The ids to predict in each window's places; -1 pads."""
-    out = []
-    for x in ids:
-        line = np.full(-(-(len(x) + 1) // QUERIES) * QUERIES, -1, dtype=np.int64)
-        line[: len(x)] = x
-        line[len(x)] = net.end
-        out.append(line.reshape(-1, QUERIES))
-    return np.concatenate(out)
+    made = lines(net, ids)
+    return made.aims[next(strips(made, 1))[1]]
+
+
+def _by_window(places: np.ndarray, first: int = 0, step: int = 1) -> np.ndarray:
+    """A view of the places of strips (in one piece of memory) by window, from ``first`` on by ``step``; neighbours share ``CONTEXT`` places."""
+    wide = (places.shape[1] - CONTEXT) // QUERIES
+    a, b, *rest = places.strides
+    shape = (len(places), -(-(wide - first) // step), CONTEXT + QUERIES, *places.shape[2:])
+    return np.ndarray(shape, places.dtype, places, first * QUERIES * b, (a, step * QUERIES * b, b, *rest))
 
 
 def _cut(logit: np.ndarray) -> None:
@@ -262,84 +305,82 @@ def _cut(logit: np.ndarray) -> None:
 
 
 def _softmax(logit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Probabilities by row before their division by the sum of the row, that sum, and the logarithm of the one at ``at``."""
+    """Turns ``logit`` into probabilities before their division by the sum of the row; the cells of ``at``, that sum, and the logarithm at those cells."""
     _cut(logit)
-    chosen = logit[np.arange(len(at)), at]
+    cells = np.arange(0, logit.size, logit.shape[1]) + at
+    chosen = logit.reshape(-1).take(cells)
     np.exp(logit, out=logit)
     total = (logit @ np.ones((logit.shape[1], 1), dtype=np.float32))[:, 0]
-    return logit, total, chosen - np.log(total)
+    return cells, total, chosen - np.log(total)
 
 
 def forward(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> dict:
-    """Masked attention over a batch of windows; the log-probability of the class ``group`` in each place.
+    """Masked attention over a batch of windows, or of strips of windows; the log-probability of the class ``group`` in each place.
 
     Attention weights stay undivided in ``a``; ``inverse`` has what each query divides by, and ``h`` is divided.
     """
-    w, rows = net.weights, np.maximum(keys, 0)
+    w, rows, wide = net.weights, np.maximum(keys, 0), (keys.shape[1] - CONTEXT) // QUERIES
     sides = w["rows"].take(rows, axis=0)
-    q, k, v = sides[:, CONTEXT:, :WIDTH] * np.float32(WIDTH**-0.5), sides[:, :, WIDTH : 2 * WIDTH], sides[:, :, 2 * WIDTH :]
-    score = q @ k.transpose(0, 2, 1)
-    score += np.where(SEEN, w["place"][NEAR], np.float32(-1e9))
+    q = sides[:, CONTEXT:, :WIDTH].reshape(len(keys), wide, QUERIES, WIDTH)
+    seen = _by_window(sides)
+    k, v = seen[..., WIDTH : 2 * WIDTH], seen[..., 2 * WIDTH :]
+    score = q @ k.swapaxes(2, 3)
+    score *= SCALE
+    score += np.where(SEEN, w["place"].take(NEAR), np.float32(-1e9))
     cut = np.flatnonzero(~valid.all(axis=1))
     if len(cut):
-        score[cut] += np.where(valid[cut], np.float32(0), np.float32(-1e9))[:, None, :]
+        score[cut] += np.where(_by_window(valid[cut]), np.float32(0), np.float32(-1e9))[:, :, None, :]
     _cut(score)
     np.exp(score, out=score)
-    inverse = 1 / (score.reshape(-1, score.shape[2]) @ np.ones((score.shape[2], 1), dtype=np.float32) + np.float32(1e-30))
+    inverse = 1 / (score.reshape(-1, score.shape[3]) @ np.ones((score.shape[3], 1), dtype=np.float32) + np.float32(1e-30))
     h = (score @ v).reshape(-1, WIDTH)
     h *= inverse
-    before, (family, member) = rows[:, CONTEXT:].reshape(-1), np.divmod(group, MEMBERS)
-    top, top_total, log = _softmax(h @ w["family"] + net.family.take(before, axis=0), family)
-    by = family.astype(np.uint16).argsort(kind="stable")  # the places of a family together
-    ordered = family[by]
-    edge = np.searchsorted(ordered, np.arange(len(w["member"]) + 1)).tolist()
-    inner = net.member.take(before[by] * len(w["member"]) + ordered, axis=0)
+    before, group = rows[:, CONTEXT:].reshape(-1), group.astype(np.uint16)
+    family = group // MEMBERS
+    member = group - family * np.uint16(MEMBERS)
+    top = h @ w["family"]
+    top += net.family.take(before, axis=0)
+    top_cells, top_total, log = _softmax(top, family)
+    by = family.argsort(kind="stable")  # the places of a family together
+    edge = [0, *accumulate(np.bincount(family, minlength=len(w["member"])).tolist())]
     moved = h.take(by, axis=0)
+    inner = np.empty((len(h), MEMBERS), dtype=np.float32)
     for f, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
         if b > a:
-            inner[a:b] += moved[a:b] @ w["member"][f]
-    inner, inner_total, log_inner = _softmax(inner, member[by])
+            np.matmul(moved[a:b], w["member"][f], out=inner[a:b])
+    inner += net.member.take((before.astype(np.int64) * len(w["member"]) + family).take(by), axis=0)
+    cells, inner_total, log_inner = _softmax(inner, member.take(by))
     back = np.empty_like(by)
     back[by] = np.arange(len(by))
     log += log_inner.take(back)
     return {
-        "rows": rows, "q": q, "k": k, "v": v, "a": score, "inverse": inverse, "h": h, "family": family, "member": member, "top": top, "top_total": top_total,
-        "by": by, "back": back, "edge": edge, "moved": moved, "inner": inner, "inner_total": inner_total, "log": log,
+        "rows": rows, "q": q, "k": k, "v": v, "a": score, "inverse": inverse, "h": h, "top": top, "top_cells": top_cells, "top_total": top_total,
+        "by": by, "back": back, "edge": edge, "moved": moved, "inner": inner, "cells": cells, "inner_total": inner_total, "log": log,
     }
 
 
 def log_scores(net: Network, ids: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each text, its end included."""
-    keys, valid, owner = windows(net, ids)
-    aim = targets(net, ids)
-    total = np.zeros(len(ids))
-    for i in range(0, len(keys), SCORE_BATCH):
-        batch = slice(i, i + SCORE_BATCH)
-        t = aim[batch].reshape(-1)
-        at = np.maximum(t, 0)
-        p = forward(net, keys[batch], valid[batch], net.group[at])["log"] + net.share[at]
-        p = np.where(t >= 0, p, 0.0).reshape(-1, QUERIES).sum(axis=1)
-        total += np.bincount(owner[batch], weights=p, minlength=len(ids))
+    made, total = lines(net, ids), np.zeros(len(ids))
+    for at, asked, owner in strips(made):
+        size = SCORE_BATCH * QUERIES // asked.shape[1]
+        for i in range(0, len(at), size):
+            keys, t = made.rows[at[i : i + size]], made.aims[asked[i : i + size]].reshape(-1)
+            aim = np.maximum(t, 0)
+            p = forward(net, keys, keys >= 0, net.group.take(aim))["log"] + net.share.take(aim)
+            p = np.where(t >= 0, p, 0.0).reshape(len(keys), -1).sum(axis=1)
+            total += np.bincount(owner[i : i + size], weights=p, minlength=len(ids))
     return total / np.log(10)
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct row numbers, which are below 65,536 (such are sorted by radix), and the sums of ``values`` by them."""
-    rows, values = rows.reshape(-1).astype(np.uint16), values.reshape(-1, values.shape[-1])
-    order = rows.argsort(kind="stable")
-    rows = rows[order]
-    at = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    count = np.diff(at, append=len(rows))
-    often = np.argsort(-count, kind="stable")
-    at, count = at[often], count[often]
-    sums = values.take(order[at], axis=0)
-    for turn, n in enumerate(np.searchsorted(-count, -np.arange(1, TURNS)).tolist(), 1):  # the second of each row, the third of those that have one, ...
-        if not n:
-            break
-        sums[:n] += values.take(order[at[:n] + turn], axis=0)
-    for i, (a, n) in enumerate(zip(at.tolist(), count[count > TURNS].tolist())):  # what is left of the most frequent
-        sums[i] += np.add.reduce(values.take(order[a + TURNS : a + n], axis=0), axis=0)
-    return rows[at], sums
+    """The distinct row numbers and the sums of ``values`` by them; two columns are added at once, as a complex number."""
+    rows, pairs = rows.reshape(-1), values.reshape(-1, values.shape[-1]).view(np.complex64)
+    many, k = int(rows.max()) + 1, pairs.shape[1]
+    sums = np.zeros(many * k, dtype=np.complex64)
+    np.add.at(sums, np.arange(many * k).reshape(many, k).take(rows, axis=0).reshape(-1), pairs.reshape(-1))
+    at = np.flatnonzero(np.bincount(rows))
+    return at, sums.reshape(many, k).take(at, axis=0).view(np.float32)
 
 
 def gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> tuple[dict[str, np.ndarray], float, int]:
@@ -354,35 +395,37 @@ def _gradient(net: Network, keys: np.ndarray, valid: np.ndarray, group: np.ndarr
     """``gradient`` with the input rows that the windows hold apart: their numbers and gradients; it is zero for the others."""
     known = (group.reshape(-1) >= 0).astype(np.float32)
     f, w = forward(net, keys, valid, np.maximum(group.reshape(-1), 0)), net.weights
-    by, top, inner, moved, h, every = f["by"], f["top"], f["inner"], f["moved"], f["h"], np.arange(len(known))
-    known_by = known[by]
+    by, top, inner, moved, h = f["by"], f["top"], f["inner"], f["moved"], f["h"]
+    known_by = known.take(by)
     top *= (known / f["top_total"])[:, None]
-    top[every, f["family"]] -= known
+    top.reshape(-1)[f["top_cells"]] -= known
     inner *= (known_by / f["inner_total"])[:, None]
-    inner[every, f["member"][by]] -= known_by
+    inner.reshape(-1)[f["cells"]] -= known_by
     dmoved, dmember = np.empty_like(h), np.zeros_like(w["member"])
     for k, (a, b) in enumerate(zip(f["edge"][:-1], f["edge"][1:], strict=True)):
         if b > a:
             np.matmul(inner[a:b], w["member"][k].T, out=dmoved[a:b])
-            dmember[k] = moved[a:b].T @ inner[a:b]
+            dmember[k] = (inner[a:b].T @ moved[a:b]).T
     dh = dmoved.take(f["back"], axis=0)
     dh += top @ w["family"].T
     dh *= f["inverse"]
-    mean = np.einsum("ij,ij->i", dh, h)  # what the attention weights give back on average
-    m, n = keys.shape
-    dh = dh.reshape(m, QUERIES, WIDTH)
-    ds = dh @ f["v"].transpose(0, 2, 1)
-    ds -= mean.reshape(m, QUERIES, 1)
+    mean = (dh * h) @ np.ones((WIDTH, 1), dtype=np.float32)  # what the attention weights give back on average
+    (m, n), wide = keys.shape, f["q"].shape[1]
+    dh = dh.reshape(m, wide, QUERIES, WIDTH)
+    ds = dh @ f["v"].swapaxes(2, 3)
+    ds -= mean.reshape(m, wide, QUERIES, 1)
     ds *= f["a"]
-    sides = np.empty((m, n, 3 * WIDTH), dtype=np.float32)
-    sides[:, :CONTEXT, :WIDTH] = 0
-    np.multiply(ds @ f["k"], np.float32(WIDTH**-0.5), out=sides[:, CONTEXT:, :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), f["q"], out=sides[:, :, WIDTH : 2 * WIDTH])
-    np.matmul(f["a"].transpose(0, 2, 1), dh, out=sides[:, :, 2 * WIDTH :])
-    return _scatter(f["rows"], sides), {
-        "place": np.bincount(NEAR.reshape(-1), weights=ds.sum(axis=0).reshape(-1), minlength=QUERIES + CONTEXT).astype(np.float32),
-        "family": h.T @ top, "member": dmember,
-    }, float(-(f["log"] * known).sum()), int(known.sum())
+    place = np.bincount(NEAR.reshape(-1), weights=ds.reshape(m * wide, -1).sum(axis=0), minlength=QUERIES + CONTEXT)
+    ds *= SCALE
+    sides = np.zeros((m, n, 3 * WIDTH), dtype=np.float32)
+    np.matmul(ds, f["k"], out=sides[:, CONTEXT:, :WIDTH].reshape(m, wide, QUERIES, WIDTH))
+    other = np.zeros((m, n, 2 * WIDTH), dtype=np.float32)
+    for i, own in enumerate((_by_window(sides, 0, 2)[..., WIDTH:], _by_window(other, 1, 2))[:wide]):  # every second window, as neighbours share places
+        np.matmul(ds[:, i::2].swapaxes(2, 3), f["q"][:, i::2], out=own[..., :WIDTH])
+        np.matmul(f["a"][:, i::2].swapaxes(2, 3), dh[:, i::2], out=own[..., WIDTH:])
+    if wide > 1:
+        sides[:, :, WIDTH:] += other
+    return _scatter(f["rows"], sides), {"place": place.astype(np.float32), "family": h.T @ top, "member": dmember}, float(-(f["log"] * known).sum()), int(known.sum())
 
 
 def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square: dict[str, np.ndarray] | None = None) -> int:
@@ -390,11 +433,11 @@ def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square:
     square = square if square is not None else {k: np.full_like(v, 1e-2) for k, v in net.weights.items()}
     rng = np.random.default_rng(turn)
     count = 0
-    held: list[tuple[np.ndarray, ...]] = []
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by windows of a strip: input rows and classes that wait for a batch
 
-    def step(keys: np.ndarray, valid: np.ndarray, group: np.ndarray) -> None:
+    def step(keys: np.ndarray, group: np.ndarray) -> None:
         nonlocal count
-        (at, sums), grads, _, n = _gradient(net, keys, valid, group)
+        (at, sums), grads, _, n = _gradient(net, keys, keys >= 0, group)
         count += n
         for name, g in grads.items():
             square[name] += g * g
@@ -407,19 +450,21 @@ def train_on(net: Network, texts: Iterator[list[np.ndarray]], turn: int, square:
         net.weights["rows"][at] -= sums
 
     for ids in texts:
-        keys, valid, _ = windows(net, ids)
-        aim = targets(net, ids)
-        group = np.where(aim >= 0, net.group[np.maximum(aim, 0)], -1)
-        order = rng.permutation(len(keys))
-        held.append((keys[order], valid[order], group[order]))
-        if sum(len(x[0]) for x in held) >= BATCH:
-            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            whole = len(rows[0]) // BATCH * BATCH
-            for i in range(0, whole, BATCH):
-                step(*(x[i : i + BATCH] for x in rows))
-            held = [tuple(x[whole:] for x in rows)]
-    if held and sum(len(x[0]) for x in held):
-        step(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        made = lines(net, ids)
+        groups = np.where(made.aims >= 0, net.group[np.maximum(made.aims, 0)], -1).astype(np.int16)
+        for at, asked, _ in strips(made):
+            order, wide = rng.permutation(len(at)), asked.shape[1] // QUERIES
+            rows = made.rows[at[order]], groups[asked[order]]
+            if wide in held:
+                rows = tuple(np.concatenate(x) for x in zip(held[wide], rows, strict=True))
+            size = BATCH // wide
+            whole = len(rows[0]) // size * size
+            for i in range(0, whole, size):
+                step(*(x[i : i + size] for x in rows))
+            held[wide] = tuple(x[whole:] for x in rows)
+    for rows in held.values():
+        if len(rows[0]):
+            step(*rows)
     return count
 
 

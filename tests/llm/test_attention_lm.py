@@ -157,3 +157,59 @@ def test_gradients_of_the_rows_held():
     assert set(at.tolist()) == set(np.maximum(keys, 0).reshape(-1).tolist())
     dense = lm.gradient(net, keys, valid, group)[0]["rows"]
     assert (dense[at] == sums).all() and not np.delete(dense, at, axis=0).any()
+
+
+def test_strips_are_their_windows():
+    """Consecutive windows side by side give the same logarithms, loss and gradients as one by one, ends and short texts included."""
+    net, rng = small()
+    net.weights["place"] = rng.normal(0, 0.3, len(net.weights["place"])).astype(np.float32)
+    ids = [rng.integers(0, 39, n) for n in (0, 1, 15, 16, 63, 64, 65, 300)]
+    made = lm.lines(net, ids)
+    group = lambda asked: np.where(made.aims[asked] >= 0, net.group[np.maximum(made.aims[asked], 0)], -1)
+    for wide in (1, 2, 3, 4):
+        places, grads, loss, n = [], {}, 0.0, 0
+        for at, asked, owner in lm.strips(made, wide):
+            assert len(at) == len(asked) == len(owner)
+            places += asked.reshape(-1).tolist()
+            keys = made.rows[at]
+            g, own, m = lm.gradient(net, keys, keys >= 0, group(asked))
+            grads = {k: grads.get(k, 0) + v for k, v in g.items()}
+            loss, n = loss + own, n + m
+        assert sorted(places) == sorted(set(places))  # each place once
+        assert n == sum(len(x) + 1 for x in ids)
+        if wide == 1:
+            want, want_loss = grads, loss
+        assert loss == pytest.approx(want_loss, rel=1e-5)
+        for name, g in grads.items():
+            assert np.allclose(g, want[name], atol=1e-3), (wide, name)
+
+
+def test_rows_gathered_once_in_a_strip(monkeypatch):
+    """Training on a long text takes few more input rows than places; windows one by one take two for each."""
+    net, rng = small()
+    text, taken, sums = rng.integers(0, 39, 100 * lm.QUERIES), [], lm._scatter
+    monkeypatch.setattr(lm, "_scatter", lambda rows, values: (taken.append(rows.size), sums(rows, values))[1])
+    places = lm.train_on(net, iter([[text]]), 0)
+    assert places == len(text) + 1
+    assert sum(taken) < 1.3 * places
+
+
+def test_score_against_plain_loops():
+    """The score of a text by loops over its places and keys, from the weights alone."""
+    net, rng = small()
+    net.weights["place"] = rng.normal(0, 0.3, len(net.weights["place"])).astype(np.float32)
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    ids = rng.integers(0, 39, 6 * lm.QUERIES + 5)
+    inputs, aims = net.unit[np.append(net.end, ids)], np.append(ids, net.end)
+    total = 0.0
+    for i, aim in enumerate(aims):
+        first = max(i // lm.QUERIES * lm.QUERIES - lm.CONTEXT, 0)
+        query, weight, mixed = w["rows"][inputs[i], : lm.WIDTH], 0.0, 0.0
+        for j in range(first, i + 1):
+            a = np.exp(query @ w["rows"][inputs[j], lm.WIDTH : 2 * lm.WIDTH] / lm.WIDTH**0.5 + w["place"][i - j])
+            weight, mixed = weight + a, mixed + a * w["rows"][inputs[j], 2 * lm.WIDTH :]
+        h, (family, member) = mixed / weight, divmod(int(net.group[aim]), lm.MEMBERS)
+        for logit, at in ((h @ w["family"] + net.family[inputs[i]], family), (h @ w["member"][family] + net.member[inputs[i] * len(w["member"]) + family], member)):
+            total += logit[at] - np.log(np.exp(logit).sum())
+        total += net.share[aim]
+    assert lm.log_scores(net, [ids])[0] == pytest.approx(total / np.log(10), rel=1e-5)
