@@ -99,7 +99,8 @@ def blocks(docs: DataFrame) -> DataFrame:
 def word_table(words: DataFrame, path: str) -> DataFrame:
     """``(block, code, count, ids, first)``: for each word of a block its training count in the corpus and its subword ids."""
     by = Window.partitionBy("word")
-    rows = words.select("block", "code", "word", F.sum("n").over(by).alias("count"), (F.row_number().over(by.orderBy("block")) == 1).alias("first"))
+    first = F.min("block").over(by) == F.col("block")  # a block lists a word once; one window, so one sort
+    rows = words.select("block", "code", "word", F.sum("n").over(by).alias("count"), first.alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = token_files.model(path)

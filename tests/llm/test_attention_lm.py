@@ -213,3 +213,14 @@ def test_score_against_plain_loops():
             total += logit[at] - np.log(np.exp(logit).sum())
         total += net.share[aim]
     assert lm.log_scores(net, [ids])[0] == pytest.approx(total / np.log(10), rel=1e-5)
+
+
+def test_word_table_by_one_sort(spark):
+    """Counts over all blocks and one first row for each word, by a single window."""
+    rows = [(b, c, f"w{c % 7}x{b % 2}", 10 * b + c) for b in (5, 2, 9) for c in range(7)]
+    table = lm.word_table(spark.createDataFrame(rows, "block long, code int, word string, n long").repartition(3), PATH)
+    word = {(b, c): w for b, c, w, _ in rows}
+    got = [(word[r["block"], r["code"]], r["block"], r["count"], r["first"]) for r in table.collect()]
+    want = [(w, b, sum(n for *_, v, n in rows if v == w), b == min(x for x, _, v, _ in rows if v == w)) for b, _, w, _ in rows]
+    assert sorted(got) == sorted(want)
+    assert len(re.findall(r"^\W*Window ", table._jdf.queryExecution().sparkPlan().toString(), re.M)) == 1
