@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linkage as L
-from .base import FOLDS, TARGETS, documents, folds, groups, query, table, targets
+from .base import FOLDS, TARGETS, documents, folds, groups, members, query, table, targets
 
 
 @query("SELECT id, group_id FROM groups", uses="groups")
@@ -22,7 +22,7 @@ def text_group_key(spark, sf):
            max(n) AS largest_group, count(*) FILTER (WHERE lo <> hi) AS groups_mixing_labeled, count(*) FILTER (WHERE conflict = 1) AS groups_conflicting
     FROM s JOIN c USING (group_id)""", uses="groups targets")
 def duplicate_groups(spark, sf):
-    return L.duplicate_groups(groups(spark, sf), targets(spark, sf), TARGETS)
+    return L.duplicate_groups(members(spark, sf), targets(spark, sf), TARGETS)
 
 
 def link_keys(spark, sf):

@@ -8,7 +8,7 @@ from ..operators import stacks as X
 from ..operators import splits as S
 from ..operators.provenance import table_fingerprint
 from .base import (
-    FOLDS, SERIES_PLANES, SPLIT_SEED, TARGETS, event_series, folds, groups, headers, label_table, query, r6, table, targets, turns,
+    FOLDS, SERIES_PLANES, SPLIT_SEED, TARGETS, event_series, folds, groups, headers, label_table, members, query, r6, table, targets, turns,
 )
 from .contracts import check_sql
 
@@ -22,7 +22,7 @@ def grouped_folds(spark, sf):
     SELECT fold, target, count(value) AS observed, count(*) FILTER (WHERE value = 1) AS positive, count(*) FILTER (WHERE value = 0) AS negative
     FROM fold_targets GROUP BY fold, target""", uses="fold_targets")
 def validated_folds(spark, sf):
-    return S.validate_folds(groups(spark, sf), folds(spark, sf), targets(spark, sf), TARGETS, len(FOLDS))
+    return S.validate_folds(members(spark, sf), folds(spark, sf), targets(spark, sf), TARGETS, len(FOLDS))
 
 
 @query("""
@@ -50,8 +50,9 @@ def training_counts(spark, sf):
     SELECT stratum, component, id, place, CASE WHEN place <= 8 THEN 'dev' ELSE 'audit' END AS role FROM t WHERE place <= 24""", uses="groups")
 def hash_sample(spark, sf):
     ids = groups(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("stratum")), "id")
-    ids = ids.select("id", F.col("group_id").alias("component"), "stratum")
-    return S.hash_sample(ids, table(spark, sf, "labels").select(F.col("doc_id").alias("id")), 8, 16, "pilot-v1")
+    ids = ids.select("id", F.coalesce("group_id", F.lit("")).alias("component"), "stratum")  # texts that are missing stand for one
+    out = S.hash_sample(ids, table(spark, sf, "labels").select(F.col("doc_id").alias("id")), 8, 16, "pilot-v1")
+    return out.withColumn("component", F.nullif("component", F.lit("")))
 
 
 def schedule_ids(spark, sf):
