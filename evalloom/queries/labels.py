@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import labels as W
-from .base import derived, folds, groups, label_table, predictions, query, r6, table, targets
+from ..operators.ordering import join_rows
+from .base import derived, folds, label_table, members, predictions, query, r6, table, targets
 from .contracts import check_sql
 
 
 @query("SELECT id, group_id, fold, target, value, observed, derived, verdict, confidence, mask, source FROM label_table", uses="label_table")
 def fused_labels(spark, sf):
-    text_groups = groups(spark, sf)
-    return W.fuse_labels(targets(spark, sf), derived(spark, sf), folds(spark, sf), "lengths-v1", groups=text_groups)
+    keyed = members(spark, sf)
+    known, weak = (join_rows(df, keyed.select("id"), ["id"], "left_semi") for df in (targets(spark, sf), derived(spark, sf)))
+    return W.fuse_labels(known, weak, folds(spark, sf), "lengths-v1", groups=keyed)
 
 
 @query("""
