@@ -25,10 +25,16 @@ def duplicate_groups(spark, sf):
     return L.duplicate_groups(members(spark, sf), targets(spark, sf), TARGETS)
 
 
+def joined(*parts: str | F.Column) -> F.Column:
+    """``a:b:c``, and NULL where a part is unknown: what is not known links no documents."""
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.concat(cols[0], *[x for c in cols[1:] for x in (F.lit(":"), c.cast("string"))])
+
+
 def link_keys(spark, sf):
     """Documents share a key by normalized text, or by language, source and length."""
     docs = table(spark, sf, "documents")
-    shape = F.concat_ws(":", "lang", "source", F.col("n_chars").cast("string"))
+    shape = joined("lang", "source", "n_chars")
     return groups(spark, sf).select(F.lit("text").alias("kind"), "id", F.col("group_id").alias("key")).unionByName(
         docs.select(F.lit("shape").alias("kind"), F.col("doc_id").alias("id"), F.sha2(shape, 256).alias("key"))
     )
@@ -58,7 +64,7 @@ def audit_ids(spark, sf):
 
 def audit_keys(spark, sf):
     docs = table(spark, sf, "documents")
-    size = F.when(F.col("n_chars") < 40, F.lit("")).otherwise(F.sha2(F.concat_ws(":", F.col("source"), F.floor(F.col("n_chars") / 64).cast("string")), 256))
+    size = F.when(F.col("n_chars") < 40, F.lit("")).otherwise(F.sha2(joined("source", F.floor(F.col("n_chars") / 64)), 256))
     head = F.when(F.col("lang") != "fr", F.sha2(F.col("source"), 256))
     return link_keys(spark, sf).unionByName(docs.select(F.lit("size").alias("kind"), F.col("doc_id").alias("id"), size.alias("key"))).unionByName(
         docs.select(F.lit("size").alias("kind"), F.col("doc_id").alias("id"), head.alias("key"))
