@@ -135,7 +135,7 @@ def revised_split(spark, sf):
     """Lengths and sources link documents by chance, so at size some components hold Spanish rows of several folds; they go to the least of these."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "n_chars", "source", "lang")
     split = groups(spark, sf).join(docs, "id").select("id", "group_id", (F.col("n_chars") % 3).cast("int").alias("fold"))
-    key = F.concat_ws(":", "source", F.floor(F.col("n_chars") / 16).cast("string"))
+    key = F.coalesce(joined("source", F.floor(F.col("n_chars") / 16)), F.lit(""))  # unknown ones stand together
     keyed = docs.select("id", key.alias("key"))
     parts = keyed.join(keyed.groupBy("key").agg(F.min("id").alias("component")), "key").select("id", "component")
     return L.revise_split(split, parts, docs.filter("lang = 'es'"), move_gold=True)
